@@ -18,7 +18,7 @@ def class_mean_vector(df: DataFrame, label: str, vector: str, output: str = "vec
     vectors themselves are never shuffled.
     """
     dense = df.select(label, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
-    return dense.groupBy(label).agg(vector_to_array(Summarizer.mean("_v")).alias(output))
+    return dense.groupBy(label).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias(output))
 
 
 def vector_entries(df: DataFrame, key: str, vector: str, name: str = "value") -> DataFrame:

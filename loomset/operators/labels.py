@@ -54,9 +54,9 @@ def fit_classes(df: DataFrame, labels: str) -> DataFrame:
 
 def multi_hot(df: DataFrame, labels: str, classes: DataFrame, output: str = "labels_binary") -> DataFrame:
     """Add a 0/1 vector over ``classes``; repeats collapse, unknown labels are ignored."""
-    known = classes.select("classes").scalar()
-    hot = F.transform(known, lambda c: F.coalesce(F.array_contains(labels, c), F.lit(False)).cast("int"))
-    return df.withColumn(output, hot)
+    known = df.withColumn("_classes", classes.select("classes").scalar())
+    hot = F.transform("_classes", lambda c: F.coalesce(F.array_contains(labels, c), F.lit(False)).cast("int"))
+    return known.withColumn(output, hot).drop("_classes")
 
 
 def label_cooccurrence(df: DataFrame, labels: str) -> DataFrame:

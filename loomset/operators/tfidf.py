@@ -86,7 +86,7 @@ def class_mean_vectors(df: DataFrame, model: TfidfModel, category: str, tokens:
     one partial vector per task like any other.
     """
     weighted = model.transform(df.select(category, tokens), tokens)
-    return weighted.groupBy(category).agg(vector_to_array(Summarizer.mean("tfidf")).alias("vector"))
+    return weighted.groupBy(category).agg(vector_to_array(Summarizer.mean(F.col("tfidf"))).alias("vector"))
 
 
 def class_mean_weights(means: DataFrame, model: TfidfModel, category: str) -> DataFrame:
