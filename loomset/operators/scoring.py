@@ -71,11 +71,10 @@ def class_scores(
             weights = np.divide(weights, lengths, out=np.zeros_like(weights), where=lengths > 0)
         udf = _matrix_scores(weights, np.array([r["b"] for r in head]), cosine, scale)
         return items.withColumn(output, udf(F.col(vector)))
-    side = 16
     x, w = F.col(vector).cast("array<double>"), F.col("v")
     left = items.select(id_col, (unit(x) if cosine else x).alias("_x"))
     right = heads.select("c", (unit(w) if cosine else w).alias("_w"), "b")
-    pairs = grid_pairs(left, right, id_col, "c", side).select(
+    pairs = grid_pairs(left, right, id_col, "c", left_parts=2048, right_parts=4).select(
         id_col, F.struct("c", (dot(F.col("_x"), F.col("_w")) * scale + F.col("b")).alias("s")).alias("cell")
     )
     # One row's own scores: as many as there are classes, like the answer itself.
@@ -109,14 +108,14 @@ def zero_shot_predict(
 ) -> DataFrame:
     """Probabilities and 0/1 predictions of all three modes in one pass over the rows.
 
-    Adds ``probs_<mode>`` and ``pred_<mode>``. Both branches must give one score per
-    class; rows where they do not are dropped.
+    Adds ``probs_<mode>`` and ``pred_<mode>``. A row without one of its vectors has no
+    score per class and is dropped before it is scored.
     """
+    items = items.na.drop(subset=[image_vector, text_vector])
     scored = class_scores(items, id_col, image_vector, image_classes, class_col, class_vector, scale, output="_i")
     scored = class_scores(scored, id_col, text_vector, text_classes, class_col, class_vector, scale, output="_t")
     probs = (
-        scored.where(F.size("_i") == F.size("_t"))
-        .withColumn("probs_image_only", softmax(F.col("_i")))
+        scored.withColumn("probs_image_only", softmax(F.col("_i")))
         .withColumn("probs_text_only", softmax(F.col("_t")))
         .withColumn("probs_multimodal", fuse_mean(F.col("probs_image_only"), F.col("probs_text_only")))
         .drop("_i", "_t")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomset.plans.ranking import assign_parts, cut_keys, hash_rank, order_key
+from loomset.plans.sizes import broadcast_if, distinct_at_most
 
 
 def _share(fraction: float, n: Column) -> Column:
@@ -81,16 +82,18 @@ def stratified_sample(df: DataFrame, id_col: str, label: str, size: int, seed: i
     """Exactly ``size`` rows, proportional per label.
 
     Each label has one cut key; rows up to it are kept. A label that holds most
-    rows is ranked only inside the one hash bucket where its quota ends.
+    rows is ranked only inside the one hash bucket where its quota ends. With a
+    counted, small number of labels the cut keys are broadcast and no row moves.
     """
+    few = distinct_at_most(df, label)
     quotas = _quotas(df, label, size)
 
     def with_cuts(running: DataFrame) -> DataFrame:
         wanted = F.array(F.struct(F.lit("sample").alias("part"), F.col("quota").alias("k")))
         return running.join(quotas, label).withColumn("cuts", wanted).drop("quota")
 
-    keys = cut_keys(df, id_col, seed, with_cuts, group=[label]).select(label, F.col("key").alias("_cut"))
-    return df.join(keys, label).where(order_key(id_col, seed) <= F.col("_cut")).drop("_cut")
+    keys = cut_keys(df, id_col, seed, with_cuts, [label], few).select(label, F.col("key").alias("_cut"))
+    return df.join(broadcast_if(few, keys), label).where(order_key(id_col, seed) <= F.col("_cut")).drop("_cut")
 
 
 def shuffle_batches(df: DataFrame, id_col: str, batch_size: int, seed: int = 42) -> DataFrame:

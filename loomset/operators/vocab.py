@@ -55,7 +55,9 @@ def vocab_lookup(
     order = [F.desc("n_docs"), F.asc("token")] if "n_docs" in vocab.columns else [F.asc("id")]
     hot = entries.orderBy(*order).limit(hot_tokens).select(F.col("token").alias(token), F.col("id").alias("_hot"))
     rest = entries.select(F.col("token").alias("_key"), F.col("id").alias("_rest"))
-    spread = F.concat(F.lit("\u0000"), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("string"))
+    # No token holds white space. The key is a function of the row, so that a repeated
+    # task sends every row the same way.
+    spread = F.concat(F.lit(" "), F.pmod(F.xxhash64(*tokens.columns), F.lit(SPREAD)).cast("string"))
     answered = F.col("_hot").isNotNull() | F.col(token).isNull()
     step = tokens.join(F.broadcast(hot), token, "left").withColumn(
         "_key", F.when(answered, spread).otherwise(F.col(token))

@@ -6,15 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def grid_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, side: int = 4) -> DataFrame:
+def grid_pairs(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_parts: int = 4, right_parts: int = 4
+) -> DataFrame:
     """Every row of ``left`` beside every row of ``right``.
 
-    Meant for matrices over classes, whose size is the size of the answer. Each
-    side is cut into ``side`` fragments and copied along the other axis, so the
-    pairs are spread evenly over ``side * side`` join keys; no side is broadcast
-    and no task sees a whole table.
+    Meant for tables over classes, where the pairs are the answer itself. The left
+    side is cut into ``left_parts`` fragments and copied ``right_parts`` times, the
+    right side the other way round, so the pairs are spread evenly over
+    ``left_parts * right_parts`` join keys; no side is broadcast and no task sees a
+    whole table.
     """
-    axis = F.sequence(F.lit(0), F.lit(side - 1))
-    rows = left.withColumn("_row", F.pmod(F.hash(left_key), F.lit(side))).withColumn("_col", F.explode(axis))
-    cols = right.withColumn("_col", F.pmod(F.hash(right_key), F.lit(side))).withColumn("_row", F.explode(axis))
+
+    def fragment(key: str, parts: int):
+        return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+    def copies(parts: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+
+    rows = left.withColumn("_row", fragment(left_key, left_parts)).withColumn("_col", copies(right_parts))
+    cols = right.withColumn("_col", fragment(right_key, right_parts)).withColumn("_row", copies(left_parts))
     return rows.join(cols, ["_row", "_col"]).drop("_row", "_col")

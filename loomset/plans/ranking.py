@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomset.plans.sizes import broadcast_if
+
 PREFIX_DIGITS = 4
 
 
@@ -42,13 +44,15 @@ def cut_keys(
     seed: int,
     cuts: Callable[[DataFrame], DataFrame],
     group: Sequence[str] = (),
+    few_groups: bool = True,
 ) -> DataFrame:
     """Row key at given ranks, per group: ``(*group, part, key)``.
 
     ``cuts`` receives the bucket counts with a ``total`` column (rows of the group)
     and adds ``cuts ARRAY<STRUCT<part, k>>``: the 1-based ranks to look up. Only
     the rows of the buckets that hold a wanted rank (about 1 in 65,536) are ranked.
-    A rank of 0 or beyond the group yields no row.
+    A rank of 0 or beyond the group yields no row. The wanted ranks, a few per group,
+    are broadcast unless the caller found too many groups.
     """
     group = list(group)
     keyed = df.select(*group, order_key(id_col, seed).alias("key")).withColumn(
@@ -72,9 +76,7 @@ def cut_keys(
         )
         .select(*group, "bucket", F.col("cut.part").alias("part"), (F.col("cut.k") - F.col("first")).alias("pos"))
     )
-    # Without groups the wanted ranks are as few as the cuts; with groups there is a
-    # row per class, so the join is left to the sizes Spark measures.
-    inside = keyed.join(wanted if group else F.broadcast(wanted), [*group, "bucket"])
+    inside = keyed.join(broadcast_if(few_groups, wanted), [*group, "bucket"])
     place = F.row_number().over(Window.partitionBy(*group, "part").orderBy("key"))
     return inside.withColumn("place", place).where("place = pos").select(*group, "part", "key")
 

@@ -52,21 +52,33 @@ def first_image(images: Column) -> Column:
     return F.try_element_at(images, F.lit(1))
 
 
+MAX_BROADCAST_KEYS = 1_000_000
+
+
 def missing_images(source: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """Source rows whose key is not stored yet."""
-    return source.join(stored.select(key).distinct(), key, "left_anti")
+    return source.join(stored.select(key), key, "left_anti")
 
 
 def materialize_missing(source: DataFrame, store_path: str, key: str, data: str) -> DataFrame:
     """Append the images a Parquet store lacks and return the store.
 
-    Running it again adds nothing.
+    Running it again adds nothing. The missing keys are found by a join of keys
+    alone. When they are few, they are broadcast and the image bytes are written
+    straight from the scan; otherwise the bytes meet the keys in a shuffle.
     """
     spark = source.sparkSession
-    schema = source.select(key, data).schema
-    stored = spark.read.schema(schema).parquet(store_path)
-    missing_images(source.select(key, data), stored, key).write.mode("append").parquet(store_path)
-    return spark.read.schema(schema).parquet(store_path)
+    images = source.select(key, data)
+    stored = spark.read.schema(images.schema).parquet(store_path)
+    missing = missing_images(source.select(key), stored, key).persist()
+    try:
+        n = missing.count()
+        if n:
+            wanted = F.broadcast(missing) if n <= MAX_BROADCAST_KEYS else missing
+            images.join(wanted, key, "left_semi").write.mode("append").parquet(store_path)
+    finally:
+        missing.unpersist()
+    return spark.read.schema(images.schema).parquet(store_path)
 
 
 def lookup_with_fallback(

@@ -16,9 +16,10 @@ from loomset.functions.vectors import argmax
 from loomset.operators.dense import class_mean_vector
 from loomset.operators.labels import fit_classes, multi_hot
 from loomset.operators.scoring import class_scores
+from loomset.operators.vocab import build_vocab
 from loomset.plans.ranking import global_index
 from loomset.sources.storage import shared_dir
-from loomset.sources.tables import scan_table
+from loomset.sources.tables import scan_table, write_table
 
 SCHEMAS = {
     "region": "r_regionkey INT, r_name STRING",
@@ -67,6 +68,13 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", word_count(F.col("text")).alias("word_count"))
 
 
+def saved_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary of the documents, built once, stored and read back."""
+    path = shared_dir(spark, "vocab")
+    write_table(build_vocab(table(spark, sf_dir, "documents"), "doc_id", "text"), path)
+    return scan_table(spark, path, "token STRING, id BIGINT, n_docs BIGINT")
+
+
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(word, vector)``: the i-th distinct token in alphabetical order gets vector i."""
     words = (

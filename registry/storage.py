@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomset.functions import parsing as ps
-from loomset.operators.vocab import build_vocab
 from loomset.sources import metadata as md
 from loomset.sources import tables as tb
 from loomset.sources.storage import shared_dir
 from loomset.sources.word_vectors import read_word_vectors, write_word_vectors
 from registry import query
 from registry.evaluation import SCORES4, compared
-from registry.fixtures import SCHEMAS, r6, records, table
+from registry.fixtures import SCHEMAS, r6, records, saved_vocab, table
 from registry.sql import COMPARISON, RECORDS, VOCAB
 
 
@@ -92,9 +91,7 @@ def word_vectors_read(spark, sf_dir):
 
 @query("vocab_write", f"WITH {VOCAB} SELECT token, CAST(id AS BIGINT) AS id FROM vocab")
 def vocab_write(spark, sf_dir):
-    path = shared_dir(spark, "vocab")
-    tb.write_table(build_vocab(table(spark, sf_dir, "documents"), "doc_id", "text"), path)
-    return tb.scan_table(spark, path, "token STRING, id BIGINT, n_docs BIGINT", ["token", "id"])
+    return saved_vocab(spark, sf_dir).select("token", "id")
 
 
 @query(

@@ -10,7 +10,7 @@ from loomset.operators import tfidf as ti
 from loomset.operators import vocab as vc
 from loomset.operators.dense import class_similarity
 from registry import query
-from registry.fixtures import corpus, r6, table, word_counts, word_vectors
+from registry.fixtures import corpus, r6, saved_vocab, table, word_counts, word_vectors
 from registry.sql import CLEAN, KEPT, PUNCT_PATTERN, PUNCT_TOKENS, TERMS, TFIDF, VOCAB, WORD_COUNT, WORD_VECTORS
 
 
@@ -169,8 +169,7 @@ def build_vocab_whole_text(spark, sf_dir):
     FROM tokens LEFT JOIN vocab v USING (token) GROUP BY doc_id""",
 )
 def vocab_lookup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    vocab = vc.build_vocab(docs, "doc_id", "text")
+    docs, vocab = table(spark, sf_dir, "documents"), saved_vocab(spark, sf_dir)
     tokens = docs.select("doc_id", F.posexplode(tx.tokenize_words_punct(F.col("text"))).alias("pos", "token"))
     found = vc.vocab_lookup(tokens, vocab)
     return found.groupBy("doc_id").agg(
@@ -195,8 +194,7 @@ def vocab_lookup(spark, sf_dir):
     FROM documents d LEFT JOIN coded USING (doc_id)""",
 )
 def encode_sequences(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    vocab = vc.build_vocab(docs, "doc_id", "text")
+    docs, vocab = table(spark, sf_dir, "documents"), saved_vocab(spark, sf_dir)
     coded = vc.encode_sequences(docs, "doc_id", "text", vocab, keep=["lang"])
     return coded.select(
         "doc_id",
