@@ -86,10 +86,12 @@ def label_correlation(df: DataFrame, labels: str) -> DataFrame:
     gives null.
     """
     counts = label_cooccurrence(df, labels)
-    single = counts.where("a = b")
+    single = (
+        df.select(F.explode(F.array_distinct(labels)).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    )
     n = df.select(F.count(F.lit(1)).cast("double")).scalar()
-    left = single.select("a", F.col("n_ab").alias("n_a"))
-    right = single.select("b", F.col("n_ab").alias("n_b"))
+    left = single.select(F.col("label").alias("a"), F.col("n").alias("n_a"))
+    right = single.select(F.col("label").alias("b"), F.col("n").alias("n_b"))
     grid = grid_pairs(left, right, "a", "b").join(counts, ["a", "b"], "left").withColumn("n", n)
     n_ab = F.coalesce("n_ab", F.lit(0))
     spread = F.col("n_a") * (F.col("n") - F.col("n_a")) * (F.col("n_b") * (F.col("n") - F.col("n_b")))

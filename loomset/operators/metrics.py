@@ -155,18 +155,17 @@ def classification_report(df: DataFrame, classes: DataFrame) -> DataFrame:
             (a + c).cast("bigint").alias("support"),
         ]
 
-    per_class = counts.select("label", *scores(tp, fp, fn))
-    support = F.sum("support").cast("bigint").alias("support")
-    micro = counts.agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn")).select(
-        F.lit("micro avg").alias("label"), *scores(tp, fp, fn)
-    )
+    per_class = counts.select("label", "tp", "fp", "fn", *scores(tp, fp, fn))
     measures = ["precision", "recall", "f1"]
-    macro = per_class.agg(*[F.avg(m).alias(m) for m in measures], support).select(
-        F.lit("macro avg").alias("label"), *measures, "support"
-    )
-    weighted = per_class.agg(
-        *[ratio(F.sum(F.col(m) * F.col("support")), F.sum("support")).alias(m) for m in measures], support
-    ).select(F.lit("weighted avg").alias("label"), *measures, "support")
+    support = F.sum("support").cast("bigint").alias("support")
+    micro = scores(F.sum(tp), F.sum(fp), F.sum(fn))
+    macro = [F.avg(m).alias(m) for m in measures] + [support]
+    weighted = [ratio(F.sum(F.col(m) * F.col("support")), F.sum("support")).alias(m) for m in measures] + [support]
+    named = {"micro avg": micro, "macro avg": macro, "weighted avg": weighted}
+    # One pass over the class rows gives the three averages side by side.
+    averages = per_class.agg(
+        F.array(*[F.struct(F.lit(name).alias("label"), *cols) for name, cols in named.items()]).alias("rows")
+    ).select(F.inline("rows"))
     hit = _sum(F.zip_with("y_true", "y_pred", lambda t, p: t * p))
     samples = (
         df.select(hit.alias("tp"), _sum(F.col("y_pred")).alias("np"), _sum(F.col("y_true")).alias("nt"))
@@ -178,7 +177,7 @@ def classification_report(df: DataFrame, classes: DataFrame) -> DataFrame:
         )
         .select(F.lit("samples avg").alias("label"), *measures, "support")
     )
-    return per_class.unionByName(micro).unionByName(macro).unionByName(weighted).unionByName(samples)
+    return per_class.drop("tp", "fp", "fn").unionByName(averages).unionByName(samples)
 
 
 def mode_comparison(predictions: DataFrame, mode: str, order: Sequence[str]) -> DataFrame:

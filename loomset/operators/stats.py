@@ -44,12 +44,18 @@ def _bin(x: Column, low: Column, high: Column, bins: int) -> Column:
 
 
 def _histogram(df: DataFrame, column: str, edges: DataFrame, bins: int) -> DataFrame:
-    """Counts in ``bins`` equal bins between the one-row ``edges(lo, hi)``."""
+    """Counts in ``bins`` equal bins between the one-row ``edges(lo, hi)``.
+
+    Values outside get bin -1 and fall out after the counting. A filter on the value, or
+    a bin that may be null, would be pushed below and compute a derived column again.
+    """
     ends = edges.select(F.struct("lo", "hi").alias("e")).scalar()
-    x = F.col(column).cast("double")
-    placed = df.select(x.alias("x"), ends.alias("e")).where("x >= e.lo AND x <= e.hi")
+    placed = df.select(F.col(column).cast("double").alias("x"), ends.alias("e"))
+    number = _bin(F.col("x"), F.col("e.lo"), F.col("e.hi"), bins).cast("int")
     counts = (
-        placed.select(_bin(F.col("x"), F.col("e.lo"), F.col("e.hi"), bins).cast("int").alias("bin"))
+        placed.select(
+            F.coalesce(F.when(F.col("x").between(F.col("e.lo"), F.col("e.hi")), number), F.lit(-1)).alias("bin")
+        )
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -106,7 +112,7 @@ def kde_curve(df: DataFrame, column: str, points: int = 200, bins: int = 50) ->
     with ``bins`` bins. Equal values are counted first, and each distinct value
     adds to the fixed number of grid points, combined before the shuffle.
     """
-    values = df.select(F.col(column).cast("double").alias("x")).where("x IS NOT NULL")
+    values = df.select(F.col(column).cast("double").alias("x"))
     shape = (
         values.agg(
             F.count("x").alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("lo"), F.max("x").alias("hi")

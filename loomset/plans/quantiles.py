@@ -55,10 +55,12 @@ def exact_quantile(
     distinct value in one task. Beyond that the two neighbouring order statistics
     are searched, which runs a few small jobs when the plan is built.
     """
-    values = df.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull())
-    n = values.count()
-    if n <= exact_rows:
+    values = df.select(F.col(column).cast("double").alias("x"))
+    if df.count() <= exact_rows:
         return values.agg(F.percentile("x", F.lit(q)).alias(name))
+    n = values.agg(F.count("x")).first()[0]
+    if n == 0:
+        return df.sparkSession.range(1).select(F.lit(None).cast("double").alias(name))
     position = (n - 1) * q
     k = math.floor(position)
     low = order_statistic(values, k, n, exact_rows)

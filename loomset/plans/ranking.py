@@ -30,7 +30,8 @@ def hash_key(id_col: str | Column, seed: int) -> Column:
 
 
 def _bucket(key: Column) -> Column:
-    return F.left(key, F.lit(PREFIX_DIGITS))
+    # Never null, so that no join asks for a null check that hashes the id again.
+    return F.coalesce(F.left(key, F.lit(PREFIX_DIGITS)), F.lit(""))
 
 
 def order_key(id_col: str, seed: int) -> Column:

@@ -18,8 +18,9 @@ from loomset.operators.labels import fit_classes, multi_hot
 from loomset.operators.scoring import class_scores
 from loomset.operators.vocab import build_vocab
 from loomset.plans.ranking import global_index
-from loomset.sources.storage import shared_dir
-from loomset.sources.tables import scan_table, write_table
+from loomset.plans.sizes import spread_small
+from loomset.sources.storage import shared_dir, stored
+from loomset.sources.tables import scan_table
 
 SCHEMAS = {
     "region": "r_regionkey INT, r_name STRING",
@@ -58,27 +59,31 @@ def r6(column: Column | str) -> Column:
 # --- text -------------------------------------------------------------------------
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The chosen columns of the documents; a small file is spread over the cores."""
+    return spread_small(table(spark, sf_dir, "documents").select(*columns))
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, lang, tokens)`` without stop words."""
     tokens = remove_stopwords(clean_tokens(F.col("text")), default_stop_words())
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", tokens.alias("tokens"))
+    return documents(spark, sf_dir, "doc_id", "lang", "text").select("doc_id", "lang", tokens.alias("tokens"))
 
 
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", word_count(F.col("text")).alias("word_count"))
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return docs.select("doc_id", word_count(F.col("text")).alias("word_count"))
 
 
 def saved_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vocabulary of the documents, built once, stored and read back."""
-    path = shared_dir(spark, "vocab")
-    write_table(build_vocab(table(spark, sf_dir, "documents"), "doc_id", "text"), path)
-    return scan_table(spark, path, "token STRING, id BIGINT, n_docs BIGINT")
+    return stored(build_vocab(documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text"), "vocab")
 
 
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(word, vector)``: the i-th distinct token in alphabetical order gets vector i."""
     words = (
-        table(spark, sf_dir, "documents")
+        documents(spark, sf_dir, "text")
         .select(F.explode(F.array_distinct(tokenize_words_punct(F.col("text")))).alias("word"))
         .distinct()
     )
@@ -133,9 +138,14 @@ def label_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def saved_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label table as a stored input, for operators that read it more than once."""
+    return stored(label_table(spark, sf_dir), "labels")
+
+
 def label_predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """``(o_orderkey, y_true, logits, y_pred)`` and the one-row class table."""
-    rows = label_table(spark, sf_dir)
+    rows = saved_labels(spark, sf_dir)
     classes = fit_classes(rows, "genres")
     hot = multi_hot(rows, "genres", classes, "y_true")
 

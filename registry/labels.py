@@ -10,7 +10,7 @@ from loomset.operators import labels as lb
 from loomset.operators.stats import decode
 from loomset.sources.tables import drop_nulls
 from registry import query
-from registry.fixtures import CLASS_NAMES, label_predictions, label_table, r6, records, table
+from registry.fixtures import CLASS_NAMES, label_predictions, label_table, r6, records, saved_labels, table
 from registry.sql import CELLS, MEMBERS, RECORDS
 
 
@@ -138,7 +138,7 @@ def label_cardinality_distribution(spark, sf_dir):
            round(count(*) / (SELECT count(*) FROM orders), 6) AS mean_labels FROM member""",
 )
 def label_summary(spark, sf_dir):
-    return lb.label_summary(label_table(spark, sf_dir), "genres").withColumn("mean_labels", r6("mean_labels"))
+    return lb.label_summary(saved_labels(spark, sf_dir), "genres").withColumn("mean_labels", r6("mean_labels"))
 
 
 @query(
@@ -148,7 +148,7 @@ def label_summary(spark, sf_dir):
     FROM cells GROUP BY o_orderkey""",
 )
 def multi_hot(spark, sf_dir):
-    rows = label_table(spark, sf_dir)
+    rows = saved_labels(spark, sf_dir)
     hot = lb.multi_hot(rows, "genres", lb.fit_classes(rows, "genres"))
     return hot.select("o_orderkey", F.array_join(F.col("labels_binary").cast("array<string>"), "").alias("labels_binary"))
 
@@ -170,7 +170,7 @@ def label_cooccurrence(spark, sf_dir):
     FROM cells x JOIN cells y ON x.o_orderkey = y.o_orderkey GROUP BY x.brand, y.brand""",
 )
 def label_correlation(spark, sf_dir):
-    return lb.label_correlation(label_table(spark, sf_dir), "genres").withColumn("correlation", r6("correlation"))
+    return lb.label_correlation(saved_labels(spark, sf_dir), "genres").withColumn("correlation", r6("correlation"))
 
 
 @query(

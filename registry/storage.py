@@ -91,7 +91,9 @@ def word_vectors_read(spark, sf_dir):
 
 @query("vocab_write", f"WITH {VOCAB} SELECT token, CAST(id AS BIGINT) AS id FROM vocab")
 def vocab_write(spark, sf_dir):
-    return saved_vocab(spark, sf_dir).select("token", "id")
+    path = shared_dir(spark, "vocab-table")
+    tb.write_table(saved_vocab(spark, sf_dir).select("token", "id"), path)
+    return tb.scan_table(spark, path, "token STRING, id BIGINT")
 
 
 @query(

@@ -10,7 +10,7 @@ from loomset.operators import tfidf as ti
 from loomset.operators import vocab as vc
 from loomset.operators.dense import class_similarity
 from registry import query
-from registry.fixtures import corpus, r6, saved_vocab, table, word_counts, word_vectors
+from registry.fixtures import corpus, documents, r6, saved_vocab, table, word_counts, word_vectors
 from registry.sql import CLEAN, KEPT, PUNCT_PATTERN, PUNCT_TOKENS, TERMS, TFIDF, VOCAB, WORD_COUNT, WORD_VECTORS
 
 
@@ -38,7 +38,7 @@ def prompt_template(spark, sf_dir):
     f"SELECT doc_id, len({CLEAN}) AS n_tokens, array_to_string({CLEAN}, '|') AS tokens FROM documents",
 )
 def clean_tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", tx.clean_tokens(F.col("text")).alias("t"))
+    docs = documents(spark, sf_dir, "doc_id", "text").select("doc_id", tx.clean_tokens(F.col("text")).alias("t"))
     return docs.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.array_join("t", "|").alias("tokens"))
 
 
@@ -48,7 +48,7 @@ def clean_tokens(spark, sf_dir):
     FROM (SELECT doc_id, {CLEAN} AS c, {KEPT} AS k FROM documents)""",
 )
 def remove_stopwords(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", tx.clean_tokens(F.col("text")).alias("c"))
+    docs = documents(spark, sf_dir, "doc_id", "text").select("doc_id", tx.clean_tokens(F.col("text")).alias("c"))
     kept = docs.withColumn("k", tx.remove_stopwords(F.col("c"), tx.default_stop_words()))
     removed = (F.size("c") - F.size("k")).cast("bigint")
     return kept.select("doc_id", removed.alias("n_removed"), F.array_join("k", "|").alias("tokens"))
@@ -70,7 +70,7 @@ def word_count(spark, sf_dir):
     FROM (SELECT doc_id, {PUNCT_TOKENS} AS t FROM documents)""",
 )
 def tokenize_words_punct(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", tx.tokenize_words_punct(F.col("text")).alias("t"))
+    docs = documents(spark, sf_dir, "doc_id", "text").select("doc_id", tx.tokenize_words_punct(F.col("text")).alias("t"))
     return docs.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
@@ -143,7 +143,7 @@ def class_similarity_text(spark, sf_dir):
 
 @query("build_vocab", f"WITH {VOCAB} SELECT token, CAST(id AS BIGINT) AS id FROM vocab")
 def build_vocab(spark, sf_dir):
-    return vc.build_vocab(table(spark, sf_dir, "documents"), "doc_id", "text").select("token", "id")
+    return vc.build_vocab(documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text").select("token", "id")
 
 
 @query(
@@ -156,7 +156,7 @@ def build_vocab(spark, sf_dir):
     UNION ALL SELECT '<pad>', 0 UNION ALL SELECT '<unk>', 1""",
 )
 def build_vocab_whole_text(spark, sf_dir):
-    return vc.build_vocab(table(spark, sf_dir, "documents"), "doc_id", "text", None).select("token", "id")
+    return vc.build_vocab(documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text", None).select("token", "id")
 
 
 @query(
@@ -169,7 +169,7 @@ def build_vocab_whole_text(spark, sf_dir):
     FROM tokens LEFT JOIN vocab v USING (token) GROUP BY doc_id""",
 )
 def vocab_lookup(spark, sf_dir):
-    docs, vocab = table(spark, sf_dir, "documents"), saved_vocab(spark, sf_dir)
+    docs, vocab = documents(spark, sf_dir, "doc_id", "text"), saved_vocab(spark, sf_dir)
     tokens = docs.select("doc_id", F.posexplode(tx.tokenize_words_punct(F.col("text"))).alias("pos", "token"))
     found = vc.vocab_lookup(tokens, vocab)
     return found.groupBy("doc_id").agg(
@@ -194,7 +194,7 @@ def vocab_lookup(spark, sf_dir):
     FROM documents d LEFT JOIN coded USING (doc_id)""",
 )
 def encode_sequences(spark, sf_dir):
-    docs, vocab = table(spark, sf_dir, "documents"), saved_vocab(spark, sf_dir)
+    docs, vocab = documents(spark, sf_dir, "doc_id", "lang", "text"), saved_vocab(spark, sf_dir)
     coded = vc.encode_sequences(docs, "doc_id", "text", vocab, keep=["lang"])
     return coded.select(
         "doc_id",
@@ -212,7 +212,7 @@ def encode_sequences(spark, sf_dir):
     FROM (SELECT doc_id, len({PUNCT_TOKENS}) AS n FROM documents)""",
 )
 def attention_mask(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(
+    docs = documents(spark, sf_dir, "doc_id", "text").select(
         "doc_id", F.size(tx.tokenize_words_punct(F.col("text"))).alias("n")
     )
     masks = [
@@ -244,7 +244,7 @@ SQL_CHECKED = (
     FROM vocab LEFT JOIN word_vectors ON word = token""",
 )
 def word_vector_lookup(spark, sf_dir):
-    vocab = vc.build_vocab(table(spark, sf_dir, "documents"), "doc_id", "text")
+    vocab = saved_vocab(spark, sf_dir)
     found = vc.word_vector_lookup(vocab, word_vectors(spark, sf_dir))
     hit = F.when(~F.col("oov"), F.col("vector"))
     return found.select("token", "oov", *_checked(hit))
@@ -258,7 +258,7 @@ def word_vector_lookup(spark, sf_dir):
 )
 def embedding_matrix(spark, sf_dir):
     """The random rows differ by engine, so only their width and flag are compared."""
-    vocab = vc.build_vocab(table(spark, sf_dir, "documents"), "doc_id", "text")
+    vocab = saved_vocab(spark, sf_dir)
     matrix = vc.embedding_matrix(vocab, word_vectors(spark, sf_dir), dim=64)
     hit = F.when(~F.col("oov"), F.col("vector"))
     return matrix.select("id", "token", "oov", F.size("vector").alias("width"), *_checked(hit))
