@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomset.functions.binding import let
+
 PLOT_MARKER = "Plot: "
 NOTE_MARKER = "\nNote"
 TRIM_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
@@ -55,10 +57,15 @@ def genres_raw(content: Column) -> Column:
 
 def parse_strict(messages: Column) -> Column:
     """Struct ``(plot, genres)``; both are null when any step fails."""
-    plot = plot_strict(message(messages, 0))
-    genres = genres_raw(message(messages, 1))
-    ok = plot.isNotNull() & genres.isNotNull()
-    return F.struct(F.when(ok, plot).alias("plot"), F.when(ok, genres).alias("genres"))
+    parts = F.struct(
+        plot_strict(message(messages, 0)).alias("plot"), genres_raw(message(messages, 1)).alias("genres")
+    )
+
+    def both_or_none(p: Column) -> Column:
+        ok = p["plot"].isNotNull() & p["genres"].isNotNull()
+        return F.struct(F.when(ok, p["plot"]).alias("plot"), F.when(ok, p["genres"]).alias("genres"))
+
+    return let(parts, both_or_none)
 
 
 def pipe_join(labels: Column) -> Column:

@@ -38,11 +38,14 @@ def _pair_counts(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
 def confusion_matrix(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
     """``(y_true, y_pred, n)`` over the union of both label sets, zero cells included."""
     counts = _pair_counts(df, y_true, y_pred)
-    seen = counts.select(F.explode(F.array("y_true", "y_pred")).alias("y_true")).distinct()
+    # The count is kept up to here so that both uses share one shuffle of the pairs.
+    both = counts.select(F.explode(F.array("y_true", "y_pred")).alias("y_true"), "n")
+    seen = both.groupBy("y_true").agg(F.sum("n").alias("rows")).where("rows > 0").select("y_true")
     grid = grid_pairs(seen, seen.withColumnRenamed("y_true", "y_pred"), "y_true", "y_pred")
-    return grid.join(counts, ["y_true", "y_pred"], "left").select(
-        "y_true", "y_pred", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
-    )
+    # Zero cells are added up with the counts. A join would ask for labels that are not
+    # null, and Spark would score the rows a second time to check.
+    empty = grid.select("y_true", "y_pred", F.lit(0).cast("bigint").alias("n"))
+    return empty.unionByName(counts).groupBy("y_true", "y_pred").agg(F.sum("n").alias("n"))
 
 
 def class_counts(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
@@ -86,30 +89,32 @@ def single_label_f1(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
 
 
 def cell_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``(*by, pos, tp, fp, fn, n)`` per class position."""
-    cells = df.select(*by, F.posexplode(F.arrays_zip("y_true", "y_pred")).alias("pos", "c"))
+    """``(*by, pos, tp, fp, fn, n, exact)`` per class position.
+
+    ``exact`` counts the rows whose whole vector matches; it is the same for every
+    position, because every row has a cell at each.
+    """
+    same = (F.col("y_true") == F.col("y_pred")).cast("int").alias("same")
+    cells = df.select(*by, same, F.posexplode(F.arrays_zip("y_true", "y_pred")).alias("pos", "c"))
     t, p = F.col("c.y_true"), F.col("c.y_pred")
     return cells.groupBy(*by, "pos").agg(
         F.sum(t * p).alias("tp"),
         F.sum((1 - t) * p).alias("fp"),
         F.sum(t * (1 - p)).alias("fn"),
         F.count(F.lit(1)).alias("n"),
+        F.sum("same").alias("exact"),
     )
 
 
 def multilabel_scores(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``(*by, micro_f1, macro_f1, subset_acc, hamming_acc)``."""
-    keys = list(by) or ["_all"]
-    rows = df if by else df.withColumn("_all", F.lit(1))
+    """``(*by, micro_f1, macro_f1, subset_acc, hamming_acc)`` in one pass over the rows."""
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    cells = cell_counts(rows, keys).groupBy(*keys).agg(
+    return cell_counts(df, by).groupBy(*by).agg(
         f1(F.sum(tp), F.sum(fp), F.sum(fn)).alias("micro_f1"),
         F.avg(f1(tp, fp, fn)).alias("macro_f1"),
+        ratio(F.sum("exact"), F.sum("n")).alias("subset_acc"),
         (1.0 - ratio(F.sum(fp + fn), F.sum("n"))).alias("hamming_acc"),
     )
-    whole = rows.groupBy(*keys).agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("int")).alias("subset_acc"))
-    joined = cells.join(whole, keys)
-    return joined.select(*by, "micro_f1", "macro_f1", "subset_acc", "hamming_acc")
 
 
 def micro_f1(df: DataFrame) -> DataFrame:

@@ -84,14 +84,18 @@ def class_scores(
 
 
 def class_names(classes: DataFrame, class_col: str) -> DataFrame:
-    """``(pos, class)`` in the order of the score arrays."""
-    ordered = classes.agg(F.sort_array(F.collect_set(class_col)).alias("names"))
-    return ordered.select(F.posexplode("names").alias("pos", class_col))
+    """One row with the class names in the order of the score arrays."""
+    return classes.agg(F.sort_array(F.collect_set(class_col)).alias("names"))
 
 
-def long_scores(df: DataFrame, id_cols: list[str], scores: str, names: DataFrame, value: str) -> DataFrame:
-    """``(ids, class, value)`` from a score array."""
-    return df.select(*id_cols, F.posexplode(scores).alias("pos", value)).join(names, "pos").drop("pos")
+def long_scores(df: DataFrame, id_cols: list[str], names: DataFrame, arrays: dict[str, str]) -> DataFrame:
+    """``(ids, class, *values)``: score arrays (``{array: value name}``) beside their class names.
+
+    The names are a constant of the plan, laid beside the arrays in each row: no join.
+    """
+    named = df.withColumn("_names", names.select("names").scalar())
+    parts = [F.col("_names").alias("class")] + [F.col(a).alias(v) for a, v in arrays.items()]
+    return named.select(*id_cols, F.inline(F.arrays_zip(*parts)))
 
 
 def zero_shot_predict(

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -235,18 +235,19 @@ def png_bytes(data: bytes, width: int, height: int, color: int = 0, samples: int
 def png_store(spark: SparkSession, sf_dir: str) -> str:
     """Write the gray images as PNG files and return their folder.
 
-    Class 9 has no files and class 8 has files that are no images. The tasks write
-    into the shared folder, which all executors mount.
+    Class 9 has no files and class 8 has files that are no images. The tasks write the
+    files themselves; a repeated task writes the same bytes under the same names.
     """
     folder = shared_dir(spark, "png")
-    local = folder.removeprefix("file://").removeprefix("file:")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(local, exist_ok=True)
+        target = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+        files, root = FileSystem.from_uri(target)
+        files.create_dir(root, recursive=True)
         for batch in batches:
             for row in batch.itertuples():
                 body = b"not an image" if row.label == 8 else png_bytes(row.data, row.width, row.height)
-                with open(f"{local}/{row.file_name}", "wb") as out:
+                with files.open_output_stream(f"{root}/{row.file_name}") as out:
                     out.write(body)
             yield batch[["vec_id"]]
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomset.operators import images as im
 from loomset.operators.stats import value_counts
 from loomset.sources import images as src
-from loomset.sources.storage import shared_dir
+from loomset.sources.storage import shared_dir, stored
 from registry import query
 from registry.fixtures import gray_images, png_store, r6, table
 from registry.sql import GRAY
@@ -75,7 +75,8 @@ def image_size_pairs(spark, sf_dir):
     WHERE sharpness < (SELECT quantile_cont(sharpness, 0.95) FROM quality)""",
 )
 def sharpness_contrast_filtered(spark, sf_dir):
-    kept = im.sharpness_contrast_filtered(im.image_quality(gray_images(spark, sf_dir)))
+    measures = stored(im.image_quality(gray_images(spark, sf_dir)), "quality")
+    kept = im.sharpness_contrast_filtered(measures)
     return _rounded(kept, "sharpness", "contrast").select(
         F.col("path").cast("bigint").alias("vec_id"), "sharpness", "contrast"
     )

@@ -12,14 +12,11 @@ from registry.fixtures import LOGIT_SCALE, halves, prototype_scores, prototypes,
 from registry.sql import PROTOTYPES, SCORES, ZERO_SHOT
 
 
-def names(df):
-    return sc.class_names(df, "label").withColumnRenamed("label", "class")
-
-
 @query("zero_shot_logits", f"WITH {SCORES} SELECT vec_id, c AS class, round(s, 6) + 0.0 AS logit FROM scores")
 def zero_shot_logits(spark, sf_dir):
     scored = prototype_scores(spark, sf_dir)
-    return sc.long_scores(scored, ["vec_id"], "scores", names(scored), "logit").withColumn("logit", r6("logit"))
+    names = sc.class_names(scored, "label")
+    return sc.long_scores(scored, ["vec_id"], names, {"scores": "logit"}).withColumn("logit", r6("logit"))
 
 
 def zero_shot(spark, sf_dir):
@@ -35,9 +32,9 @@ def zero_shot(spark, sf_dir):
 )
 def zero_shot_predict(spark, sf_dir):
     modes = sc.by_mode(zero_shot(spark, sf_dir), ["vec_id"])
-    cells = modes.select("vec_id", "mode", F.posexplode(F.arrays_zip("probs", "y_pred")).alias("pos", "c"))
-    long = cells.join(names(table(spark, sf_dir, "embeddings")), "pos")
-    return long.select("vec_id", "mode", "class", r6("c.probs").alias("prob"), F.col("c.y_pred").alias("pred"))
+    names = sc.class_names(table(spark, sf_dir, "embeddings"), "label")
+    long = sc.long_scores(modes, ["vec_id", "mode"], names, {"probs": "prob", "y_pred": "pred"})
+    return long.withColumn("prob", r6("prob"))
 
 
 @query(
@@ -50,7 +47,8 @@ def linear_head_scores(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     heads = prototypes(rows, "embedding").withColumn("b", F.col("label") * F.lit(0.01))
     scored = sc.linear_head_scores(rows, "vec_id", "embedding", heads, "label", "w", "b")
-    return sc.long_scores(scored, ["vec_id"], "logits", names(rows), "logit").withColumn("logit", r6("logit"))
+    names = sc.class_names(rows, "label")
+    return sc.long_scores(scored, ["vec_id"], names, {"logits": "logit"}).withColumn("logit", r6("logit"))
 
 
 @query("linear_probe")
