@@ -32,7 +32,11 @@ def _shrink(image: np.ndarray, limit: int) -> np.ndarray:
 def quality(rgb: np.ndarray) -> tuple[float, float, float, float]:
     """Variance of the Laplacian, contrast, mean red, mean green of ``[H, W, 3]``."""
     gray = np.floor(rgb @ LUMA + 0.5)
-    edge = np.pad(gray, 1, mode="reflect" if min(gray.shape) > 1 else "edge")
+    edge = gray
+    for axis, length in enumerate(gray.shape):
+        # The border mirrors around the edge pixel; a single row or column repeats.
+        widths = [(1, 1) if a == axis else (0, 0) for a in (0, 1)]
+        edge = np.pad(edge, widths, mode="reflect" if length > 1 else "edge")
     around = edge[:-2, 1:-1] + edge[2:, 1:-1] + edge[1:-1, :-2] + edge[1:-1, 2:]
     return float((around - 4.0 * gray).var()), float(gray.std()), float(rgb[..., 0].mean()), float(rgb[..., 1].mean())
 

@@ -11,6 +11,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomset.functions.label_names import CIFAR_10, by_id
 from loomset.functions.text import clean_tokens, default_stop_words, remove_stopwords, tokenize_words_punct, word_count
 from loomset.functions.vectors import argmax
 from loomset.operators.dense import class_mean_vector
@@ -42,8 +43,8 @@ SCHEMAS = {
     "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
 }
 
-# Names for the ten vector classes; 9 is left out to test unknown labels.
-CLASS_NAMES = dict(enumerate("zero one two three four five six seven eight".split()))
+# The last of the ten vector classes is left out to test unknown labels.
+CLASS_NAMES = by_id(CIFAR_10[:9])
 LOGIT_SCALE = 10.0
 
 

@@ -149,6 +149,12 @@ def test_align_by_key(spark, folder):
     assert [(r["id"], r["width"]) for r in got] == [(1, 6)]
 
 
+def test_thin_image_mirrors_along_its_length():
+    row = np.array([[0.0, 10.0, 40.0]])[:, :, None].repeat(3, axis=2)
+    # across: the row repeats and cancels; along: 10+10-0, 0+40-20, 10+10-80
+    assert im.quality(row)[0] == pytest.approx(np.var([20.0, 20.0, -60.0]))
+
+
 def test_shrinking_keeps_the_mean():
     image = np.arange(600 * 300 * 3, dtype=float).reshape(600, 300, 3) % 256
     small = im._shrink(image, 256)
