@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 WORD_CHARS = r"\p{L}\p{N}_"
 CLEAN_TOKEN = rf"(?<![{WORD_CHARS}])[a-z]{{3,}}+(?![{WORD_CHARS}])"
-WORD_OR_PUNCT = rf"[{WORD_CHARS}]+|[^{WORD_CHARS}\s]"
-# White space as Python's str.split() sees it: Unicode, with the no-break spaces.
+# White space is Unicode, with the no-break spaces and the ASCII separators.
+WORD_OR_PUNCT = rf"[{WORD_CHARS}]+|[^{WORD_CHARS}\p{{IsWhite_Space}}\x1c-\x1f]"
 SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 

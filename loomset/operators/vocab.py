@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +15,7 @@ from loomset.plans.ranking import global_index
 
 PAD, UNK = 0, 1
 SPECIAL_TOKENS = [("<pad>", PAD), ("<unk>", UNK)]
-SPREAD = 4096
+MAX_LOCAL_ENTRIES = 1_000_000
 
 
 def document_tokens(text: Column, max_chars: int | None) -> Column:
@@ -41,30 +44,36 @@ def build_vocab(df: DataFrame, id_col: str, text_col: str, max_chars: int | None
     return special.unionByName(numbered)
 
 
+def _entries(vocab: DataFrame) -> DataFrame:
+    return vocab.where(~F.col("token").isin([t for t, _ in SPECIAL_TOKENS]))
+
+
 def vocab_lookup(
-    tokens: DataFrame, vocab: DataFrame, token: str = "token", output: str = "token_id", hot_tokens: int = 10_000
+    tokens: DataFrame,
+    vocab: DataFrame,
+    token: str = "token",
+    output: str = "token_id",
+    max_entries: int = MAX_LOCAL_ENTRIES,
+    hot_tokens: int = 100_000,
 ) -> DataFrame:
     """Add the id of every token; tokens outside the vocabulary get 1, null stays null.
 
-    Text is Zipf-shaped, so the join runs in two steps. The ``hot_tokens`` most
-    frequent entries are broadcast (that many rows at most). Every other token holds
-    less than ``1 / hot_tokens`` of the rows and goes through an ordinary join,
-    where rows already answered carry a spread key that matches nothing.
+    A vocabulary counted to at most ``max_entries`` rows is broadcast. In a larger one
+    the ``hot_tokens`` most frequent entries are broadcast, which answers most rows
+    where they are: text is Zipf-shaped. Only the remaining rows are shuffled, and
+    each of their tokens holds less than ``1 / hot_tokens`` of all rows.
     """
-    entries = vocab.where(~F.col("token").isin([t for t, _ in SPECIAL_TOKENS]))
+    entries = _entries(vocab).select(F.col("token").alias(token), F.col("id").alias("_id"))
+    unknown = F.lit(UNK).cast("bigint")
+    value = F.when(F.col(token).isNotNull(), F.coalesce("_id", unknown)).alias(output)
+    if entries.count() <= max_entries:
+        return tokens.join(F.broadcast(entries), token, "left").select(*tokens.columns, value)
     order = [F.desc("n_docs"), F.asc("token")] if "n_docs" in vocab.columns else [F.asc("id")]
-    hot = entries.orderBy(*order).limit(hot_tokens).select(F.col("token").alias(token), F.col("id").alias("_hot"))
-    rest = entries.select(F.col("token").alias("_key"), F.col("id").alias("_rest"))
-    # No token holds white space. The key is a function of the row, so that a repeated
-    # task sends every row the same way.
-    spread = F.concat(F.lit(" "), F.pmod(F.xxhash64(*tokens.columns), F.lit(SPREAD)).cast("string"))
-    answered = F.col("_hot").isNotNull() | F.col(token).isNull()
-    step = tokens.join(F.broadcast(hot), token, "left").withColumn(
-        "_key", F.when(answered, spread).otherwise(F.col(token))
-    )
-    found = step.join(rest, "_key", "left")
-    value = F.when(F.col(token).isNotNull(), F.coalesce("_hot", "_rest", F.lit(UNK).cast("bigint")))
-    return found.withColumn(output, value).drop("_hot", "_key", "_rest")
+    hot = _entries(vocab).orderBy(*order).limit(hot_tokens).select(F.col("token").alias(token), F.col("id").alias("_id"))
+    tried = tokens.join(F.broadcast(hot), token, "left").select(*tokens.columns, "_id")
+    answered = F.col("_id").isNotNull() | F.col(token).isNull()
+    rare = tried.where(~answered).drop("_id").join(entries, token, "left")
+    return tried.where(answered).select(*tokens.columns, value).unionByName(rare.select(*tokens.columns, value))
 
 
 def attention_mask(n_tokens: Column, length: int) -> Column:
@@ -73,6 +82,22 @@ def attention_mask(n_tokens: Column, length: int) -> Column:
     return F.concat(F.array_repeat(F.lit(1), real), F.array_repeat(F.lit(0), F.lit(length) - real))
 
 
+def _ids_in_place(vocab: DataFrame):
+    """Arrow function from token arrays to id arrays, for a vocabulary of known size."""
+    stored = _entries(vocab).select("token", "id").toArrow()
+    known = stored.column("token").combine_chunks()
+    ids = stored.column("id").combine_chunks()
+
+    @F.arrow_udf("array<bigint>")
+    def encode(tokens: pa.Array) -> pa.Array:
+        places = pc.index_in(tokens.flatten(), value_set=known)
+        values = pc.fill_null(pc.take(ids, places), UNK)
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(tokens).to_numpy(zero_copy_only=False))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+    return encode
+
+
 def encode_sequences(
     df: DataFrame,
     id_col: str,
@@ -81,25 +106,31 @@ def encode_sequences(
     length: int = 100,
     max_chars: int | None = 512,
     keep: Sequence[str] = (),
+    max_entries: int = MAX_LOCAL_ENTRIES,
 ) -> DataFrame:
     """``(id, *keep, n_tokens, input_ids, attention_mask)`` of exactly ``length`` entries.
 
-    Texts are cut to ``length`` tokens before they are exploded, so a document is a
-    group of at most ``length`` rows.
+    A vocabulary counted to at most ``max_entries`` rows goes to the tasks as Arrow arrays
+    and every document is encoded where it is, without a shuffle. Beyond that the
+    tokens are exploded and joined; a document is then a group of at most ``length``
+    rows, because texts are cut to ``length`` tokens first.
     """
     tokens = F.slice(document_tokens(F.col(text_col), max_chars), F.lit(1), F.lit(length))
-    exploded = df.select(id_col, *keep, F.posexplode_outer(tokens).alias("pos", "token"))
-    coded = vocab_lookup(exploded, vocab)
-    pairs = F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id")))
-    grouped = coded.groupBy(id_col, *keep).agg(F.array_sort(pairs).alias("pairs"))
-    ids = F.transform("pairs", lambda p: p["token_id"])
-    n = F.size("pairs")
+    if vocab.count() <= max_entries:
+        coded = df.select(id_col, *keep, _ids_in_place(vocab)(tokens).alias("ids"))
+    else:
+        exploded = df.select(id_col, *keep, F.posexplode_outer(tokens).alias("pos", "token"))
+        found = vocab_lookup(exploded, vocab, max_entries=max_entries)
+        pairs = F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id")))
+        grouped = found.groupBy(id_col, *keep).agg(F.array_sort(pairs).alias("pairs"))
+        coded = grouped.select(id_col, *keep, F.transform("pairs", lambda p: p["token_id"]).alias("ids"))
+    n = F.size("ids")
     padding = F.array_repeat(F.lit(PAD).cast("bigint"), F.lit(length) - n)
-    return grouped.select(
+    return coded.select(
         id_col,
         *keep,
         n.alias("n_tokens"),
-        F.concat(ids, padding).alias("input_ids"),
+        F.concat("ids", padding).alias("input_ids"),
         attention_mask(n, length).alias("attention_mask"),
     )
 

@@ -13,19 +13,18 @@ CLEAN = (
     rf"list_filter(regexp_extract_all(lower(text), '{WORDS}'), "
     r"lambda x: regexp_full_match(x, '[a-z]{3,}'))"
 )
-PUNCT_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
-PUNCT_TOKENS = f"regexp_extract_all(lower(text), '{PUNCT_PATTERN}')"
-WORD_COUNT = (
-    r"len(list_filter(regexp_split_to_array(text, "
-    r"'[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), "
-    r"lambda w: w <> ''))"
+SPACE = (
+    r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+PUNCT_PATTERN = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{SPACE}]"
+PUNCT_TOKENS = f"regexp_extract_all(lower(text), '{PUNCT_PATTERN}')"
+WORD_COUNT = f"len(list_filter(regexp_split_to_array(text, '[{SPACE}]+'), lambda w: w <> ''))"
 
 
 def english_stop_words() -> list[str]:
     """The stop list that ships in Spark's own jar, read without a session."""
-    home = os.environ.get("SPARK_HOME") or os.path.dirname(pyspark.__file__)
-    jars = glob.glob(f"{home}/jars/spark-mllib_*.jar")
+    homes = [os.path.dirname(pyspark.__file__), os.environ.get("SPARK_HOME", "")]
+    jars = [jar for home in homes for jar in glob.glob(f"{home}/jars/spark-mllib_*.jar")]
     with zipfile.ZipFile(jars[0]) as jar:
         text = jar.read("org/apache/spark/ml/feature/stopwords/english.txt").decode()
     return text.split("\n")

@@ -126,7 +126,7 @@ def test_class_means_count_empty_documents(spark):
         want[(DOCS[i][1], t)] += w / 2
     assert got == pytest.approx(dict(want))
     top = rows(ti.top_terms(ti.class_mean_weights(means, model, "k"), "k", 1), "k", "term")
-    assert top == [("x", "cat"), ("y", "emu")]
+    assert top == [("x", "dog"), ("y", "emu")]
     sim = {(a, b): s for a, b, s in rows(class_similarity(means, "k"), "a", "b", "similarity")}
     assert len(sim) == 9 and sim[("x", "x")] == pytest.approx(1) and sim[("z", "z")] == 0 and sim[("x", "z")] == 0
 
@@ -156,25 +156,27 @@ def test_vocab_in_first_seen_order(spark):
     assert dict(rows(vc.build_vocab(df, "id", "text", 3), "token", "id")) == brute_vocab(SENTENCES, 3)
 
 
-@pytest.mark.parametrize("hot", [1, 3, 10_000])
-def test_lookup_is_the_same_for_any_hot_list(spark, hot):
+@pytest.mark.parametrize("limit, hot", [(1_000_000, 1), (0, 1), (0, 3), (0, 10_000)])
+def test_lookup_is_the_same_on_every_path(spark, limit, hot):
     vocab = vc.build_vocab(spark.createDataFrame(SENTENCES, "id INT, text STRING"), "id", "text")
     known = brute_vocab(SENTENCES)
     tokens = spark.createDataFrame(
         [(i, t) for i, t in enumerate(["a", "zzz", None, "b", "<pad>", "f"] * 40)], "n INT, token STRING"
     )
-    got = rows(vc.vocab_lookup(tokens, vocab, hot_tokens=hot), "token", "token_id")
+    got = rows(vc.vocab_lookup(tokens, vocab, max_entries=limit, hot_tokens=hot), "token", "token_id")
     assert len(got) == 240
     for token, value in got:
         want = None if token is None else 1 if token == "<pad>" else known.get(token, 1)
         assert value == want
 
 
-def test_encoded_length_mask_and_padding(spark):
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_encoded_length_mask_and_padding(spark, limit):
     df = spark.createDataFrame(SENTENCES, "id INT, text STRING")
     known = brute_vocab(SENTENCES)
     vocab = vc.build_vocab(df, "id", "text")
-    for r in vc.encode_sequences(df, "id", "text", vocab, length=10).collect():
+    assert vc.encode_sequences(df, "id", "text", vocab, max_entries=limit).count() == len(SENTENCES)
+    for r in vc.encode_sequences(df, "id", "text", vocab, length=10, max_entries=limit).collect():
         text = dict(SENTENCES)[r["id"]] or ""
         ids = [known[t] for t in re.findall(r"\w+|[^\w\s]", text[:512].lower())][:10]
         assert r["n_tokens"] == len(ids)
