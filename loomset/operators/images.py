@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomset.operators.stats import value_counts
 from loomset.plans.quantiles import exact_quantile
 
 QUALITY_FIELDS = "sharpness DOUBLE, contrast DOUBLE, r_avg DOUBLE, g_avg DOUBLE"
@@ -88,7 +89,7 @@ def metadata_align(rows: DataFrame, quality_rows: DataFrame, key: str) -> DataFr
 
 
 def image_size_pairs(images: DataFrame) -> DataFrame:
-    return images.groupBy("width", "height").agg(F.count(F.lit(1)).alias("n"))
+    return value_counts(images, ["width", "height"])
 
 
 def sharpness_contrast_filtered(measures: DataFrame, q: float = 0.95) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomset.operators import images as im
-from loomset.operators.stats import value_counts
 from loomset.sources import images as src
 from loomset.sources.storage import shared_dir, stored
 from registry import query
