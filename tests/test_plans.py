@@ -129,3 +129,11 @@ def test_quantile_search_is_exact(spark, values, q):
 
 def test_quantile_of_nothing(spark):
     assert exact_quantile(spark.createDataFrame([(None,)], "x DOUBLE"), "x", 0.5).first()[0] is None
+
+
+def test_task_functions_travel_with_their_code():
+    """Workers start in another folder than the driver and have no copy of the packages."""
+    import registry  # noqa: F401
+    from pyspark import cloudpickle
+
+    assert {"loomset", "registry"} <= set(cloudpickle.list_registry_pickle_by_value())
