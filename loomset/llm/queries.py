@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm import oracles, quality_rules
+from loomset.llm import oracles, quality_rules, rule_ensemble
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +28,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     judged = quality_rules.judge(docs)
     return judged.select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in [*names, "removed_words"]])
+
+
+@query
+def op3_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, learnt outside the held-out fold."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = rule_ensemble.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = rule_ensemble.classify(docs, model)
+    held_out = rule_ensemble.is_held_out(F.col("doc_id"))
+    return scored.select("doc_id", held_out.alias("held_out"), "quality.score", "quality.predicted")
