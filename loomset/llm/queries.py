@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm import oracles, quality_rules, rule_ensemble
+from loomset.llm import near_dedup, oracles, packing, quality_rules, rule_ensemble
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +39,19 @@ def op3_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = rule_ensemble.classify(docs, model)
     held_out = rule_ensemble.is_held_out(F.col("doc_id"))
     return scored.select("doc_id", held_out.alias("held_out"), "quality.score", "quality.predicted")
+
+
+@query
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates of every document, and the links of its text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return near_dedup.classes(docs)
+
+
+@query
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of at most 1024 tokens."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    packed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "tier", "step_id"]
+    return packed.select(*names, F.crc32("ids").alias("ids_crc32"))
