@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm import near_dedup, oracles, packing, quality_rules, rule_ensemble
+from loomset.llm import (
+    near_dedup,
+    oracles,
+    packing,
+    piece_encoding,
+    quality_rules,
+    rule_ensemble,
+    token_lengths,
+    vector_search,
+)
+from loomset.sources.storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +65,32 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "tier", "step_id"]
     return packed.select(*names, F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op8_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suffix sums of the lengths of all documents, by encoded length."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
+    lengths = token_lengths.encoded_lengths(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return token_lengths.suffix_sums(stored(token_lengths.length_histogram(lengths), "lengths"))
+
+
+@query
+def op9_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of the text decoded from them."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    done = piece_encoding.decode(piece_encoding.encode(docs, model), model)
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all other vectors for every vector whose id is divisible by 50."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return vector_search.top_k(vectors, F.col("vec_id") % 50 == 0)
