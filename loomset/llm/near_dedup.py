@@ -187,60 +187,94 @@ def similarity(pairs: DataFrame, left: str, right: str, weights: Weights) -> Dat
     return pairs.mapInArrow(run, pairs.select(*kept).schema.add("similarity", "double"))
 
 
-def open_pairs(members: DataFrame, names: DataFrame | None, leaders: int) -> DataFrame:
-    """(bucket, a, b): up to ``leaders`` members of each bucket against its other members.
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): the member of each bucket that meets most others, against the bucket's other members.
 
-    ``members`` has (bucket, text) still to be compared. Texts that are known to be of
-    one component need no comparison, and leaders come from outside the bucket's
-    largest component. Every pair that a leader is in is settled by this.
+    ``members`` has (bucket, text, n): a bucket's texts and their number. The original of
+    a group of edited copies is closer to each of them than they are to one another, so
+    it shares the most buckets and is the hub that joins them.
+    """
+    met = members.groupBy("text").agg(F.sum("n").alias("met"))
+    ranked = members.join(met, "text")
+    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("met", "text"))["text"].alias("hub"))
+    pairs = members.join(hubs, "bucket").filter("hub <> text")
+    return pairs.select(F.least("hub", "text").alias("a"), F.greatest("hub", "text").alias("b")).distinct()
+
+
+def shared_weights(bodies: DataFrame, weights: Weights) -> DataFrame:
+    """(key, total, shared): a text's weight, and that of its shingles which other components have too.
+
+    ``bodies`` has (key, text, part), the hash of the text's component.
+    """
+    held = bodies.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                row, ids, times = counted(shingle_keys(piece.column("text")))
+                own = [piece.column(c).take(pa.array(row)) for c in ("key", "part")]
+                columns = [*own, pa.array(ids.astype(np.int64)), pa.array(held.value.of(ids, times))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "part", "id", "w"])
+
+    schema = bodies.select("key", "part").schema.add("id", T.LongType()).add("w", T.DoubleType())
+    every = stored(bodies.select("key", "text", "part").mapInArrow(run, schema), "shingles")
+    more = every.groupBy("id").agg(F.min("part").alias("a"), F.max("part").alias("b"))
+    more = more.filter("a < b").select("id", F.lit(True).alias("more"))
+    both = every.join(more, "id", "left")
+    return both.groupBy("key").agg(F.sum("w").alias("total"), F.sum(F.when(F.col("more"), F.col("w")).otherwise(0.0)).alias("shared"))
+
+
+def open_pairs(members: DataFrame, names: DataFrame, bodies: DataFrame, weights: Weights, least: float) -> DataFrame:
+    """(a, b): texts of a bucket that may be similar and are in different components.
+
+    Texts known to be of one component need no comparison, so one of a pair is outside
+    the bucket's largest component. What two texts share is at most the lesser of their
+    weights in shingles that other components have too, which bounds their similarity:
+    most edited copies of two alike originals cannot be similar to each other.
     """
-    if names is None:
-        heads = members.groupBy("bucket").agg(F.min("text").alias("a"))
-        return members.join(heads, "bucket").filter("a <> text").select("bucket", "a", F.col("text").alias("b"))
     known = members.join(names.withColumnRenamed("node", "text"), "text", "left")
-    known = known.withColumn("component", F.coalesce("component", "text"))
+    known = known.select("bucket", "text", F.coalesce("component", "text").alias("component"))
     sizes = known.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     top = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts"))
-    known = known.join(top.filter("parts > 1").select("bucket", F.col("top.component").alias("main")), "bucket")
-    # the smallest of a bucket's other members: combined in each task before the shuffle
-    heads = known.filter("component <> main").groupBy("bucket", (F.xxhash64("text") % leaders).alias("slot"))
-    heads = heads.agg(F.min(F.struct("text", "component")).alias("head")).select("bucket", "head")
-    met = known.join(heads, "bucket").filter("component <> head.component")
-    return met.select("bucket", F.col("head.text").alias("a"), F.col("text").alias("b"))
+    known = stored(known.join(top.filter("parts > 1").select("bucket", F.col("top.component").alias("main")), "bucket"), "open")
+    parts = known.select(F.col("text").alias("key"), F.xxhash64("component").alias("part")).distinct()
+    texts = bodies.join(parts, "key")
+    sums = shared_weights(texts, weights).filter(F.col("shared") >= (least - 1e-9) * F.col("total"))
+    known = stored(known.join(sums.withColumnRenamed("key", "text"), "text"), "open")
+    rest = known.filter("component <> main").select(
+        "bucket", F.col("text").alias("a"), F.col("component").alias("of"), F.col("total").alias("t"), F.col("shared").alias("s")
+    )
+    most = F.least(known["shared"], rest["s"])
+    may = (1 + least) * most >= (least - 1e-9) * (known["total"] + rest["t"])
+    met = known.join(rest, (known["bucket"] == rest["bucket"]) & (known["component"] != rest["of"]) & may)
+    return met.select(F.least("a", "text").alias("a"), F.greatest("a", "text").alias("b")).distinct()
 
 
 def links(texts: DataFrame, sketches: DataFrame, weights: Weights, least: float = SIMILARITY) -> DataFrame:
     """(a, b) of candidate texts at least ``least`` similar, enough to join all that are.
 
     ``texts`` has (text key ``key``, ``text``), ``sketches`` (``key``, ``bands``), a row per text.
-    In each bucket one text is compared with all others, and then more of those outside
-    the largest component with the texts of other components, twice as many each time,
-    until no two texts of a bucket are left uncompared and apart. So no link between
-    components is lost, and groups of copies never make all their pairs.
+    In each bucket a hub is compared with all others, and then the texts outside the
+    bucket's largest component with those of other components. So no link between
+    components is lost, and a group of near copies does not make all its pairs.
     """
     placed = sketches.select(F.col("key").alias("text"), F.posexplode("bands").alias("band", "value"))
-    placed = placed.select(F.struct("band", "value").alias("bucket"), "text")
-    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    placed = placed.select(F.xxhash64("band", "value").alias("bucket"), "text")
+    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = stored(placed.join(shared, "bucket"), "buckets")
     wanted = members.select(F.col("text").alias("key")).distinct()
     bodies = stored(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "candidate-texts")
-    side = lambda name: bodies.select(F.col("key").alias(name), F.col("text").alias(f"{name}_text"))
-    names, judged, found, leaders = None, None, None, 1
-    while True:
-        pairs = stored(open_pairs(members, names, leaders), "pairs")
-        if not pairs.limit(1).count():
-            return found if found is not None else pairs.select("a", "b")
-        fresh = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if judged is not None:
-            fresh = fresh.join(judged.select("a", "b"), ["a", "b"], "left_anti")
-        scored = similarity(fresh.join(side("a"), "a").join(side("b"), "b"), "a_text", "b_text", weights)
-        scored = stored(scored, "judged")
-        judged = scored if judged is None else judged.union(scored)
-        found = judged.filter(F.col("similarity") >= least).select("a", "b")
-        names = stored(components(found), "names")
-        done = pairs.select("bucket", F.col("a").alias("text")).distinct()
-        members = stored(members.join(done, ["bucket", "text"], "left_anti"), "buckets")
-        leaders *= 2
+
+    def judged(pairs: DataFrame, name: str) -> DataFrame:
+        side = lambda x: bodies.select(F.col("key").alias(x), F.col("text").alias(f"{x}_text"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        return stored(similarity(both, "a_text", "b_text", weights), name)
+
+    first = judged(hub_pairs(members), "judged")
+    found = first.filter(F.col("similarity") >= least).select("a", "b")
+    names = stored(components(found), "names")
+    second = open_pairs(members, names, bodies, weights, least).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    return found.union(judged(stored(second, "pairs"), "judged").filter(F.col("similarity") >= least).select("a", "b"))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
