@@ -55,3 +55,31 @@ WITH v AS (
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+OP4_REVISITS = r"""
+WITH u AS (
+  SELECT page_id, octet_length(encode(html)) AS size,
+    regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages WHERE url IS NOT NULL
+), c AS (
+  SELECT page_id, size,
+    regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), ':(80|443)$', ''), '^(www[0-9]*|m)\.', '')
+      || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS page,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(x, '^(?i:utm_[a-z]+|ref|fbclid|gclid)(=|$)'))), '&') AS query FROM u
+), k AS (
+  SELECT page_id, size, page || CASE WHEN query = '' THEN '' ELSE '?' || query END AS page,
+    '"v' || (page_id % 2) || '"' AS tag, 'day ' || (page_id % 5) AS day FROM c
+), a AS (
+  SELECT r.page_id, r.tag, f.page_id AS found, f.tag AS found_tag, f.day, f.size,
+    row_number() OVER (PARTITION BY r.page_id ORDER BY f.page_id DESC NULLS LAST) AS n
+  FROM k AS r LEFT JOIN k AS f
+    ON f.page = r.page AND f.page_id <= r.page_id AND f.page_id % 7 <> 1 AND f.page_id % 11 <> 3
+)
+SELECT 2 * page_id + 1 AS record_id, 2 * found AS refers_to,
+  CASE WHEN found IS NULL THEN 'missing' WHEN tag = found_tag THEN 'resolved' ELSE 'mismatch' END AS outcome,
+  tag AS etag, CASE WHEN tag = found_tag THEN day END AS last_modified,
+  CASE WHEN tag = found_tag THEN 'text/html' END AS content_type,
+  CASE WHEN tag = found_tag THEN CAST(size AS VARCHAR) ELSE '0' END AS content_length,
+  CAST(page_id % 100 AS VARCHAR) AS age
+FROM a WHERE n = 1
+"""

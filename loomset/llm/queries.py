@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomset.llm import (
+    html_render,
+    licences,
     near_dedup,
     oracles,
     packing,
     piece_encoding,
     quality_rules,
+    revisits,
     rule_ensemble,
     token_lengths,
     vector_search,
@@ -94,3 +97,56 @@ def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best of all other vectors for every vector whose id is divisible by 50."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return vector_search.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
+@query
+def op1_html_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    return html_render.extract(pages)
+
+
+def page_captures(pages: DataFrame) -> DataFrame:
+    """Captures made of pages: a response each, and a later revisit of each that a server did not send again.
+
+    A page's time is its id, and its tag and date change with its id's last digits, so that
+    pages of one address tell all outcomes apart. Pages whose id leaves 1 by 7 were
+    only revisited.
+    """
+    page, day = F.col("page_id"), F.col("page_id") % 5
+    tag = F.concat(F.lit('"v'), (page % 2).cast("string"), F.lit('"'))
+    date = F.concat(F.lit("day "), day.cast("string"))
+    sent = F.create_map(
+        F.lit("etag"), tag, F.lit("last-modified"), date, F.lit("content-type"), F.lit("text/html"),
+        F.lit("content-length"), F.octet_length("html").cast("string"), F.lit("age"), F.lit("0"),
+    )
+    kept = F.create_map(F.lit("etag"), tag, F.lit("content-length"), F.lit("0"), F.lit("age"), (page % 100).cast("string"))
+    response = F.struct(
+        (2 * page).alias("record_id"), (10 * page).alias("time"), F.lit("response").alias("kind"),
+        F.when(page % 11 == 3, 404).otherwise(200).alias("status"), sent.alias("headers"),
+    )
+    revisit = F.struct(
+        (2 * page + 1).alias("record_id"), (10 * page + 5).alias("time"), F.lit("revisit").alias("kind"),
+        F.lit(304).alias("status"), kept.alias("headers"),
+    )
+    both = F.when(page % 7 == 1, F.array(revisit)).otherwise(F.array(response, revisit))
+    return pages.select("url", F.inline(both))
+
+
+@query
+def op4_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The response that each revisit stands for, with its merged headers."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    done = revisits.resolve(page_captures(pages))
+    names = ("etag", "last-modified", "content-type", "content-length", "age")
+    headers = [F.col("headers")[x].alias(x.replace("-", "_")) for x in names]
+    return done.select("record_id", "refers_to", "outcome", *headers)
+
+
+@query
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence families that each document names, and its number of notices."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = licences.scan(docs, licences.learn(spark, docs))
+    families = F.array_join(F.array_sort(F.array_distinct("licences.family")), ",")
+    return found.select("doc_id", F.size("licences").alias("n_notices"), families.alias("families"))
