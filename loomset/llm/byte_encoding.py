@@ -1,9 +1,8 @@
-"""Byte-pair encoding of texts with a given vocabulary, with the ids of frequent words kept."""
+"""Byte-pair encoding of whole texts with a given vocabulary."""
 
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from array import array
 
@@ -13,45 +12,21 @@ from loomset.llm.workers import per_worker
 
 #: Fixed value: the published word pattern of this family of vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words kept at a time; all are dropped when there are more.
-MAX_WORDS = 300_000
 
 
 class ByteEncoder:
-    """Ids of whole texts as little-endian 32-bit numbers; special tokens are plain text.
-
-    Where white space is single spaces and line ends between words, no token spans a
-    space, so a text's ids are those of its words in turn. Any other text is encoded whole.
-    """
+    """Ids of texts as little-endian 32-bit numbers; special tokens are plain text."""
 
     def __init__(self, ranks_file: bytes):
         lines = (line.split() for line in ranks_file.splitlines() if line)
         ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
         self.encoding = tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.odd = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
-        self.words: dict[str, bytes] = {}
 
-    def whole(self, text: str) -> bytes:
-        return array("i", self.encoding.encode_ordinary(text)).tobytes()
+    def count(self, text: str) -> int:
+        return len(self.encoding.encode_ordinary(text))
 
     def encode(self, text: str) -> bytes:
-        if not text or self.odd.search(text):
-            return self.whole(text)
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
-        known = self.words
-        parts = text.replace("\n", " \n ").split(" ")
-        out, spaced = [], False
-        for part in parts:
-            if part == "\n":
-                unit, spaced = part, False
-            else:
-                unit, spaced = (" " + part if spaced else part), True
-            ids = known.get(unit)
-            if ids is None:
-                ids = known[unit] = self.whole(unit)
-            out.append(ids)
-        return b"".join(out)
+        return array("i", self.encoding.encode_ordinary(text)).tobytes()
 
 
 def encoder(ranks_file: bytes) -> ByteEncoder:

@@ -27,7 +27,7 @@ from loomset.llm.workers import per_worker
 
 SPACE = "▁"
 #: Words and pairs kept at a time; all are dropped when there are more.
-MAX_WORDS = 300_000
+MAX_WORDS = 800_000
 MAX_PAIRS = 1_000_000
 
 
@@ -55,6 +55,8 @@ class Pieces:
         surface = [name.replace(SPACE, " ").encode() for name in names]
         for value, i in octets.items():
             surface[i] = bytes([value])
+        for i in silent:
+            surface[i] = b""
         scores = {name: model.get_score(i) for name, i in plain.items()}
         return cls(scores, plain, [octets[b] for b in range(256)], model.eos_id(), surface, frozenset(silent))
 
@@ -147,7 +149,7 @@ class PieceEncoder:
     pieces: Pieces
     table: MergeTable
     words: dict[str, bytes] = field(default_factory=dict)
-    pairs: dict[int, bool] = field(default_factory=dict)
+    pairs: dict[tuple[int, int], bool] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.automaton = ahocorasick.Automaton()
@@ -158,29 +160,31 @@ class PieceEncoder:
         self.runs = re.compile(f"[{single}]+|[^{single}]", re.DOTALL)
         self.end = array("i", [self.pieces.end]).tobytes()
 
-    def fits(self, left: int, right: int) -> bool:
-        at = left << 24 | right
-        known = self.pairs.get(at)
-        if known is None:
-            if len(self.pairs) > MAX_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[at] = compatible(self.table, left, right)
-        return known
-
     def run(self, text: str) -> list[int]:
         """Ids of characters that are all in the vocabulary, recovered backwards from the table."""
-        last: list[tuple[int, int] | None] = [None] * len(text)
-        for stop, token in self.automaton.iter(text):
-            if last[stop] is None:
-                start = stop - token[1]
-                if start < 0 or last[start] is not None and self.fits(last[start][0], token[0]):
-                    last[stop] = token
-        out, at = [], len(text) - 1
+        pairs = self.pairs
+        if len(pairs) > MAX_PAIRS:
+            pairs.clear()
+        numbers, lengths = [-1] * len(text), [0] * len(text)
+        for stop, (number, length) in self.automaton.iter(text):
+            if numbers[stop] < 0:
+                start = stop - length
+                if start >= 0:
+                    before = numbers[start]
+                    if before < 0:
+                        continue
+                    fits = pairs.get((before, number))
+                    if fits is None:
+                        fits = pairs[before, number] = compatible(self.table, before, number)
+                    if not fits:
+                        continue
+                numbers[stop], lengths[stop] = number, length
+        out, at, ids = [], len(text) - 1, self.table.ids
         while at >= 0:
-            number, length = last[at]
-            out.append(self.table.ids[number])
-            at -= length
-        return out[::-1]
+            out.append(ids[numbers[at]])
+            at -= lengths[at]
+        out.reverse()
+        return out
 
     def word(self, text: str) -> bytes:
         """Ids of a word with the spaces before it; unknown characters become their bytes."""
@@ -224,10 +228,11 @@ class PieceEncoder:
 
         Bytes that form no character become a replacement character each.
         """
-        ids = [i for i in ids if i not in self.pieces.silent]
         whole = b"".join(map(self.pieces.surface.__getitem__, ids))
-        if ids and self.pieces.surface[ids[0]].startswith(b" ") and ids[0] not in self.pieces.byte_ids:
-            whole = whole[1:]
+        if whole.startswith(b" "):
+            first = next(i for i in ids if i not in self.pieces.silent)
+            if first not in self.pieces.byte_ids:
+                whole = whole[1:]
         try:
             return whole.decode()
         except UnicodeDecodeError:

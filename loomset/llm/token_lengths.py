@@ -20,9 +20,9 @@ def encoded_lengths(docs: DataFrame, ranks_path: str, text: str = "text") -> Dat
     ranks = docs.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks.value).encode
+        count = encoder(ranks.value).count
         for batch in batches:
-            lengths = [len(encode(t.as_py() or "")) // 4 for t in batch.column(0)]
+            lengths = [count(t.as_py() or "") for t in batch.column(0)]
             yield pa.RecordBatch.from_pydict({"n_tokens": pa.array(lengths, pa.int64())})
 
     return docs.select(text).mapInArrow(run, "n_tokens long")
