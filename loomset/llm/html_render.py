@@ -225,10 +225,10 @@ def extract(pages: DataFrame, html_column: str = "html", text: str = "rendered")
     """``pages`` with the visible text of their HTML in place of it.
 
     Narrow. A null page gives a null text, a page without visible text an empty one;
-    what is no markup is text. Rows keep their order and repeats. ``text`` must not be the
-    name of another column.
+    what is no markup is text. Rows keep their order and repeats. A column named
+    ``text`` is replaced.
     """
-    kept = [c for c in pages.columns if c != html_column]
+    kept = [c for c in pages.columns if c not in (html_column, text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomset.llm.workers import share
+
 UNKNOWN = "unknown"
 # Customary short notices of licence families.
 TEMPLATES = {
@@ -171,8 +173,8 @@ def scan(docs: DataFrame, model: LicenceModel, text: str = "text", found: str =
     MIN_SIMILARITY of a template of that family; any other is unknown and not returned.
     Narrow; a null or empty text has none, and rows keep their order and repeats.
     """
-    kept = [c for c in docs.columns if c != text]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [c for c in docs.columns if c not in (text, found)]
+    get = share(docs.sparkSession, model)
     entry = T.StructType.fromDDL("paragraph int, start int, length int, family string, probability double, similarity double")
     schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(found, T.ArrayType(entry))])
     kind = pa.list_(pa.struct([
@@ -185,16 +187,16 @@ def scan(docs: DataFrame, model: LicenceModel, text: str = "text", found: str =
         for i, line in enumerate(whole.split("\n")):
             words = words_of(line)
             if not signals.isdisjoint(words):
-                family, probability = shared.value.predict(words)
+                family, probability = get().predict(words)
                 if family != UNKNOWN and probability >= MIN_PROBABILITY:
-                    like = shared.value.similarity(family, words)
+                    like = get().similarity(family, words)
                     if like >= MIN_SIMILARITY:
                         out.append((i, start, len(line), family, probability, like))
             start += len(line) + 1
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signals = shared.value.signals()
+        signals = get().signals()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from loomset.llm.components import components
 from loomset.llm.shingles import ODD, counted, mix, shingle_keys, slices
+from loomset.llm.workers import share
 from loomset.sources.storage import stored
 
 SIMILARITY = 0.8
@@ -141,7 +142,7 @@ def samples(row: np.ndarray, ids: np.ndarray, weights: np.ndarray, n: int) -> tu
 def sketch(docs: DataFrame, text: str, weights: Weights, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The columns of ``docs``, its text replaced by the hashes of its bands (none without words)."""
     kept = [c for c in docs.columns if c != text]
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    get = share(docs.sparkSession, weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +151,7 @@ def sketch(docs: DataFrame, text: str, weights: Weights, bands: int = BANDS, row
                 ends = np.zeros(piece.num_rows + 1, np.int32)
                 flat = np.zeros(0, np.int64)
                 if len(row):
-                    has, drawn = samples(row, ids, shared.value.of(ids, times), bands * rows)
+                    has, drawn = samples(row, ids, get().of(ids, times), bands * rows)
                     folded = np.zeros((len(has), bands), np.uint64)
                     for k in range(rows):
                         folded = mix(folded + drawn[:, k::rows] + np.uint64(k))
@@ -167,14 +168,14 @@ def sketch(docs: DataFrame, text: str, weights: Weights, bands: int = BANDS, row
 def similarity(pairs: DataFrame, left: str, right: str, weights: Weights) -> DataFrame:
     """``pairs`` with the two texts replaced by their weighted Jaccard ``similarity``."""
     kept = [c for c in pairs.columns if c not in (left, right)]
-    shared = pairs.sparkSession.sparkContext.broadcast(weights)
+    get = share(pairs.sparkSession, weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, left, right):
                 sides = [counted(shingle_keys(piece.column(c))) for c in (left, right)]
                 row, ids, times = (np.concatenate(x) for x in zip(*sides, strict=True))
-                w = shared.value.of(ids, times)
+                w = get().of(ids, times)
                 order = np.lexsort((ids, row))
                 row, ids, w = row[order], ids[order], w[order]
                 twin = np.flatnonzero((row[1:] == row[:-1]) & (ids[1:] == ids[:-1]))
@@ -206,14 +207,14 @@ def shared_weights(bodies: DataFrame, weights: Weights) -> DataFrame:
 
     ``bodies`` has (key, text, part), the hash of the text's component.
     """
-    held = bodies.sparkSession.sparkContext.broadcast(weights)
+    get = share(bodies.sparkSession, weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
                 row, ids, times = counted(shingle_keys(piece.column("text")))
                 own = [piece.column(c).take(pa.array(row)) for c in ("key", "part")]
-                columns = [*own, pa.array(ids.astype(np.int64)), pa.array(held.value.of(ids, times))]
+                columns = [*own, pa.array(ids.astype(np.int64)), pa.array(get().of(ids, times))]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "part", "id", "w"])
 
     schema = bodies.select("key", "part").schema.add("id", T.LongType()).add("w", T.DoubleType())

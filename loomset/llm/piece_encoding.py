@@ -12,7 +12,7 @@ import heapq
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loomset.llm.workers import per_worker
+from loomset.llm.workers import per_worker, share
 
 SPACE = "▁"
 #: Words and pairs kept at a time; all are dropped when there are more.
@@ -256,21 +256,20 @@ def one_by_one(data: bytes) -> str:
     return "".join(out)
 
 
-def _shared(df: DataFrame, path: str):
-    """The model's tables for all executors, made on the driver, with their name."""
-    pieces = Pieces.load(path)
-    name = zlib.crc32(Path(path).read_bytes())
-    shared = df.sparkSession.sparkContext.broadcast((pieces, MergeTable.build(pieces)))
-    return lambda: per_worker(("piece-encoder", name), lambda: PieceEncoder(*shared.value))
+def _shared(df: DataFrame, path: str) -> Callable[[], PieceEncoder]:
+    """An encoder in each worker, with the model's tables made on the driver."""
+    pieces, name = Pieces.load(path), zlib.crc32(Path(path).read_bytes())
+    get = share(df.sparkSession, lambda tables=(pieces, MergeTable.build(pieces)): PieceEncoder(*tables))
+    return lambda: per_worker(("piece-encoder", name), lambda: get()())
 
 
 def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with its text replaced by ``ids``, an array that ends with the end id.
 
     Narrow. A null text is an empty one, which has the end id only; rows keep their
-    order and repeats. ``ids`` must not be the name of another column.
+    order and repeats. A column named ``ids`` is replaced.
     """
-    get, kept = _shared(docs, model_path), [c for c in docs.columns if c != text]
+    get, kept = _shared(docs, model_path), [c for c in docs.columns if c not in (text, ids)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = get()
@@ -287,7 +286,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
 
 def decode(encoded: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids in ``text``. Null ids give a null text, no ids an empty one."""
-    get, kept = _shared(encoded, model_path), encoded.columns
+    get, kept = _shared(encoded, model_path), [c for c in encoded.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = get()
@@ -297,4 +296,4 @@ def decode(encoded: DataFrame, model_path: str, ids: str = "ids", text: str = "d
                 texts = [None if not x.is_valid else encoder.decode(x.values.to_pylist()) for x in piece.column(ids)]
                 yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in kept], pa.array(texts, pa.string())], names=[*kept, text])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(text, T.StringType())]))
+    return encoded.mapInArrow(run, encoded.select(*kept).schema.add(text, T.StringType()))

@@ -85,8 +85,8 @@ def text_key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit("b")).alias("b"))
 
 
-def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The columns of ``docs`` but ``text``, and ``stats``: counts, text key and lines.
+def base_statistics(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+    """``row``, the columns of ``docs`` but ``text``, and ``stats``: counts, text key and lines.
 
     A null text counts as an empty one. ``stats`` holds n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words (long), base_failed, key and lines.
@@ -104,8 +104,8 @@ def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             line_hashes(whole).alias("lines"),
         )
 
-    kept = [c for c in docs.columns if c != text]
-    done = docs.select(*kept, let(split_words(F.col(text)), counts).alias("stats"))
+    kept = F.struct(F.col(host), *[F.col(c) for c in docs.columns if c not in (text, host)])
+    done = docs.select(kept.alias("row"), let(split_words(F.col(text)), counts).alias("stats"))
     n, repeated = F.col("stats.n_words"), F.col("stats.n_repeat_words")
     failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n)
     return done.withColumn("stats", F.col("stats").withField("base_failed", failed))
@@ -120,7 +120,7 @@ def frequent_lines(
     make its own lines frequent. The first shuffle goes by host, line and text: a line
     that stands everywhere is spread over all tasks, and the second one carries counts.
     """
-    where = F.coalesce(F.col(host), F.lit("")).alias("host")
+    where = F.coalesce(F.col(f"row.{host}"), F.lit("")).alias("host")
     texts = base.select(where, F.col("stats.key").alias("key"), F.array_distinct(F.col("stats.lines.line")).alias("at"))
     sizes = texts.groupBy("host", "key").agg(F.lit(1)).groupBy("host").agg(F.count(F.lit(1)).alias("n_texts"))
     seen = texts.select("host", "key", F.explode("at").alias("line")).distinct()
@@ -134,7 +134,7 @@ def removed_lines(base: DataFrame, host: str, frequent: DataFrame) -> DataFrame:
     The frequent lines are unique, so a line of many texts is a skewed key of one side
     only, which Spark can split.
     """
-    where = F.coalesce(F.col(host), F.lit("")).alias("host")
+    where = F.coalesce(F.col(f"row.{host}"), F.lit("")).alias("host")
     texts = base.select(where, F.col("stats.key").alias("key"), F.col("stats.lines").alias("lines"))
     lines = texts.dropDuplicates(["host", "key"]).select("host", "key", F.inline("lines"))
     return (
@@ -149,21 +149,20 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", **limits) -
 
     Adds a struct ``quality``: n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, removed_words (in lines above the limits), kept, key
-    and the hashes of the removed lines. A null host is a host of its own; null and
+    and the hashes of the removed lines; a column of that name is replaced. A null host is a host of its own; null and
     empty texts fail the base rules; repeated rows get the same verdict each; an empty
     table gives an empty one.
     """
-    base = stored(base_statistics(docs, text), "quality-base")
+    base = stored(base_statistics(docs, text, host), "quality-base")
     frequent = stored(frequent_lines(base, host, **limits), "frequent-lines")
     removed = removed_lines(base, host, frequent).select(F.struct("host", "key").alias("of"), "removed_words", "removed")
-    mine = F.struct(F.coalesce(F.col(host), F.lit("")).alias("host"), F.col("stats.key").alias("key"))
+    mine = F.struct(F.coalesce(F.col(f"row.{host}"), F.lit("")).alias("host"), F.col("stats.key").alias("key"))
     lost = F.coalesce(F.col("removed_words"), F.lit(0))
     kept = ~F.col("stats.base_failed") & (lost <= MAX_REMOVED_SHARE * F.col("stats.n_words"))
     verdict = F.col("stats").dropFields("lines")
     verdict = verdict.withField("removed_words", lost).withField("kept", kept).withField("removed", F.col("removed"))
-    rest = [c for c in docs.columns if c != text]
-    left = base.select(F.struct(*rest).alias("row"), "stats", mine.alias("of"))
-    return left.join(removed, "of", "left").select("row.*", verdict.alias("quality"))
+    rest = [F.col("row")[c].alias(c) for c in docs.columns if c not in (text, "quality")]
+    return base.withColumn("of", mine).join(removed, "of", "left").select(*rest, verdict.alias("quality"))
 
 
 def clean(docs: DataFrame, text: str = "text", host: str = "source", length: str | None = "n_chars", **limits) -> DataFrame:
@@ -184,7 +183,7 @@ def clean(docs: DataFrame, text: str = "text", host: str = "source", length: str
     )
     stays = lambda x: ~F.array_contains(F.col("removed"), F.xxhash64(normal(x)))
     cut = F.array_join(F.filter(F.split(F.col(f"row.{text}"), "\n"), stays), "\n")
-    out = rows.select(F.struct("row.*").alias("row"), F.coalesce(cut, F.col(f"row.{text}")).alias("cut"))
+    out = rows.select(F.struct("row.*").alias("row"), F.when(F.col("removed").isNull(), F.col(f"row.{text}")).otherwise(cut).alias("cut"))
     new = {text: F.col("cut")}
     if length in docs.columns:
         new[length] = F.length("cut").cast(docs.schema[length].dataType)

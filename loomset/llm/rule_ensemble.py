@@ -176,10 +176,11 @@ def classify(docs: DataFrame, model: RuleEnsemble, text: str = "text", threshold
     """``docs`` with a struct ``quality``: score (0 to 1) and predicted (1 from the threshold on).
 
     Narrow: no shuffle. Null and empty texts are scored as texts without words; rows keep
-    their order and repeats.
+    their order and repeats; a column named ``quality`` is replaced.
     """
     scored = model.score(F.col("stats"))
     done = docs.select(F.struct("*").alias("row"), statistics(F.col(text)).alias("stats"))
     done = done.select("row", scored.alias("score"))
     verdict = F.struct("score", (F.col("score") >= threshold).cast("int").alias("predicted"))
-    return done.select("row.*", verdict.alias("quality"))
+    rest = [F.col("row")[c].alias(c) for c in docs.columns if c != "quality"]
+    return done.select(*rest, verdict.alias("quality"))

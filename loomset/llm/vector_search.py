@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomset.llm.workers import share
 from loomset.sources.storage import stored
 
 #: The pivots and first bounds come from so many vectors, the first by the hash of their id.
@@ -161,13 +162,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     drawn = rows.select("id", "x").orderBy(F.xxhash64("id"), "id", "x").limit(SAMPLE).toPandas()
     drawn = drawn.drop_duplicates("id")
     made = Searcher(drawn["id"].to_numpy(np.int64), _matrix(drawn["x"], width), float(radius2), k)
-    shared = vectors.sparkSession.sparkContext.broadcast(made)
+    get = share(vectors.sparkSession, made)
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), BLOCK):
                 part = batch.iloc[at : at + BLOCK]
-                pivot, dist = shared.value.key(_matrix(part["x"], width))
+                pivot, dist = get().key(_matrix(part["x"], width))
                 yield part.assign(pivot=pivot, dist=dist)[["id", "x", "pivot", "dist"]]
 
     index = rows.select("id", "x").mapInPandas(keyed, "id long, x array<long>, pivot long, dist double")
@@ -184,7 +185,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     def meet(part: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(part) or not len(queries):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
-        return shared.value.search(
+        return get().search(
             part["id"].to_numpy(np.int64), _matrix(part["x"], width), part["pivot"].to_numpy(), part["dist"].to_numpy(),
             queries["id"].to_numpy(np.int64), _matrix(queries["x"], width),
         )
