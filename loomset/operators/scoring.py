@@ -56,7 +56,9 @@ def class_scores(
     ``max_classes`` class vectors become one matrix and every row is scored where it
     is: no join and no shuffle. The table is read only one row past that limit to
     tell. More classes than that are paired with the items on a grid, and the
-    scores of an item are put together again by its id.
+    scores of an item are put together again by its id and vector. A vector that is null,
+    holds a null or has another length than the classes has null scores, and rows
+    that repeat an id keep their own scores.
     """
     fields = [F.col(class_col).alias("c"), F.col(class_vector).cast("array<double>").alias("v")]
     fields.append(F.col(bias).cast("double").alias("b") if bias else F.lit(0.0).alias("b"))
@@ -64,23 +66,32 @@ def class_scores(
     head = sorted(heads.limit(max_classes + 1).collect(), key=lambda r: r["c"])
     if not head:
         raise ValueError("no class vectors")
+    dim = len(head[0]["v"])
+    if any(len(r["v"]) != dim for r in head):
+        raise ValueError("class vectors of different lengths")
+    given = F.col(vector).cast("array<double>")
+    whole = F.when((F.size(given) == dim) & F.forall(given, lambda v: v.isNotNull()), given)
     if len(head) <= max_classes:
         weights = np.array([r["v"] for r in head], dtype=np.float64)
         if cosine:
             lengths = np.linalg.norm(weights, axis=1, keepdims=True)
             weights = np.divide(weights, lengths, out=np.zeros_like(weights), where=lengths > 0)
         udf = _matrix_scores(weights, np.array([r["b"] for r in head]), cosine, scale)
-        return items.withColumn(output, udf(F.col(vector)))
-    x, w = F.col(vector).cast("array<double>"), F.col("v")
-    left = items.select(id_col, (unit(x) if cosine else x).alias("_x"))
+        return items.withColumn(output, udf(whole))
+    x, w = F.col("_v"), F.col("v")
+    keyed = items.withColumn("_v", whole)
+    keyed = keyed.withColumn("_key", F.struct(F.col(id_col), F.xxhash64("_v"), F.xxhash64("_v", F.lit(1)))).drop("_v")
+    left = items.select(id_col, whole.alias("_v")).filter("_v is not null")
+    left = left.withColumn("_key", F.struct(F.col(id_col), F.xxhash64("_v"), F.xxhash64("_v", F.lit(1))))
+    left = left.dropDuplicates(["_key"]).select("_key", (unit(x) if cosine else x).alias("_x"))
     right = heads.select("c", (unit(w) if cosine else w).alias("_w"), "b")
-    pairs = grid_pairs(left, right, id_col, "c", left_parts=2048, right_parts=4).select(
-        id_col, F.struct("c", (dot(F.col("_x"), F.col("_w")) * scale + F.col("b")).alias("s")).alias("cell")
+    pairs = grid_pairs(left, right, "_key", "c", left_parts=2048, right_parts=4).select(
+        "_key", F.struct("c", (dot(F.col("_x"), F.col("_w")) * scale + F.col("b")).alias("s")).alias("cell")
     )
     # One row's own scores: as many as there are classes, like the answer itself.
-    scored = pairs.groupBy(id_col).agg(F.array_sort(F.collect_list("cell")).alias("cells"))
-    wide = scored.select(id_col, F.transform("cells", lambda c: c["s"]).alias(output))
-    return items.join(wide, id_col, "left")
+    scored = pairs.groupBy("_key").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
+    wide = scored.select("_key", F.transform("cells", lambda c: c["s"]).alias(output))
+    return keyed.join(wide, "_key", "left").drop("_key")
 
 
 def class_names(classes: DataFrame, class_col: str) -> DataFrame:
@@ -112,10 +123,10 @@ def zero_shot_predict(
 ) -> DataFrame:
     """Probabilities and 0/1 predictions of all three modes in one pass over the rows.
 
-    Adds ``probs_<mode>`` and ``pred_<mode>``. A row without one of its vectors has no
-    score per class and is dropped before it is scored.
+    Adds ``probs_<mode>`` and ``pred_<mode>``. A row without one of its vectors is scored
+    by the other one; a mode that it cannot have is null. To score such rows in every mode,
+    fill in the vectors of a blank image or an empty text beforehand.
     """
-    items = items.na.drop(subset=[image_vector, text_vector])
     scored = class_scores(items, id_col, image_vector, image_classes, class_col, class_vector, scale, output="_i")
     scored = class_scores(scored, id_col, text_vector, text_classes, class_col, class_vector, scale, output="_t")
     probs = (
@@ -128,14 +139,14 @@ def zero_shot_predict(
 
 
 def by_mode(predicted: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per (row, mode): ``(*columns, mode, probs, y_pred)``."""
+    """One row per row and mode that it has: ``(*columns, mode, probs, y_pred)``."""
     choices = F.array(
         *[
             F.struct(F.lit(m).alias("mode"), F.col(f"probs_{m}").alias("probs"), F.col(f"pred_{m}").alias("y_pred"))
             for m in MODES
         ]
     )
-    return predicted.select(*columns, F.inline(choices))
+    return predicted.select(*columns, F.inline(F.filter(choices, lambda m: m["probs"].isNotNull())))
 
 
 def linear_head_scores(

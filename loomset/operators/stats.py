@@ -110,9 +110,10 @@ def kde_curve(df: DataFrame, column: str, points: int = 200, bins: int = 50) ->
 
     ``density`` integrates to one; ``scaled`` is the overlay of a count histogram
     with ``bins`` bins. Equal values are counted first, and each distinct value
-    adds to the fixed number of grid points, combined before the shuffle.
+    adds to the fixed number of grid points, combined before the shuffle. Null and NaN
+    are missing. A column without spread has no density: it is null.
     """
-    values = df.select(F.col(column).cast("double").alias("x"))
+    values = df.select(F.col(column).cast("double").alias("x")).filter("x is not null and not isnan(x)")
     shape = (
         values.agg(
             F.count("x").alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("lo"), F.max("x").alias("hi")
@@ -123,7 +124,7 @@ def kde_curve(df: DataFrame, column: str, points: int = 200, bins: int = 50) ->
     )
     counted = values.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
     at = F.col("s.lo") + F.col("point") * (F.col("s.hi") - F.col("s.lo")) / (points - 1)
-    z = (at - F.col("x")) / F.col("s.h")
+    z = F.try_divide(at - F.col("x"), F.col("s.h"))
     sums = (
         counted.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .withColumn("s", shape)
@@ -131,7 +132,7 @@ def kde_curve(df: DataFrame, column: str, points: int = 200, bins: int = 50) ->
         .agg(F.sum(F.col("c") * F.exp(z * z * -0.5)).alias("mass"))
         .withColumn("s", shape)
     )
-    density = F.col("mass") / (F.col("s.n") * F.col("s.h") * F.sqrt(F.lit(2.0) * F.pi()))
+    density = F.try_divide("mass", F.col("s.n") * F.col("s.h") * F.sqrt(F.lit(2.0) * F.pi()))
     width = (F.col("s.hi") - F.col("s.lo")) / bins
     return sums.select(
         "point",

@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name under the cluster's shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``. Only where that is unset, as in
-    a local test, a temporary folder is made and set for the session.
+    The folder comes from ``spark.checkpoint.dir``. Where that is unset, a session on
+    this machine alone gets a temporary folder; on a cluster, whose machines do not
+    share one, it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="loomset-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

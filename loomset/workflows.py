@@ -82,7 +82,7 @@ def evaluate_zero_shot(
     class_vector: str,
     scale: float,
     cut: float = 0.1,
-    sample: int | None = 500,
+    sample: int | None = None,
     seed: int = 42,
 ) -> dict[str, DataFrame]:
     """Scores of the three modes on one fixed sample (None: all rows) and the fused report.

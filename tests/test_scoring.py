@@ -38,7 +38,21 @@ def test_cosine_scores_by_matrix_and_by_grid(items, heads, limit):
     for i in range(30):
         assert got[i] == pytest.approx((3 * cosines()[i]).tolist(), abs=1e-5)
     assert got[30] == [0.0] * 5
-    assert got[31] is None or all(v in (None, 0.0) for v in got[31])
+    assert got[31] is None
+
+
+@pytest.mark.parametrize("limit", [4096, 2])
+def test_uneven_null_and_repeated_vectors(spark, heads, limit):
+    good, other = [float(v) for v in X[0]], [float(v) for v in X[1]]
+    rows = [(1, good), (1, other), (1, other), (2, good[:3]), (3, [*good, 1.0]), (4, [None, *good[1:]]), (5, None), (6, [])]
+    df = spark.createDataFrame(rows, "id INT, v ARRAY<DOUBLE>").repartition(1)
+    got = sc.class_scores(df, "id", "v", heads, "c", "w", cosine=False, max_classes=limit).collect()
+    assert len(got) == 8
+    for r in got:
+        if r["id"] == 1:
+            assert r["scores"] == pytest.approx((W @ np.array(r["v"])).tolist())
+        else:
+            assert r["scores"] is None
 
 
 @pytest.mark.parametrize("limit", [4096, 2])
@@ -59,7 +73,10 @@ def test_zero_shot_modes(spark, heads):
     rows = [(i, [float(v) for v in x], [float(v) for v in -x]) for i, x in enumerate(X)] + [(99, None, [1.0] * 6)]
     df = spark.createDataFrame(rows, "id INT, a ARRAY<FLOAT>, b ARRAY<FLOAT>")
     got = sc.zero_shot_predict(df, "id", "a", "b", heads, heads, "c", "w", scale=5.0).collect()
-    assert len(got) == 30
+    assert len(got) == 31
+    half = next(r for r in got if r["id"] == 99)
+    assert half["probs_image_only"] is None and half["pred_multimodal"] is None and len(half["pred_text_only"]) == 5
+    got = [r for r in got if r["id"] != 99]
 
     def soft(z):
         e = np.exp(z - z.max(axis=1, keepdims=True))
@@ -73,7 +90,7 @@ def test_zero_shot_modes(spark, heads):
         assert r["probs_multimodal"] == pytest.approx(((image[i] + text[i]) / 2).tolist(), abs=1e-5)
         assert sum(r["probs_multimodal"]) == pytest.approx(1)
         assert r["pred_multimodal"] == [int(p > 0.1) for p in r["probs_multimodal"]]
-    assert sc.by_mode(sc.zero_shot_predict(df, "id", "a", "b", heads, heads, "c", "w", 5.0), ["id"]).count() == 90
+    assert sc.by_mode(sc.zero_shot_predict(df, "id", "a", "b", heads, heads, "c", "w", 5.0), ["id"]).count() == 91
 
 
 def test_expressions(spark):

@@ -74,3 +74,11 @@ def test_class_means_and_similarity(spark):
     sim = {(r["a"], r["b"]): r["similarity"] for r in dn.class_similarity(means, "k").collect()}
     assert sim[(0, 1)] == pytest.approx(2**-0.5) and sim[(1, 1)] == pytest.approx(1)
     assert sim[(0, 2)] == sim[(2, 2)] == 0
+
+
+def test_kde_of_a_constant_and_of_missing_values(spark):
+    flat = spark.createDataFrame([(2.0,), (2.0,), (None,)], "x DOUBLE")
+    assert {r["density"] for r in st.kde_curve(flat, "x").collect()} == {None}
+    some = spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "x DOUBLE")
+    more = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (None,), (float("nan"),)], "x DOUBLE")
+    assert st.kde_curve(some, "x").collect() == st.kde_curve(more, "x").collect()
