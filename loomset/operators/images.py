@@ -17,17 +17,23 @@ QUALITY_FIELDS = "sharpness DOUBLE, contrast DOUBLE, r_avg DOUBLE, g_avg DOUBLE"
 LUMA = np.array([0.299, 0.587, 0.114])
 
 
-def _shrink(image: np.ndarray, limit: int) -> np.ndarray:
-    """Block means until both sides fit; an image that fits is left alone."""
-    block = -(-max(image.shape[:2]) // limit)
-    if block <= 1:
+def _area_weights(length: int, target: int) -> np.ndarray:
+    """``[target, length]``: the share of each old pixel in each new one, rows summing to 1."""
+    edges = np.arange(target + 1) * (length / target)
+    old = np.arange(length)
+    overlap = np.minimum(edges[1:, None], old + 1) - np.maximum(edges[:-1, None], old)
+    return np.clip(overlap, 0, None) * (target / length)
+
+
+def _shrink(image: np.ndarray, limit: int | None) -> np.ndarray:
+    """Area means with the longer side at ``limit``; an image that fits is left alone."""
+    height, width = image.shape[:2]
+    longest = max(height, width)
+    if limit is None or longest <= limit:
         return image
-    height, width = (image.shape[0] // block or 1), (image.shape[1] // block or 1)
-    rows = np.add.reduceat(image, np.arange(height) * block, axis=0)
-    cells = np.add.reduceat(rows, np.arange(width) * block, axis=1)
-    tall = np.diff(np.append(np.arange(height) * block, image.shape[0]))
-    wide = np.diff(np.append(np.arange(width) * block, image.shape[1]))
-    return np.rint(cells / (tall[:, None] * wide[None, :])[:, :, None])
+    sides = [max(1, round(n * limit / longest)) for n in (height, width)]
+    rows, columns = _area_weights(height, sides[0]), _area_weights(width, sides[1])
+    return np.rint(np.einsum("ih,hwc,jw->ijc", rows, image, columns, optimize=True))
 
 
 def quality(rgb: np.ndarray) -> tuple[float, float, float, float]:
@@ -48,11 +54,11 @@ def _rgb(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     return np.repeat(image, 3, axis=2) if channels == 1 else image[:, :, 2::-1]
 
 
-def image_quality(images: DataFrame, limit: int = 256) -> DataFrame:
+def image_quality(images: DataFrame, limit: int | None = None) -> DataFrame:
     """Replace ``data`` of scanned images by the four pixel measures.
 
-    Unreadable images keep null measures. Images above ``limit`` pixels on a side are
-    shrunk by block means first.
+    Unreadable images keep null measures. Images are measured at full resolution; with a
+    ``limit``, those with a longer side are first shrunk to it by area means.
     """
 
     @F.pandas_udf(QUALITY_FIELDS)

@@ -205,7 +205,12 @@ def bce_loss(df: DataFrame, logits: str = "logits", y_true: str = "y_true", batc
     rows = bce_rows(df, logits, y_true)
     if batch is None:
         return rows.agg(F.avg("loss").alias("row_mean"))
-    means = rows.groupBy(batch).agg(F.sum("loss").alias("s"), F.count(F.lit(1)).alias("n"))
+    return batch_means(rows, batch)
+
+
+def batch_means(rows: DataFrame, batch: str, loss: str = "loss") -> DataFrame:
+    """``row_mean`` of the losses and the mean of their batch means; only narrow rows are needed."""
+    means = rows.groupBy(batch).agg(F.sum(loss).alias("s"), F.count(F.lit(1)).alias("n"))
     return means.agg(
         (F.sum("s") / F.sum("n")).alias("row_mean"), F.avg(F.col("s") / F.col("n")).alias("batch_mean")
     )

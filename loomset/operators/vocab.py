@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomset.functions.text import tokenize_words_punct
 from loomset.plans.ranking import global_index
+from loomset.sources.storage import stored
 
 PAD, UNK = 0, 1
 SPECIAL_TOKENS = [("<pad>", PAD), ("<unk>", UNK)]
@@ -23,7 +25,7 @@ def document_tokens(text: Column, max_chars: int | None) -> Column:
     return tokenize_words_punct(text if max_chars is None else F.left(text, F.lit(max_chars)))
 
 
-def build_vocab(df: DataFrame, id_col: str, text_col: str, max_chars: int | None = 512) -> DataFrame:
+def build_vocab(df: DataFrame, id_col: str, text_col: str, max_chars: int | None = None) -> DataFrame:
     """``(token, id, n_docs)`` with ids from 2 in first-seen order.
 
     First seen means the smallest (document id, position). A document sends each
@@ -58,18 +60,21 @@ def vocab_lookup(
 ) -> DataFrame:
     """Add the id of every token; tokens outside the vocabulary get 1, null stays null.
 
-    A vocabulary counted to at most ``max_entries`` rows is broadcast. In a larger one
-    the ``hot_tokens`` most frequent entries are broadcast, which answers most rows
-    where they are: text is Zipf-shaped. Only the remaining rows are shuffled, and
-    each of their tokens holds less than ``1 / hot_tokens`` of all rows.
+    A vocabulary counted to at most ``max_entries`` rows is broadcast. For a larger one
+    the rows are stored once and their tokens counted, those outside the vocabulary too.
+    The ``hot_tokens`` most frequent tokens are broadcast with their ids, which answers
+    most rows where they are. Only the remaining rows are shuffled, and each of their
+    tokens holds less than ``1 / hot_tokens`` of all rows.
     """
     entries = _entries(vocab).select(F.col("token").alias(token), F.col("id").alias("_id"))
     unknown = F.lit(UNK).cast("bigint")
     value = F.when(F.col(token).isNotNull(), F.coalesce("_id", unknown)).alias(output)
     if entries.count() <= max_entries:
         return tokens.join(F.broadcast(entries), token, "left").select(*tokens.columns, value)
-    order = [F.desc("n_docs"), F.asc("token")] if "n_docs" in vocab.columns else [F.asc("id")]
-    hot = _entries(vocab).orderBy(*order).limit(hot_tokens).select(F.col("token").alias(token), F.col("id").alias("_id"))
+    tokens = stored(tokens, "lookup")
+    counts = tokens.where(F.col(token).isNotNull()).groupBy(token).agg(F.count(F.lit(1)).alias("_n"))
+    hot = stored(counts.orderBy(F.desc("_n"), token).limit(hot_tokens).select(token), "hot-tokens")
+    hot = hot.join(entries, token, "left").select(token, F.coalesce("_id", unknown).alias("_id"))
     tried = tokens.join(F.broadcast(hot), token, "left").select(*tokens.columns, "_id")
     answered = F.col("_id").isNotNull() | F.col(token).isNull()
     rare = tried.where(~answered).drop("_id").join(entries, token, "left")
@@ -84,16 +89,18 @@ def attention_mask(n_tokens: Column, length: int) -> Column:
 
 def _ids_in_place(vocab: DataFrame):
     """Arrow function from token arrays to id arrays, for a vocabulary of known size."""
-    stored = _entries(vocab).select("token", "id").toArrow()
-    known = stored.column("token").combine_chunks()
-    ids = stored.column("id").combine_chunks()
+    rows = _entries(vocab).select("token", "id").toArrow()
+    known = pd.Index(rows.column("token").to_pandas(), dtype=object)
+    ids = rows.column("id").to_numpy()
 
     @F.arrow_udf("array<bigint>")
     def encode(tokens: pa.Array) -> pa.Array:
-        places = pc.index_in(tokens.flatten(), value_set=known)
-        values = pc.fill_null(pc.take(ids, places), UNK)
-        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(tokens).to_numpy(zero_copy_only=False))])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        # The index hashes its words at the first batch of a task and keeps the table.
+        places = known.get_indexer(pd.Index(tokens.flatten().to_pandas(), dtype=object))
+        values = np.full(len(places), UNK, np.int64)
+        values[places >= 0] = ids[places[places >= 0]]
+        lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values))
 
     return encode
 
@@ -104,25 +111,26 @@ def encode_sequences(
     text_col: str,
     vocab: DataFrame,
     length: int = 100,
-    max_chars: int | None = 512,
+    max_chars: int | None = None,
     keep: Sequence[str] = (),
     max_entries: int = MAX_LOCAL_ENTRIES,
 ) -> DataFrame:
     """``(id, *keep, n_tokens, input_ids, attention_mask)`` of exactly ``length`` entries.
 
     A vocabulary counted to at most ``max_entries`` rows goes to the tasks as Arrow arrays
-    and every document is encoded where it is, without a shuffle. Beyond that the
-    tokens are exploded and joined; a document is then a group of at most ``length``
-    rows, because texts are cut to ``length`` tokens first.
+    and every document is encoded where it is, without a shuffle. Beyond that the rows
+    are stored with a number each, and their tokens exploded and joined; a row is then a
+    group of at most ``length`` tokens. Rows that repeat an id stay rows of their own.
     """
     tokens = F.slice(document_tokens(F.col(text_col), max_chars), F.lit(1), F.lit(length))
     if vocab.count() <= max_entries:
         coded = df.select(id_col, *keep, _ids_in_place(vocab)(tokens).alias("ids"))
     else:
-        exploded = df.select(id_col, *keep, F.posexplode_outer(tokens).alias("pos", "token"))
+        cut = stored(df.select(id_col, *keep, tokens.alias("_tokens"), F.monotonically_increasing_id().alias("_row")), "cut")
+        exploded = cut.select("_row", id_col, *keep, F.posexplode_outer("_tokens").alias("pos", "token"))
         found = vocab_lookup(exploded, vocab, max_entries=max_entries)
         pairs = F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id")))
-        grouped = found.groupBy(id_col, *keep).agg(F.array_sort(pairs).alias("pairs"))
+        grouped = found.groupBy("_row", id_col, *keep).agg(F.array_sort(pairs).alias("pairs"))
         coded = grouped.select(id_col, *keep, F.transform("pairs", lambda p: p["token_id"]).alias("ids"))
     n = F.size("ids")
     padding = F.array_repeat(F.lit(PAD).cast("bigint"), F.lit(length) - n)

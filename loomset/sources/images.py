@@ -63,19 +63,24 @@ def missing_images(source: DataFrame, stored: DataFrame, key: str) -> DataFrame:
 def materialize_missing(source: DataFrame, store_path: str, key: str, data: str) -> DataFrame:
     """Append the images a Parquet store lacks and return the store.
 
-    Running it again adds nothing. The missing keys are found by a join of keys
-    alone. When they are few, they are broadcast and the image bytes are written
-    straight from the scan; otherwise the bytes meet the keys in a shuffle.
+    Running it again adds nothing. Of images with one key, the one with the smallest
+    bytes is stored. The missing keys are found by a join of keys alone. When they are
+    few, they are broadcast and the image bytes are written straight from the scan, those
+    of repeated keys after a shuffle; otherwise the bytes meet the keys in a shuffle.
     """
     spark = source.sparkSession
     images = source.select(key, data)
     stored = spark.read.schema(images.schema).parquet(store_path)
-    missing = missing_images(source.select(key), stored, key).persist()
+    keys = source.groupBy(key).agg((F.count(F.lit(1)) > 1).alias("_repeated"))
+    missing = missing_images(keys, stored, key).persist()
     try:
         n = missing.count()
         if n:
             wanted = F.broadcast(missing) if n <= MAX_BROADCAST_KEYS else missing
-            images.join(wanted, key, "left_semi").write.mode("append").parquet(store_path)
+            found = images.join(wanted, key)
+            alone = found.where(~F.col("_repeated")).select(key, data)
+            least = found.where("_repeated").groupBy(key).agg(F.min(data).alias(data))
+            alone.unionByName(least).write.mode("append").parquet(store_path)
     finally:
         missing.unpersist()
     return spark.read.schema(images.schema).parquet(store_path)

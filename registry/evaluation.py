@@ -133,8 +133,8 @@ def classification_report(spark, sf_dir):
     SELECT round((SELECT avg(l) FROM loss), 6) AS row_mean, round(avg(m), 6) AS batch_mean FROM batches""",
 )
 def bce_loss(spark, sf_dir):
-    batched = shuffle_batches(label_predictions(spark, sf_dir)[0], "o_orderkey", 16)
-    return rounded(mt.bce_loss(batched, batch="batch_id"), "row_mean", "batch_mean")
+    losses = mt.bce_rows(label_predictions(spark, sf_dir)[0]).select("o_orderkey", "loss")
+    return rounded(mt.batch_means(shuffle_batches(losses, "o_orderkey", 16), "batch_id"), "row_mean", "batch_mean")
 
 
 @query(

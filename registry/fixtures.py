@@ -76,9 +76,9 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", word_count(F.col("text")).alias("word_count"))
 
 
-def saved_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+def saved_vocab(spark: SparkSession, sf_dir: str, max_chars: int | None = None) -> DataFrame:
     """The vocabulary of the documents, built once, stored and read back."""
-    return stored(build_vocab(documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text"), "vocab")
+    return stored(build_vocab(documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text", max_chars), "vocab")
 
 
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,10 +198,9 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gray_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gray images 8 pixels high and 6 to 8 wide (by label), as scanned image rows."""
-    width = F.lit(8) - F.col("label") % 3
-    kept = F.filter("pixels", lambda v, i: i % 8 < F.col("width"))
-    data = F.unhex(F.array_join(F.transform(kept, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    """Gray images of 64 pixels, 4, 8 or 16 wide (by label), as scanned image rows."""
+    width = F.pow(F.lit(2), F.lit(2) + F.col("label") % 3)
+    data = F.unhex(F.array_join(F.transform("pixels", lambda v: F.lpad(F.hex(v), 2, "0")), ""))
     return (
         pixels(spark, sf_dir)
         .withColumn("width", width.cast("int"))
@@ -211,7 +210,7 @@ def gray_images(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.format_string("img_%06d.png", F.col("vec_id")).alias("file_name"),
             F.col("vec_id").cast("string").alias("path"),
             "width",
-            F.lit(8).alias("height"),
+            (F.lit(64) / F.col("width")).cast("int").alias("height"),
             F.lit(1).alias("channels"),
             F.lit("L").alias("color_mode"),
             F.lit(0.0).alias("file_size_kb"),
@@ -236,8 +235,8 @@ def png_bytes(data: bytes, width: int, height: int, color: int = 0, samples: int
 def png_store(spark: SparkSession, sf_dir: str) -> str:
     """Write the gray images as PNG files and return their folder.
 
-    Class 9 has no files and class 8 has files that are no images. The tasks write the
-    files themselves; a repeated task writes the same bytes under the same names.
+    The files of class 8 are no images. The tasks write the files themselves; a repeated
+    task writes the same bytes under the same names.
     """
     folder = shared_dir(spark, "png")
 
@@ -252,8 +251,8 @@ def png_store(spark: SparkSession, sf_dir: str) -> str:
                     out.write(body)
             yield batch[["vec_id"]]
 
-    images = gray_images(spark, sf_dir).where("label <> 9")
-    images.select("vec_id", "label", "file_name", "width", "height", "data").mapInPandas(write, "vec_id BIGINT").count()
+    images = gray_images(spark, sf_dir).select("vec_id", "label", "file_name", "width", "height", "data")
+    images.mapInPandas(write, "vec_id BIGINT").count()
     return folder
 
 

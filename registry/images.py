@@ -12,7 +12,7 @@ from registry.fixtures import gray_images, png_store, r6, table
 from registry.sql import GRAY
 
 # length of an uncompressed gray PNG: 57 bytes of frame, 11 of stream, rows of width + 1
-KB = "(68 + 8 * (width + 1)) / 1024.0"
+KB = "(68 + 64 + 64 // width) / 1024.0"
 NAME = "printf('img_%06d.png', vec_id)"
 
 
@@ -23,9 +23,9 @@ def _rounded(df, *names):
 @query(
     "image_scan",
     f"""SELECT {NAME} AS file_name,
-      CASE WHEN label <> 8 THEN CAST(width AS INTEGER) END AS width, CASE WHEN label <> 8 THEN 8 END AS height,
+      CASE WHEN label <> 8 THEN CAST(width AS INTEGER) END AS width, CASE WHEN label <> 8 THEN CAST(64 // width AS INTEGER) END AS height,
       CASE WHEN label <> 8 THEN 'L' END AS color_mode, CASE WHEN label <> 8 THEN round({KB}, 6) END AS file_size_kb
-    FROM (SELECT vec_id, label, 8 - label % 3 AS width FROM embeddings WHERE label <> 9)""",
+    FROM (SELECT vec_id, label, 4 << (label % 3) AS width FROM embeddings)""",
 )
 def image_scan(spark, sf_dir):
     """PNG files, of which class 8 cannot be read."""
@@ -39,14 +39,15 @@ QUALITY = "round(sharpness, 6) AS sharpness, round(contrast, 6) AS contrast, rou
 @query(
     "metadata_align",
     f"""WITH {GRAY}
-    SELECT vec_id, CAST(width AS INTEGER) AS width, round(width / 8.0, 6) AS aspect_ratio, round({KB}, 6) AS file_size_kb, {QUALITY}
-    FROM quality WHERE label < 8""",
+    SELECT vec_id, CAST(width AS INTEGER) AS width, round(width * width / 64.0, 6) AS aspect_ratio, round({KB}, 6) AS file_size_kb, {QUALITY}
+    FROM quality WHERE label <> 8""",
 )
 def metadata_align(spark, sf_dir):
-    """Every vector row beside its PNG file; rows without a readable file fall out."""
+    """Every vector row beside its PNG file; keys without a readable file fall out."""
     measures = im.image_quality(src.scan_images(spark, png_store(spark, sf_dir)))
     rows = table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.format_string("img_%06d.png", F.col("vec_id")).alias("image_key")
+        "vec_id",
+        F.explode(F.array(*[F.format_string(f"{x}_%06d.png", F.col("vec_id")) for x in ("img", "gone")])).alias("image_key"),
     )
     aligned = im.metadata_align(rows, measures, "image_key")
     names = ["aspect_ratio", "file_size_kb", "sharpness", "contrast", "r_avg", "g_avg"]
@@ -62,7 +63,7 @@ def image_quality(spark, sf_dir):
 
 @query(
     "image_size_pairs",
-    "SELECT CAST(8 - label % 3 AS INTEGER) AS width, 8 AS height, count(*) AS n FROM embeddings GROUP BY 8 - label % 3",
+    "SELECT CAST(4 << (label % 3) AS INTEGER) AS width, CAST(64 // (4 << (label % 3)) AS INTEGER) AS height, count(*) AS n FROM embeddings GROUP BY label % 3",
 )
 def image_size_pairs(spark, sf_dir):
     return im.image_size_pairs(gray_images(spark, sf_dir))

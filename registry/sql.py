@@ -57,16 +57,21 @@ means AS (
   SELECT w.lang, term, sum(weight) / max(n) AS mean_weight
   FROM weights w JOIN sizes s ON s.lang = w.lang GROUP BY w.lang, term)"""
 
-# first 512 characters; (token, id)
-VOCAB = f"""firsts AS (
+# (token, id) of whole texts, or of their first characters
+def vocab_sql(text: str = "text") -> str:
+    return f"""firsts AS (
   SELECT token, min(row(doc_id, pos)) AS seen FROM (
     SELECT doc_id, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos
-    FROM (SELECT doc_id, regexp_extract_all(lower(left(text, 512)), '{PUNCT_PATTERN}') AS toks FROM documents))
+    FROM (SELECT doc_id, regexp_extract_all(lower({text}), '{PUNCT_PATTERN}') AS toks FROM documents))
   GROUP BY token),
 vocab AS (
   SELECT token, row_number() OVER (ORDER BY seen) + 1 AS id FROM firsts
   UNION ALL SELECT '<pad>', 0 UNION ALL SELECT '<unk>', 1)"""
 
+
+VOCAB = vocab_sql()
+VOCAB_512 = vocab_sql("left(text, 512)")
+
 WORD_VECTORS = f"""word_vectors AS (
   SELECT word, embedding AS vector FROM (
     SELECT word, row_number() OVER (ORDER BY word) - 1 AS vec_id
@@ -157,9 +162,9 @@ comparison AS (
 # gray images: (vec_id, label, width, x, y, v)
 GRAY = f"""{ENTRIES},
 gray AS (
-  SELECT vec_id, label, 8 - label % 3 AS width, (pos - 1) % 8 AS x, (pos - 1) // 8 AS y,
+  SELECT vec_id, label, width, 64 // width AS height, (pos - 1) % width AS x, (pos - 1) // width AS y,
          CAST(floor((v + 1.0) * 127.5) AS INTEGER) AS v
-  FROM entries WHERE (pos - 1) % 8 < 8 - label % 3),
+  FROM (SELECT *, CAST(4 << (label % 3) AS INTEGER) AS width FROM entries)),
 lap AS (
   SELECT g.vec_id, g.label, g.width, g.v, l.v + r.v + u.v + d.v - 4 * g.v AS edge
   FROM gray g
@@ -167,7 +172,7 @@ lap AS (
   JOIN gray r ON r.vec_id = g.vec_id AND r.y = g.y
     AND r.x = CASE WHEN g.x = g.width - 1 THEN g.width - 2 ELSE g.x + 1 END
   JOIN gray u ON u.vec_id = g.vec_id AND u.x = g.x AND u.y = CASE WHEN g.y = 0 THEN 1 ELSE g.y - 1 END
-  JOIN gray d ON d.vec_id = g.vec_id AND d.x = g.x AND d.y = CASE WHEN g.y = 7 THEN 6 ELSE g.y + 1 END),
+  JOIN gray d ON d.vec_id = g.vec_id AND d.x = g.x AND d.y = CASE WHEN g.y = g.height - 1 THEN g.height - 2 ELSE g.y + 1 END),
 quality AS (
   SELECT vec_id, label, width, var_pop(edge) AS sharpness, stddev_pop(v) AS contrast, avg(v) AS gray_avg
   FROM lap GROUP BY vec_id, label, width)"""

@@ -11,7 +11,7 @@ from loomset.operators import vocab as vc
 from loomset.operators.dense import class_similarity
 from registry import query
 from registry.fixtures import corpus, documents, r6, saved_vocab, table, word_counts, word_vectors
-from registry.sql import CLEAN, KEPT, PUNCT_PATTERN, PUNCT_TOKENS, TERMS, TFIDF, VOCAB, WORD_COUNT, WORD_VECTORS
+from registry.sql import CLEAN, KEPT, PUNCT_PATTERN, PUNCT_TOKENS, TERMS, TFIDF, VOCAB, VOCAB_512, WORD_COUNT, WORD_VECTORS
 
 
 @query("text_concat", "SELECT doc_id, source || ' ' || text AS text FROM documents")
@@ -141,9 +141,9 @@ def class_similarity_text(spark, sf_dir):
     return class_similarity(means, "lang").withColumn("similarity", r6("similarity"))
 
 
-@query("build_vocab", f"WITH {VOCAB} SELECT token, CAST(id AS BIGINT) AS id FROM vocab")
+@query("build_vocab", f"WITH {VOCAB_512} SELECT token, CAST(id AS BIGINT) AS id FROM vocab")
 def build_vocab(spark, sf_dir):
-    return vc.build_vocab(documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text").select("token", "id")
+    return vc.build_vocab(documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text", 512).select("token", "id")
 
 
 @query(
@@ -182,7 +182,7 @@ def vocab_lookup(spark, sf_dir):
 
 @query(
     "encode_sequences",
-    f"""WITH {VOCAB},
+    f"""WITH {VOCAB_512},
     firsts100 AS (SELECT doc_id, list_slice(regexp_extract_all(lower(left(text, 512)), '{PUNCT_PATTERN}'), 1, 100) AS t
                   FROM documents),
     coded AS (SELECT doc_id, list(coalesce(v.id, 1) ORDER BY pos) AS ids
@@ -194,8 +194,8 @@ def vocab_lookup(spark, sf_dir):
     FROM documents d LEFT JOIN coded USING (doc_id)""",
 )
 def encode_sequences(spark, sf_dir):
-    docs, vocab = documents(spark, sf_dir, "doc_id", "lang", "text"), saved_vocab(spark, sf_dir)
-    coded = vc.encode_sequences(docs, "doc_id", "text", vocab, keep=["lang"])
+    docs, vocab = documents(spark, sf_dir, "doc_id", "lang", "text"), saved_vocab(spark, sf_dir, 512)
+    coded = vc.encode_sequences(docs, "doc_id", "text", vocab, max_chars=512, keep=["lang"])
     return coded.select(
         "doc_id",
         "lang",

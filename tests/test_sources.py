@@ -158,12 +158,37 @@ def test_thin_image_mirrors_along_its_length():
 def test_shrinking_keeps_the_mean():
     image = np.arange(600 * 300 * 3, dtype=float).reshape(600, 300, 3) % 256
     small = im._shrink(image, 256)
-    assert small.shape == (200, 100, 3) and small.mean() == pytest.approx(image.mean(), abs=1)
+    assert small.shape == (256, 128, 3) and small.mean() == pytest.approx(image.mean(), abs=1)
     odd = im._shrink(np.full((513, 257, 3), 7.0), 256)
-    assert max(odd.shape) <= 256 and (odd == 7).all()
+    assert odd.shape == (256, 128, 3) and (odd == 7).all()
+    assert im._shrink(image, None) is image
+    exact = im._shrink(np.arange(12, dtype=float).reshape(2, 6, 1), 3)
+    assert exact[0, :, 0].tolist() == [4, 6, 8] or exact[:, :, 0].tolist() == [[4, 6, 8]]
     assert im._shrink(image[:256, :256], 256) is not None and im._shrink(image[:256, :256], 256).shape == (256, 256, 3)
 
 
+def test_image_measures_have_no_size_step(spark):
+    """Noise of 255 to 300 pixels is measured at full size by default, and near the limit alike."""
+    noise = np.random.default_rng(1).integers(0, 256, (300, 300), dtype=np.uint8)
+    sizes = (255, 256, 257, 300)
+    images = spark.createDataFrame(
+        [(f"{n}", f"{n}", n, n, 1, "L", 0.0, bytearray(noise[:n, :n].tobytes())) for n in sizes],
+        "path STRING, file_name STRING, width INT, height INT, channels INT, color_mode STRING, file_size_kb DOUBLE, data BINARY",
+    )
+    got = {r["width"]: r for r in im.image_quality(images).collect()}
+    for n in sizes:
+        want = im.quality(np.repeat(noise[:n, :n, None].astype(float), 3, axis=2))
+        assert [got[n][c] for c in ("sharpness", "contrast", "r_avg", "g_avg")] == pytest.approx(want)
+
+
+def test_a_repeated_key_is_stored_once(spark):
+    rows = spark.createDataFrame([("a", b"2"), ("a", b"1"), ("b", b"3")], "key STRING, data BINARY")
+    store = shared_dir(spark, "store")
+    rows.where("key = 'none'").write.parquet(store)
+    got = src.materialize_missing(rows, store, "key", "data").collect()
+    assert sorted((r["key"], bytes(r["data"])) for r in got) == [("a", b"1"), ("b", b"3")]
+
+
 def test_lookup_with_fallback(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "id INT, key STRING")
     images = spark.createDataFrame([("a", bytearray(b"xyz"))], "key STRING, data BINARY")

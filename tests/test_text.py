@@ -142,7 +142,7 @@ def test_tfidf_without_terms(spark):
 SENTENCES = [(5, "b a! b"), (2, "a, c c"), (9, ""), (7, "D d e" + " f" * 300), (8, None)]
 
 
-def brute_vocab(docs, max_chars=512):
+def brute_vocab(docs, max_chars=None):
     vocab = {"<pad>": 0, "<unk>": 1}
     for _, text in sorted(docs):
         for token in re.findall(r"\w+|[^\w\s]", (text or "")[:max_chars].lower()):
@@ -178,12 +178,28 @@ def test_encoded_length_mask_and_padding(spark, limit):
     assert vc.encode_sequences(df, "id", "text", vocab, max_entries=limit).count() == len(SENTENCES)
     for r in vc.encode_sequences(df, "id", "text", vocab, length=10, max_entries=limit).collect():
         text = dict(SENTENCES)[r["id"]] or ""
-        ids = [known[t] for t in re.findall(r"\w+|[^\w\s]", text[:512].lower())][:10]
+        ids = [known[t] for t in re.findall(r"\w+|[^\w\s]", text.lower())][:10]
         assert r["n_tokens"] == len(ids)
         assert r["input_ids"] == ids + [0] * (10 - len(ids))
         assert r["attention_mask"] == [1] * len(ids) + [0] * (10 - len(ids))
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_rows_that_repeat_an_id_are_encoded_apart(spark, limit):
+    df = spark.createDataFrame([(1, "a b"), (1, "b"), (1, "b"), (2, None)], "id INT, text STRING")
+    vocab = vc.build_vocab(df, "id", "text")
+    got = vc.encode_sequences(df, "id", "text", vocab, length=3, max_entries=limit)
+    assert sorted((r["id"], r["n_tokens"]) for r in got.collect()) == [(1, 1), (1, 1), (1, 2), (2, 0)]
+
+
+def test_a_hot_unknown_token_is_answered_where_it_is(spark):
+    words = ["unknown"] * 900 + [f"w{i % 50}" for i in range(100)]
+    tokens = spark.createDataFrame(list(enumerate(words)), "n INT, token STRING")
+    vocab = spark.createDataFrame([(f"w{i}", i + 2, 1) for i in range(40)], "token STRING, id BIGINT, n_docs BIGINT")
+    found = vc.vocab_lookup(tokens, vocab, max_entries=0, hot_tokens=1)
+    assert found.count() == 1000 and found.where("token_id = 1").count() == 900 + 20
+
+
 def test_embedding_matrix_rows(spark):
     vocab = spark.createDataFrame([("<pad>", 0), ("<unk>", 1), ("cat", 2), ("dog", 3)], "token STRING, id BIGINT")
     vectors = spark.createDataFrame([("cat", [1.0, 2.0])], "word STRING, vector ARRAY<FLOAT>")
