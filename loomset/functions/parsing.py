@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomset.functions.binding import let
 
+# The markers around a description.
 PLOT_MARKER = "Plot: "
 NOTE_MARKER = "\nNote"
 TRIM_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"

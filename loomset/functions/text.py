@@ -80,5 +80,9 @@ def bigrams(tokens: Column) -> Column:
     return F.when(n >= 2, pairs).otherwise(_no_tokens())
 
 
-def prompt(name: Column, prefix: str = "A movie poster of the genre ") -> Column:
+# Fixed value: the words before a class name.
+PROMPT_PREFIX = "A movie poster of the genre "
+
+
+def prompt(name: Column, prefix: str = PROMPT_PREFIX) -> Column:
     return F.concat(F.lit(prefix), name)
