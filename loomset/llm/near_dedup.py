@@ -26,6 +26,8 @@ BANDS, ROWS = 14, 4
 #: above PRIOR. Texts of d shingles on average have at most d / HEAVY such shingles.
 HEAVY = 0.01
 PRIOR = 0.5
+#: Sections, by shingle id, whose weights bound what two texts share.
+SECTIONS = 32
 #: Shingles counted at a time while frequent ones are sought.
 CHUNK = 2_000_000
 
@@ -202,9 +204,10 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("hub", "text").alias("a"), F.greatest("hub", "text").alias("b")).distinct()
 
 
-def shared_weights(bodies: DataFrame, weights: Weights) -> DataFrame:
-    """(key, total, shared): a text's weight, and that of its shingles which other components have too.
+def shared_weights(bodies: DataFrame, weights: Weights, sections: int = SECTIONS) -> DataFrame:
+    """(key, total, shared, parts): a text's weight, that of its shingles which other components have too.
 
+    ``parts`` splits ``shared`` by section: an array of the weight in each, by shingle id.
     ``bodies`` has (key, text, part), the hash of the text's component.
     """
     get = share(bodies.sparkSession, weights)
@@ -221,8 +224,10 @@ def shared_weights(bodies: DataFrame, weights: Weights) -> DataFrame:
     every = stored(bodies.select("key", "text", "part").mapInArrow(run, schema), "shingles")
     more = every.groupBy("id").agg(F.min("part").alias("a"), F.max("part").alias("b"))
     more = more.filter("a < b").select("id", F.lit(True).alias("more"))
-    both = every.join(more, "id", "left")
-    return both.groupBy("key").agg(F.sum("w").alias("total"), F.sum(F.when(F.col("more"), F.col("w")).otherwise(0.0)).alias("shared"))
+    both = every.join(more, "id", "left").withColumn("met", F.when(F.col("more"), F.col("w")).otherwise(0.0))
+    section = F.col("id") % sections
+    parts = F.array(*[F.sum(F.when(section == k, F.col("met")).otherwise(0.0)).cast("float") for k in range(sections)])
+    return both.groupBy("key").agg(F.sum("w").alias("total"), F.sum("met").alias("shared"), parts.alias("parts"))
 
 
 def open_pairs(members: DataFrame, names: DataFrame, bodies: DataFrame, weights: Weights, least: float) -> DataFrame:
@@ -230,8 +235,9 @@ def open_pairs(members: DataFrame, names: DataFrame, bodies: DataFrame, weights:
 
     Texts known to be of one component need no comparison, so one of a pair is outside
     the bucket's largest component. What two texts share is at most the lesser of their
-    weights in shingles that other components have too, which bounds their similarity:
-    most edited copies of two alike originals cannot be similar to each other.
+    weights in shingles that other components have too, summed by sections of such
+    shingles. This bounds their similarity: most edited copies of one original lack
+    shingles in different sections, and cannot be similar to each other.
     """
     known = members.join(names.withColumnRenamed("node", "text"), "text", "left")
     known = known.select("bucket", "text", F.coalesce("component", "text").alias("component"))
@@ -243,11 +249,15 @@ def open_pairs(members: DataFrame, names: DataFrame, bodies: DataFrame, weights:
     sums = shared_weights(texts, weights).filter(F.col("shared") >= (least - 1e-9) * F.col("total"))
     known = stored(known.join(sums.withColumnRenamed("key", "text"), "text"), "open")
     rest = known.filter("component <> main").select(
-        "bucket", F.col("text").alias("a"), F.col("component").alias("of"), F.col("total").alias("t"), F.col("shared").alias("s")
-    )
-    most = F.least(known["shared"], rest["s"])
-    may = (1 + least) * most >= (least - 1e-9) * (known["total"] + rest["t"])
-    met = known.join(rest, (known["bucket"] == rest["bucket"]) & (known["component"] != rest["of"]) & may)
+        "bucket", F.col("text").alias("a"), F.col("component").alias("of"),
+        F.col("total").alias("t"), F.col("shared").alias("s"), F.col("parts").alias("p"),
+    )
+    #: The sections are floats; the margin is above their rounding, so no pair is ruled out by it.
+    needed = (least - 1e-5) * (known["total"] + rest["t"])
+    whole = (1 + least) * F.least(known["shared"], rest["s"]) >= needed
+    lesser = F.zip_with(known["parts"], rest["p"], lambda x, y: F.least(x, y))
+    by_parts = (1 + least) * F.aggregate(lesser, F.lit(0.0), lambda x, y: x + y) >= needed
+    met = known.join(rest, (known["bucket"] == rest["bucket"]) & (known["component"] != rest["of"]) & whole & by_parts)
     return met.select(F.least("a", "text").alias("a"), F.greatest("a", "text").alias("b")).distinct()
 
 

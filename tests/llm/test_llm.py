@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -128,6 +129,26 @@ def test_near_dedup_against_all_pairs(spark, odd, none):
     assert near_dedup.keep_one(odd).count() == 7 and near_dedup.keep_one(odd).columns == odd.columns
 
 
+def test_near_dedup_bound_loses_no_link(spark):
+    draw = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(300)]
+    texts = [
+        " ".join("x" + str(draw.integers(1 << 40)) if draw.random() < rate else w for w in base)
+        for rate in (0.005, 0.02, 0.03) for _ in range(25)
+    ]
+    bodies = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "key long, text string")
+    key = F.struct(F.col("key").alias("a"), F.col("key").alias("b"))
+    bodies = bodies.select(key.alias("key"), "text")
+    members = bodies.select(F.lit(1).cast("long").alias("bucket"), F.col("key").alias("text"))
+    names = spark.createDataFrame([], "node struct<a:long,b:long>, component struct<a:long,b:long>")
+    weights = near_dedup.Weights(np.zeros(0, np.uint64), np.zeros(0), len(texts))
+    opened = near_dedup.open_pairs(members, names, bodies, weights, 0.8).select("a.a", F.col("b.a").alias("b")).collect()
+    opened = {(r.a, r.b) for r in opened}
+    sets = [Counter(zip(*[t.split()[k:] for k in range(5)])) for t in texts]
+    like = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (sets[i] & sets[j]).total() >= 0.8 * (sets[i] | sets[j]).total()}
+    assert like and like <= opened and len(opened) < len(texts) * (len(texts) - 1) / 4
+
+
 def test_packing(spark, odd, none):
     known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     known.encode_special_tokens = True
