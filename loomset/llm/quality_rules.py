@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomset.functions.binding import let
+from loomset.llm import near_copies
 from loomset.sources.storage import stored
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -22,6 +23,9 @@ MIN_LINE_DOCS = 20
 MAX_LINE_SHARE = 0.01
 #: A document that loses more than this share of its words is depleted.
 MAX_REMOVED_SHARE = 0.75
+#: Where near copies are folded, texts with this share of their words in frequent lines are compared.
+#: Others lose so little that a later comparison still sees them as copies.
+LEAST_FOLDED_SHARE = 0.2
 
 
 def split_words(text: Column) -> Column:
@@ -114,7 +118,7 @@ def base_statistics(docs: DataFrame, text: str = "text", host: str = "source") -
 def frequent_lines(
     base: DataFrame, host: str, min_docs: int = MIN_LINE_DOCS, max_share: float = MAX_LINE_SHARE
 ) -> DataFrame:
-    """(host, line) of lines that stand in too many distinct texts of a host.
+    """(host, line, n_texts) of lines that stand in too many of the ``n_texts`` distinct texts of a host.
 
     Exact copies of a text count once per host, so that a group of copies does not
     make its own lines frequent. The first shuffle goes by host, line and text: a line
@@ -125,7 +129,35 @@ def frequent_lines(
     sizes = texts.groupBy("host", "key").agg(F.lit(1)).groupBy("host").agg(F.count(F.lit(1)).alias("n_texts"))
     seen = texts.select("host", "key", F.explode("at").alias("line")).distinct()
     counted = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > min_docs)
-    return counted.join(sizes, "host").filter(F.col("n_docs") > max_share * F.col("n_texts")).select("host", "line")
+    counted = counted.join(sizes, "host").filter(F.col("n_docs") > max_share * F.col("n_texts"))
+    return counted.select("host", "line", "n_texts")
+
+
+def without_copied_lines(
+    frequent: DataFrame, base: DataFrame, docs: DataFrame, text: str, host: str,
+    min_docs: int = MIN_LINE_DOCS, max_share: float = MAX_LINE_SHARE,
+) -> DataFrame:
+    """The ``frequent`` lines that are so too when near copies of a text count once in a host.
+
+    Only texts with a LEAST_FOLDED_SHARE of their words in frequent lines are compared:
+    a large group of near copies makes most of its own lines frequent.
+    """
+    where = lambda x: F.coalesce(x, F.lit("")).alias("host")
+    texts = base.select(where(F.col(f"row.{host}")), F.col("stats.key").alias("key"), "stats.n_words", "stats.lines")
+    lines = texts.dropDuplicates(["host", "key"]).select("host", "key", "n_words", F.inline("lines"))
+    hits = stored(lines.join(frequent, ["host", "line"]), "frequent-places")
+    sums = hits.groupBy("host", "key").agg(F.sum("words").alias("lost"), F.first("n_words").alias("n_words"))
+    heavy = sums.filter(F.col("lost") >= LEAST_FOLDED_SHARE * F.col("n_words")).select("host", "key")
+    bodies = docs.select(where(F.col(host)), text_key(F.col(text)).alias("key"), F.col(text).alias("body"))
+    bodies = bodies.join(heavy, ["host", "key"], "left_semi")
+    of = F.struct("host", "key")
+    sketches = bodies.select("host", of.alias("text"), near_copies.sketch(split_words(F.col("body"))).alias("sketch"))
+    names = near_copies.groups(stored(sketches.dropDuplicates(["text"]), "sketches"))
+    named = hits.withColumn("node", of).join(names, "node", "left")
+    named = named.select("host", "line", "n_texts", F.coalesce("component", "node").alias("copies")).distinct()
+    counted = named.groupBy("host", "line", "n_texts").agg(F.count(F.lit(1)).alias("n_docs"))
+    passed = (F.col("n_docs") > min_docs) & (F.col("n_docs") > max_share * F.col("n_texts"))
+    return counted.filter(passed).select("host", "line", "n_texts")
 
 
 def removed_lines(base: DataFrame, host: str, frequent: DataFrame) -> DataFrame:
@@ -138,23 +170,25 @@ def removed_lines(base: DataFrame, host: str, frequent: DataFrame) -> DataFrame:
     texts = base.select(where, F.col("stats.key").alias("key"), F.col("stats.lines").alias("lines"))
     lines = texts.dropDuplicates(["host", "key"]).select("host", "key", F.inline("lines"))
     return (
-        lines.join(frequent, ["host", "line"])
+        lines.join(frequent.select("host", "line"), ["host", "line"])
         .groupBy("host", "key")
         .agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed"))
     )
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", **limits) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", host: str = "source", fold: bool = False, **limits) -> DataFrame:
     """One row per document: the columns of ``docs`` but ``text``, its counts and verdict.
 
     Adds a struct ``quality``: n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, removed_words (in lines above the limits), kept, key
     and the hashes of the removed lines; a column of that name is replaced. A null host is a host of its own; null and
     empty texts fail the base rules; repeated rows get the same verdict each; an empty
-    table gives an empty one.
+    table gives an empty one. ``fold`` counts near copies once in line frequencies, too.
     """
     base = stored(base_statistics(docs, text, host), "quality-base")
     frequent = stored(frequent_lines(base, host, **limits), "frequent-lines")
+    if fold:
+        frequent = stored(without_copied_lines(frequent, base, docs, text, host, **limits), "frequent-lines")
     removed = removed_lines(base, host, frequent).select(F.struct("host", "key").alias("of"), "removed_words", "removed")
     mine = F.struct(F.coalesce(F.col(f"row.{host}"), F.lit("")).alias("host"), F.col("stats.key").alias("key"))
     lost = F.coalesce(F.col("removed_words"), F.lit(0))
@@ -165,13 +199,15 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", **limits) -
     return base.withColumn("of", mine).join(removed, "of", "left").select(*rest, verdict.alias("quality"))
 
 
-def clean(docs: DataFrame, text: str = "text", host: str = "source", length: str | None = "n_chars", **limits) -> DataFrame:
+def clean(
+    docs: DataFrame, text: str = "text", host: str = "source", length: str | None = "n_chars", fold: bool = False, **limits
+) -> DataFrame:
     """The documents that pass, without the lines above the limits; the columns stay.
 
-    ``length``, if the table has it, is set to the new number of characters. The join
+    Near copies count once in line frequencies with ``fold``. ``length``, if the table has it, is set to the new number of characters. The join
     carries one verdict per host and text, whatever the number of copies.
     """
-    verdicts = judge(docs.select(text, host), text, host, **limits).filter("quality.kept")
+    verdicts = judge(docs.select(text, host), text, host, fold, **limits).filter("quality.kept")
     found = verdicts.select(
         F.struct(F.coalesce(F.col(host), F.lit("")).alias("host"), F.col("quality.key").alias("key")).alias("of"),
         F.col("quality.removed").alias("removed"),
