@@ -12,21 +12,32 @@ from loomset.llm.workers import per_worker
 
 #: Fixed value: the published word pattern of this family of vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: the added token of this family; its id follows the last rank.
+END_OF_TEXT = "<|endoftext|>"
 
 
 class ByteEncoder:
-    """Ids of texts as little-endian 32-bit numbers; special tokens are plain text."""
+    """Ids of texts as little-endian 32-bit numbers; the end-of-text mark in a text is its one token."""
 
     def __init__(self, ranks_file: bytes):
         lines = (line.split() for line in ranks_file.splitlines() if line)
         ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
+        self.end = max(ranks.values(), default=-1) + 1
         self.encoding = tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def ids(self, text: str) -> list[int]:
+        first, *more = text.split(END_OF_TEXT)
+        ids = self.encoding.encode_ordinary(first)
+        for part in more:
+            ids.append(self.end)
+            ids += self.encoding.encode_ordinary(part)
+        return ids
+
     def count(self, text: str) -> int:
-        return len(self.encoding.encode_ordinary(text))
+        return len(self.ids(text))
 
     def encode(self, text: str) -> bytes:
-        return array("i", self.encoding.encode_ordinary(text)).tobytes()
+        return array("i", self.ids(text)).tobytes()
 
 
 def encoder(ranks_file: bytes) -> ByteEncoder:

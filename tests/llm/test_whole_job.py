@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from loomset.llm import near_dedup, quality_rules
+from loomset.llm import near_dedup, packing, quality_rules, token_lengths
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def words(n, seed=0):
@@ -31,3 +36,19 @@ def test_one_of_a_large_group_of_near_copies_leaves_the_pipeline(spark):
     kept = quality_rules.clean(docs).select("doc_id")
     assert kept.filter(F.col("doc_id") >= 1000).count() == 0  # exact copies alone are folded in the rule of the SQL
     assert near_dedup.keep_one(docs).count() == 41
+
+
+def same_ids(spark, texts):
+    known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [known.encode(t, add_special_tokens=False).ids for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    pieces = packing.pack_documents(docs, RANKS).toPandas().sort_values(["doc_id", "start"])
+    for i, ids in enumerate(want):
+        own = pieces[pieces.doc_id == i]
+        assert np.frombuffer(b"".join(own.ids), "<u4").tolist() == [*ids, 0] and (own.doc_tokens == len(ids) + 1).all()
+    lengths = [r.n_tokens for r in token_lengths.encoded_lengths(docs, RANKS).collect()]
+    assert sorted(lengths) == sorted(map(len, want))
+
+
+def test_end_of_text_in_a_text_is_one_token(spark):
+    same_ids(spark, ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "x  \n<|endoftext|>", "<|endoftext|", "plain"])
