@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from array import array
 
@@ -14,6 +15,10 @@ from loomset.llm.workers import per_worker
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Fixed value: the added token of this family; its id follows the last rank.
 END_OF_TEXT = "<|endoftext|>"
+#: Longer runs of white space are cut out before the pattern is applied: the library keeps a
+#: state per character of a run and panics at a million. White space is that of the pattern.
+LONG = 100_000
+LONG_SPACE = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG},}}")
 
 
 class ByteEncoder:
@@ -25,12 +30,29 @@ class ByteEncoder:
         self.end = max(ranks.values(), default=-1) + 1
         self.encoding = tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def words(self, text: str) -> list[int]:
+        """The ids of a text without special tokens.
+
+        The pattern leaves the last character of a run of white space to what follows, and
+        takes the rest, or a run at the end of the text, as one word.
+        """
+        if len(text) < LONG:
+            return self.encoding.encode_ordinary(text)
+        ids: list[int] = []
+        at = 0
+        for m in LONG_SPACE.finditer(text):
+            stop = m.end() if m.end() == len(text) else m.end() - 1
+            ids += self.encoding.encode_ordinary(text[at : m.start()])
+            ids += self.encoding._encode_single_piece(text[m.start() : stop])
+            at = stop
+        return ids + self.encoding.encode_ordinary(text[at:])
+
     def ids(self, text: str) -> list[int]:
         first, *more = text.split(END_OF_TEXT)
-        ids = self.encoding.encode_ordinary(first)
+        ids = self.words(first)
         for part in more:
             ids.append(self.end)
-            ids += self.encoding.encode_ordinary(part)
+            ids += self.words(part)
         return ids
 
     def count(self, text: str) -> int:

@@ -52,3 +52,8 @@ def same_ids(spark, texts):
 
 def test_end_of_text_in_a_text_is_one_token(spark):
     same_ids(spark, ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "x  \n<|endoftext|>", "<|endoftext|", "plain"])
+
+
+def test_very_long_runs_of_white_space_are_encoded(spark):
+    n = 1_100_000
+    same_ids(spark, [" " * n + "x", "\n" * n + "12", "a" + " \t\n" * (n // 3) + "b", "\t" * n + "<|endoftext|>" + " " * n + "'s"])
