@@ -79,6 +79,10 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+#: Words of the longest template.
+LONGEST = max(len(words_of(t)) for ts in TEMPLATES.values() for t in ts)
+
+
 @dataclass(frozen=True)
 class LicenceModel:
     """Weights of n-grams per family, intercepts, the temperature of the probabilities, and templates."""
@@ -109,6 +113,14 @@ class LicenceModel:
         have = ngrams(words, 2) - ngrams(words, 1)
         return max((len(t & have) / len(t) for t in self.templates.get(family, []) if t), default=0.0)
 
+    def likest(self, words: list[str]) -> float:
+        """The largest similarity with any family."""
+        return max(self.similarity(f, words) for f in self.templates)
+
+    def pairs(self) -> frozenset[tuple[str, str]]:
+        """The pairs of words of all templates."""
+        return frozenset(tuple(g.split(" ")) for ts in self.templates.values() for t in ts for g in t)
+
 
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
@@ -168,9 +180,11 @@ def learn(spark: SparkSession, docs: DataFrame, text: str = "text", penalty: flo
 def scan(docs: DataFrame, model: LicenceModel, text: str = "text", found: str = "licences") -> DataFrame:
     """``docs`` with its text replaced by its notices: an array of (paragraph, start, length, family, probability, similarity).
 
-    A paragraph is a line, counted from 0, and its place is in characters. A notice is a
-    paragraph of a known family at a probability of MIN_PROBABILITY or more that has
-    MIN_SIMILARITY of a template of that family; any other is unknown and not returned.
+    A paragraph is a line, or several lines with no wordless one between them, none of which
+    is a notice by itself; it is named by its first line, counted from 0, and its place is in
+    characters. A notice is a paragraph of a known family at a probability of
+    MIN_PROBABILITY or more that has MIN_SIMILARITY of a template of that family; any other
+    is unknown and not returned. Comment marks are no words.
     Narrow; a null or empty text has none, and rows keep their order and repeats.
     """
     kept = [c for c in docs.columns if c not in (text, found)]
@@ -182,25 +196,52 @@ def scan(docs: DataFrame, model: LicenceModel, text: str = "text", found: str =
         ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64()),
     ]))
 
-    def notices(whole: str, signals: frozenset[str]) -> list[tuple]:
-        out, start = [], 0
-        for i, line in enumerate(whole.split("\n")):
-            words = words_of(line)
-            if not signals.isdisjoint(words):
-                family, probability = get().predict(words)
-                if family != UNKNOWN and probability >= MIN_PROBABILITY:
-                    like = get().similarity(family, words)
-                    if like >= MIN_SIMILARITY:
-                        out.append((i, start, len(line), family, probability, like))
-            start += len(line) + 1
-        return out
+    def judge(words: list[str]) -> tuple[str, float, float] | None:
+        family, probability = get().predict(words)
+        if family != UNKNOWN and probability >= MIN_PROBABILITY:
+            like = get().similarity(family, words)
+            if like >= MIN_SIMILARITY:
+                return family, probability, like
+        return None
+
+    def notices(whole: str, signals: frozenset[str], pairs: frozenset[tuple[str, str]]) -> list[tuple]:
+        lines = whole.split("\n")
+        words = [words_of(line) for line in lines]
+        found = {(i, i): hit for i, own in enumerate(words) if not signals.isdisjoint(own) and (hit := judge(own))}
+        taken, done = {i for i, _ in found}, -1
+        for i, own in enumerate(words):
+            after = own[1:] + (words[i + 1][:1] if i + 1 < len(words) else [])
+            if i > done and i not in taken and not pairs.isdisjoint(zip(own, after)) and (hit := wrapped(words, i, taken)):
+                found[hit[0]], done = hit[1], hit[0][1]
+        starts = np.concatenate(([0], np.cumsum([len(line) + 1 for line in lines])))
+        return [(i, int(starts[i]), int(starts[j + 1] - 1 - starts[i]), *hit) for (i, j), hit in sorted(found.items())]
+
+    def wrapped(words: list[list[str]], first: int, taken: set[int]) -> tuple[tuple[int, int], tuple] | None:
+        """The likest notice over several lines of a paragraph from line ``first`` on, and its lines.
+
+        After its first line a notice has at most the words of the longest template.
+        """
+        best, last, more, joined = None, first + 1, 0, list(words[first])
+        while last < len(words) and words[last] and last not in taken and more < LONGEST:
+            joined += words[last]
+            more += len(words[last])
+            if get().likest(joined) >= MIN_SIMILARITY and (hit := judge(joined)) and (not best or hit[2] > best[1][2]):
+                best = (first, last), hit
+            last += 1
+        while best and best[0][0] + 1 < best[0][1]:
+            (i, j), hit = best
+            less = judge([w for line in words[i + 1 : j + 1] for w in line])
+            if not less or less[2] < hit[2]:
+                break
+            best = (i + 1, j), less
+        return best
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signals = get().signals()
+        signals, pairs = get().signals(), get().pairs()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                hits = [notices(t or "", signals) for t in part.column(text).to_pylist()]
+                hits = [notices(t or "", signals, pairs) for t in part.column(text).to_pylist()]
                 names = [f.name for f in entry]
                 values = pa.array([[dict(zip(names, h, strict=True)) for h in hs] for hs in hits], kind)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], values], names=[*kept, found])

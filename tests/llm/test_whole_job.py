@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from loomset.llm import near_dedup, packing, quality_rules, token_lengths
+from loomset.llm import licences, near_dedup, packing, quality_rules, token_lengths
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -57,3 +57,31 @@ def test_end_of_text_in_a_text_is_one_token(spark):
 def test_very_long_runs_of_white_space_are_encoded(spark):
     n = 1_100_000
     same_ids(spark, [" " * n + "x", "\n" * n + "12", "a" + " \t\n" * (n // 3) + "b", "\t" * n + "<|endoftext|>" + " " * n + "'s"])
+
+
+def test_wrapped_licence_headers_are_notices(spark):
+    apache = """# Licensed under the Apache License,
+# Version 2.0 (the "License"); you may not use
+# this file except in compliance with the License.
+"""
+    gpl = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+"""
+    bsd = """// Redistribution and use in source and binary forms, with or without
+// modification, are permitted provided that the following conditions are
+// met:
+"""
+    mit = """Permission is hereby granted, free of charge,
+to any person obtaining a copy of this
+software and associated documentation files (the "Software"), to deal
+"""
+    prose = "Some words stand here\nand the work goes on under the\nterms of the day.\n"
+    whole = "\n".join([prose, apache, gpl, prose, bsd, mit, prose])
+    model = licences.learn(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    docs = spark.createDataFrame([(1, whole), (2, gpl), (3, bsd), (4, prose)], "doc_id int, text string")
+    got = {r.doc_id: r.licences for r in licences.scan(docs, model).collect()}
+    assert [h.family for h in got[1]] == ["Apache-2.0", "GPL-3.0", "BSD-3-Clause", "MIT"]
+    assert [[h.family for h in got[i]] for i in (2, 3, 4)] == [["GPL-3.0"], ["BSD-3-Clause"], []]
+    assert whole[got[1][2].start :][: got[1][2].length] in bsd
