@@ -18,6 +18,7 @@ from loomset.llm import (
     quality_rules,
     revisits,
     rule_ensemble,
+    source_divergence,
     token_lengths,
     vector_search,
 )
@@ -150,3 +151,10 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan(docs, licences.learn(spark, docs))
     families = F.array_join(F.array_sort(F.array_distinct("licences.family")), ",")
     return found.select("doc_id", F.size("licences").alias("n_notices"), families.alias("families"))
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the vocabulary of each source lies from its language and from its other sources."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "source", "text")
+    return source_divergence.audit(docs)
