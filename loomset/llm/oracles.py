@@ -122,3 +122,59 @@ WITH d AS (
 )
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
 """
+
+
+def hash_tree(nodes: str, state: str, prefix: str, depth: int) -> str:
+    """CTEs that fold (grp, pos, n, digest) and, with it, (r, grp, pos, n, node, sibs) of every leaf, ``depth`` times."""
+    made = ""
+    for k in range(depth):
+        made += f"""
+{prefix}s{k} AS (
+  SELECT s.r, s.grp, s.pos // 16 AS pos, (s.n + 15) // 16 AS n,
+    CASE WHEN s.n > 1 THEN sha256(coalesce(string_agg(d.digest, '' ORDER BY d.pos) FILTER (d.pos < s.pos), '') || s.node
+      || coalesce(string_agg(d.digest, '' ORDER BY d.pos) FILTER (d.pos > s.pos), '')) ELSE s.node END AS node,
+    s.sibs || coalesce(string_agg(d.digest, '' ORDER BY d.pos) FILTER (d.pos <> s.pos), '') AS sibs
+  FROM {state} AS s JOIN {nodes} AS d ON s.grp = d.grp AND s.pos // 16 = d.pos // 16
+  GROUP BY s.r, s.grp, s.pos, s.n, s.node, s.sibs
+), {prefix}n{k} AS (
+  SELECT grp, pos // 16 AS pos, (any_value(n) + 15) // 16 AS n,
+    CASE WHEN any_value(n) > 1 THEN sha256(string_agg(digest, '' ORDER BY pos)) ELSE any_value(digest) END AS digest
+  FROM {nodes} GROUP BY grp, pos // 16
+),"""
+        nodes, state = f"{prefix}n{k}", f"{prefix}s{k}"
+    return made
+
+
+def counted(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || {value}, '-')"
+
+
+OP13_MERKLE_MANIFEST = f"""
+WITH crc AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+    ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)
+), checked AS (
+  SELECT d.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 5 = 0 AS tampered FROM documents AS d, crc
+), hashed AS (
+  SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS grp,
+    sha256(head || {counted("text")}) AS leaf,
+    sha256(head || {counted("CASE WHEN tampered THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END")}) AS found
+  FROM (SELECT *, {" || ".join(counted(c) for c in ("doc_id", "source", "lang", "n_chars"))} AS head FROM checked)
+), placed AS (
+  SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY grp) AS n FROM hashed
+), leaves AS (
+  SELECT grp, pos, n, leaf AS digest FROM placed
+), started AS (
+  SELECT r, grp, pos, n, found AS node, '' AS sibs FROM placed
+), {hash_tree("leaves", "started", "leaf_", 5)}
+tops AS (
+  SELECT 0 AS grp, grp AS pos, count(*) OVER () AS n, digest FROM leaf_n4
+), risen AS (
+  SELECT r, 0 AS grp, grp AS pos, (SELECT count(*) FROM tops) AS n, node, sibs FROM leaf_s4
+), {hash_tree("tops", "risen", "top_", 3)}
+root AS (SELECT digest AS root FROM top_n2)
+SELECT doc_id, leaf, tops.digest AS subroot, root, sha256(s.sibs) AS proof_sha256, s.node AS folded_root, s.node = root AS verified
+FROM placed JOIN tops ON tops.pos = placed.grp JOIN top_s2 AS s USING (r), root
+"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomset.llm import (
     html_render,
     licences,
+    merkle,
     near_dedup,
     oracles,
     packing,
@@ -18,6 +19,7 @@ from loomset.llm import (
     quality_rules,
     revisits,
     rule_ensemble,
+    sharding,
     source_divergence,
     token_lengths,
     vector_search,
@@ -158,3 +160,21 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the vocabulary of each source lies from its language and from its other sources."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "source", "text")
     return source_divergence.audit(docs)
+
+
+@query
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in random order over 24 shards; copies of a text are dealt out like other rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
+    return sharding.shuffle(docs).select(
+        "doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the hash tree, and whether its text still belongs there."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "n_chars", "text")
+    return merkle.audit(docs)
