@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomset.plans.quantiles import exact_quantile
+from loomset.plans.tree import sum_vectors
+from loomset.sources.storage import stored
+
+
+#: Bits of each of the two whole numbers that hold a sum of kernel values.
+LIMB_BITS = 21
 
 
 def decode(label: Column, names: Mapping[int, str]) -> Column:
@@ -79,19 +88,29 @@ def _widen(low: Column, high: Column) -> tuple[Column, Column]:
     return low - half, high + half
 
 
+def stored_values(df: DataFrame, column: str) -> DataFrame:
+    """``(x)``: the values of one column, computed once and written; NaN is missing like null."""
+    values = stored(df.select(F.col(column).cast("double").alias("x")), "values")
+    return values.select(F.nullif("x", F.lit(math.nan)).alias("x"))
+
+
 def quantile_histogram(df: DataFrame, column: str, q: float = 0.99, bins: int = 50) -> DataFrame:
-    """Bins over ``[0, quantile q]``; larger values are left out, empty bins stay."""
-    top = exact_quantile(df, column, q, "hi")
+    """Bins over ``[0, quantile q]``; larger values are left out, empty bins stay.
+
+    The column is computed once and stored, as the quantile and the counts both read it.
+    """
+    values = stored_values(df, column)
+    top = exact_quantile(values, "x", q, "hi")
     low, high = _widen(F.lit(0.0), F.col("hi"))
-    return _histogram(df, column, top.select(low.alias("lo"), high.alias("hi")), bins)
+    return _histogram(values, "x", top.select(low.alias("lo"), high.alias("hi")), bins)
 
 
 def auto_histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
-    """Bins over ``[min, max]``, the last one closed on both sides."""
-    x = F.col(column).cast("double")
-    ends = df.agg(F.min(x).alias("a"), F.max(x).alias("b"))
+    """Bins over ``[min, max]``, the last one closed on both sides. The column is computed once and stored."""
+    values = stored_values(df, column)
+    ends = values.agg(F.min("x").alias("a"), F.max("x").alias("b"))
     low, high = _widen(F.col("a"), F.col("b"))
-    return _histogram(df, column, ends.select(low.alias("lo"), high.alias("hi")), bins)
+    return _histogram(values, "x", ends.select(low.alias("lo"), high.alias("hi")), bins)
 
 
 def quantile_outlier_filter(df: DataFrame, column: str, q: float = 0.95) -> DataFrame:
@@ -105,38 +124,46 @@ def max_scaled(df: DataFrame, column: str, scale: float = 255.0, name: str = "sc
     return df.withColumn(name, F.try_divide(F.col(column).cast("double"), top) * F.lit(scale))
 
 
+def _kernel_sums(grid: np.ndarray, width: float):
+    """Arrow function: what the values of a task add to each point of the grid, as one vector of two limbs."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, len(grid)), np.int64)
+        for batch in batches:
+            values, times = np.unique(batch.column("x").to_numpy(), return_counts=True)
+            for at in range(0, len(values), 4096):
+                z = (grid[:, None] - values[None, at : at + 4096]) / width
+                kernel = np.rint(np.exp(z * z * -0.5) * 4.0**LIMB_BITS).astype(np.int64)
+                sums[0] += (kernel >> LIMB_BITS) @ times[at : at + 4096]
+                sums[1] += (kernel & ((1 << LIMB_BITS) - 1)) @ times[at : at + 4096]
+        yield pa.RecordBatch.from_arrays([pa.array([sums.ravel()], pa.list_(pa.int64()))], ["sums"])
+
+    return add
+
+
 def kde_curve(df: DataFrame, column: str, points: int = 200, bins: int = 50) -> DataFrame:
     """Gaussian density on a grid over ``[min, max]`` with Scott's bandwidth.
 
     ``density`` integrates to one; ``scaled`` is the overlay of a count histogram
-    with ``bins`` bins. Equal values are counted first, and each distinct value
-    adds to the fixed number of grid points, combined before the shuffle. Null and NaN
-    are missing. A column without spread has no density: it is null.
+    with ``bins`` bins. The column is computed once and stored. Each task then keeps one sum for every
+    point of the grid, whatever the number of its values, and those are added up. The kernel is
+    rounded to 42 binary places, so sums are whole numbers and do not depend on how the values are
+    dealt out. Null and NaN are missing. A column without spread has no density: it is null; one
+    without values has no curve.
     """
-    values = df.select(F.col(column).cast("double").alias("x")).filter("x is not null and not isnan(x)")
-    shape = (
-        values.agg(
-            F.count("x").alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("lo"), F.max("x").alias("hi")
-        )
-        .withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-        .select(F.struct("n", "h", "lo", "hi").alias("s"))
-        .scalar()
-    )
-    counted = values.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    at = F.col("s.lo") + F.col("point") * (F.col("s.hi") - F.col("s.lo")) / (points - 1)
-    z = F.try_divide(at - F.col("x"), F.col("s.h"))
-    sums = (
-        counted.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .withColumn("s", shape)
-        .groupBy("point")
-        .agg(F.sum(F.col("c") * F.exp(z * z * -0.5)).alias("mass"))
-        .withColumn("s", shape)
-    )
-    density = F.try_divide("mass", F.col("s.n") * F.col("s.h") * F.sqrt(F.lit(2.0) * F.pi()))
-    width = (F.col("s.hi") - F.col("s.lo")) / bins
-    return sums.select(
-        "point",
-        at.alias("x"),
-        density.alias("density"),
-        (density * F.col("s.n") * width).alias("scaled"),
-    ).orderBy("point")
+    values = stored_values(df, column).filter("x is not null")
+    n, sd, low, high = values.agg(F.count("x"), F.stddev_samp("x"), F.min("x"), F.max("x")).first()
+    grid = df.sparkSession.range(points if n else 0).select(F.col("id").cast("int").alias("point"))
+    if not sd:
+        empty = F.lit(None).cast("double")
+        return grid.select("point", F.lit(low).cast("double").alias("x"), empty.alias("density"), empty.alias("scaled"))
+    width = float(f"{sd * n**-0.2:.12g}")  # the last digits hang on the order of the sum
+    places = low + np.arange(points) * (high - low) / (points - 1)
+    sums = sum_vectors(values.mapInArrow(_kernel_sums(places, width), "sums ARRAY<BIGINT>"), "sums")
+    limbs = F.arrays_zip(F.slice("sums", 1, points).alias("a"), F.slice("sums", points + 1, points).alias("b"))
+    mass = F.transform(limbs, lambda x: x["a"] / 2.0**LIMB_BITS + x["b"] / 4.0**LIMB_BITS)
+    at = F.lit(low) + F.col("point") * F.lit(high - low) / (points - 1)
+    density = F.col("mass") / (n * width * math.sqrt(2.0 * math.pi))
+    curve = sums.select(F.posexplode(mass).alias("point", "mass"))
+    scaled = density * (n * (high - low) / bins)
+    return curve.select("point", at.alias("x"), density.alias("density"), scaled.alias("scaled")).orderBy("point")

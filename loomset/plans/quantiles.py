@@ -49,13 +49,13 @@ def order_statistic(values: DataFrame, k: int, n: int, exact_rows: int) -> float
 def exact_quantile(
     df: DataFrame, column: str, q: float, name: str = "quantile", exact_rows: int = 200_000
 ) -> DataFrame:
-    """One row with the ``q`` quantile; nulls are ignored, no values give null.
+    """One row with the ``q`` quantile; null and NaN are missing, no values give null.
 
     Up to ``exact_rows`` rows this is the built-in ``percentile``, which keeps every
     distinct value in one task. Beyond that the two neighbouring order statistics
     are searched, which runs a few small jobs when the plan is built.
     """
-    values = df.select(F.col(column).cast("double").alias("x"))
+    values = df.select(F.nullif(F.col(column).cast("double"), F.lit(math.nan)).alias("x"))
     if df.count() <= exact_rows:
         return values.agg(F.percentile("x", F.lit(q)).alias(name))
     n = values.agg(F.count("x")).first()[0]

@@ -6,16 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomset.functions.parsing import missing_to_null
+from loomset.sources.quoted_csv import read_quoted_csv
 
 METADATA_SCHEMA = "plot STRING, image_path STRING, genres STRING"
 
 
 def write_metadata_csv(df: DataFrame, path: str, rows_per_file: int = 500_000) -> None:
-    """Header, quotes doubled, white space kept.
-
-    A quoted field may hold line breaks, so a reader cannot split one file. The
-    files are therefore kept small enough for one task each.
-    """
+    """Header, quotes doubled, white space kept. Files are kept small for readers that cannot split them."""
     (
         df.write.option("header", True)
         .option("quote", '"')
@@ -30,15 +27,11 @@ def write_metadata_csv(df: DataFrame, path: str, rows_per_file: int = 500_000) -
 def read_metadata_csv(
     spark: SparkSession, path: str, schema: str = METADATA_SCHEMA, normalise_missing: bool = True
 ) -> DataFrame:
-    """Read it back; texts such as ``NA`` or ``None`` become null."""
-    df = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(path)
-    )
+    """Read it back; texts such as ``NA`` or ``None`` become null.
+
+    A file may have any size: it is read in splits, also where quoted fields hold line breaks.
+    """
+    df = read_quoted_csv(spark, path, schema)
     if not normalise_missing:
         return df
     texts = [name for name, kind in df.dtypes if kind == "string"]

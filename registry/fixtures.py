@@ -232,8 +232,18 @@ def png_bytes(data: bytes, width: int, height: int, color: int = 0, samples: int
     return b"\x89PNG\r\n\x1a\n" + body
 
 
-def png_store(spark: SparkSession, sf_dir: str) -> str:
-    """Write the gray images as PNG files and return their folder.
+def color_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of the same values: by label 8 x 8 gray, 7 x 3 RGB (one value over) or 4 x 4 RGBA."""
+    kind = F.col("label") % 3
+    pick = lambda *values: F.element_at(F.array(*[F.lit(v) for v in values]), kind + 1)
+    return gray_images(spark, sf_dir).select(
+        "vec_id", "label", "file_name", pick(8, 7, 4).alias("width"), pick(8, 3, 4).alias("height"),
+        pick(0, 2, 6).alias("color"), pick(1, 3, 4).alias("samples"), "data",
+    )
+
+
+def png_store(spark: SparkSession, sf_dir: str, images: DataFrame | None = None) -> str:
+    """Write the images (the gray ones) as PNG files and return their folder.
 
     The files of class 8 are no images. The tasks write the files themselves; a repeated
     task writes the same bytes under the same names.
@@ -246,12 +256,14 @@ def png_store(spark: SparkSession, sf_dir: str) -> str:
         files.create_dir(root, recursive=True)
         for batch in batches:
             for row in batch.itertuples():
-                body = b"not an image" if row.label == 8 else png_bytes(row.data, row.width, row.height)
+                body = b"not an image" if row.label == 8 else png_bytes(row.data, row.width, row.height, row.color, row.samples)
                 with files.open_output_stream(f"{root}/{row.file_name}") as out:
                     out.write(body)
             yield batch[["vec_id"]]
 
-    images = gray_images(spark, sf_dir).select("vec_id", "label", "file_name", "width", "height", "data")
+    if images is None:
+        images = gray_images(spark, sf_dir).withColumns({"color": F.lit(0), "samples": F.lit(1)})
+    images = images.select("vec_id", "label", "file_name", "width", "height", "color", "samples", "data")
     images.mapInPandas(write, "vec_id BIGINT").count()
     return folder
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomset.operators import images as im
+from loomset.operators import pixels as px
 from loomset.sources import images as src
 from loomset.sources.storage import shared_dir, stored
 from registry import query
-from registry.fixtures import gray_images, png_store, r6, table
-from registry.sql import GRAY
+from registry.fixtures import color_images, gray_images, png_store, r6, table
+from registry.sql import ENTRIES, GRAY
 
 # length of an uncompressed gray PNG: 57 bytes of frame, 11 of stream, rows of width + 1
 KB = "(68 + 64 + 64 // width) / 1024.0"
@@ -127,3 +128,50 @@ def image_materialize_missing(spark, sf_dir):
     stored = src.materialize_missing(keyed, store, "image_key", "data")
     total = stored.agg(F.count(F.lit(1))).scalar()
     return stored.select("image_key", F.md5("data").alias("content"), total.alias("n_stored"))
+
+
+# the value of each pixel and channel of the files: gray, RGB (63 values), RGBA (alpha is not counted)
+FILE_PIXELS = f"""{ENTRIES},
+file_values AS (
+  SELECT label, label % 3 AS kind, pos - 1 AS i, CAST(floor((v + 1.0) * 127.5) AS INTEGER) AS value FROM entries WHERE label <> 8),
+file_pixels AS (
+  SELECT label, i AS pixel, unnest(range(3)) AS channel, value FROM file_values WHERE kind = 0
+  UNION ALL SELECT label, i // 3, i % 3, value FROM file_values WHERE kind = 1 AND i < 63
+  UNION ALL SELECT label, i // 4, i % 4, value FROM file_values WHERE kind = 2 AND i % 4 < 3)"""
+
+
+def scanned(spark, sf_dir):
+    return src.scan_images(spark, png_store(spark, sf_dir, color_images(spark, sf_dir)))
+
+
+@query(
+    "pixel_histogram_files",
+    f"""WITH {FILE_PIXELS}, counts AS (SELECT channel, value, count(*) AS n FROM file_pixels GROUP BY channel, value)
+    SELECT CAST(c AS INTEGER) AS channel, CAST(v AS INTEGER) AS value, coalesce(n, 0) AS n
+    FROM range(3) a(c) CROSS JOIN range(256) b(v) LEFT JOIN counts ON channel = c AND value = v""",
+)
+def pixel_histogram_files(spark, sf_dir):
+    """Counts of the bytes of PNG files in gray, RGB and RGBA."""
+    return px.pixel_counts(scanned(spark, sf_dir))
+
+
+@query(
+    "channel_means_files",
+    f"WITH {FILE_PIXELS} SELECT CAST(channel AS INTEGER) AS channel, round(avg(value), 6) AS mean FROM file_pixels GROUP BY channel",
+)
+def channel_means_files(spark, sf_dir):
+    return px.counted_channel_means(px.pixel_counts(scanned(spark, sf_dir))).withColumn("mean", r6("mean"))
+
+
+@query(
+    "class_mean_image",
+    f"""WITH {FILE_PIXELS}
+    SELECT label, CAST(pixel * 3 + channel AS INTEGER) AS pos, count(*) AS n, round(avg(value), 6) AS value
+    FROM file_pixels GROUP BY label, pixel, channel""",
+)
+def class_mean_image(spark, sf_dir):
+    """The mean of the files of each class; the label comes from the table, by file name."""
+    labels = table(spark, sf_dir, "embeddings").select(F.format_string("img_%06d.png", "vec_id").alias("file_name"), "label")
+    rows = scanned(spark, sf_dir).join(labels, "file_name")
+    means = px.class_mean_image(rows, F.col("label"))
+    return means.select("label", "n", F.posexplode("vector").alias("pos", "value")).withColumn("value", r6("value"))
