@@ -8,8 +8,10 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from loomset.functions.vectors import dot, fuse_mean, softmax, threshold_all, unit
 from loomset.plans.pairs import grid_pairs
@@ -18,7 +20,7 @@ MAX_MATRIX_CLASSES = 4096
 MODES = ["image_only", "text_only", "multimodal"]
 
 
-def _matrix_scores(weights: np.ndarray, bias: np.ndarray, cosine: bool, scale: float):
+def matrix_scores(weights: np.ndarray, bias: np.ndarray, cosine: bool, scale: float):
     """Arrow function: one matrix product per batch of rows."""
 
     @F.arrow_udf("array<double>")
@@ -76,7 +78,7 @@ def class_scores(
         if cosine:
             lengths = np.linalg.norm(weights, axis=1, keepdims=True)
             weights = np.divide(weights, lengths, out=np.zeros_like(weights), where=lengths > 0)
-        udf = _matrix_scores(weights, np.array([r["b"] for r in head]), cosine, scale)
+        udf = matrix_scores(weights, np.array([r["b"] for r in head]), cosine, scale)
         return items.withColumn(output, udf(whole))
     x, w = F.col("_v"), F.col("v")
     keyed = items.withColumn("_v", whole)
@@ -165,6 +167,38 @@ def linear_head_scores(
     )
 
 
+def model_scores(
+    items: DataFrame,
+    vector: str,
+    load: Callable[[], Callable[[np.ndarray], np.ndarray]],
+    size: int,
+    output: str = "scores",
+    batch_size: int = 1024,
+) -> DataFrame:
+    """Add the outputs ``ARRAY<DOUBLE>`` of a model that each worker loads once.
+
+    ``load`` gives a function from ``[rows, size]`` to ``[rows, outputs]``; it is called with at most
+    ``batch_size`` vectors. Vectors that are null, hold a null or have another size get null.
+    """
+    given = F.col(vector).cast("array<double>")
+    whole = F.when((F.size(given) == size) & F.forall(given, lambda v: v.isNotNull()), given)
+    zeros = F.array_repeat(F.lit(0.0), size)
+    score = predict_batch_udf(load, return_type=ArrayType(DoubleType()), batch_size=batch_size, input_tensor_shapes=[[size]])
+    scored = items.withColumn("_given", whole)
+    scored = scored.withColumn(output, F.when(F.col("_given").isNotNull(), score(F.coalesce("_given", zeros))))
+    return scored.drop("_given")
+
+
+def linear_head_model(weights: np.ndarray, bias: np.ndarray) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
+    """A loader for ``model_scores`` of ``W x + b``."""
+
+    def load() -> Callable[[np.ndarray], np.ndarray]:
+        matrix = np.ascontiguousarray(weights.T)
+        return lambda rows: rows @ matrix + bias
+
+    return load
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str
 ) -> DataFrame:

@@ -125,9 +125,6 @@ def few_shot_experiment(
     few = stored(
         splits.few_shot_sample(items, id_col, fraction, seed).select(image, text, F.col(y_true).alias("y_true")), "few"
     )
-    results = None
-    for mode, features in probe.modalities(image, text).items():
-        predicted = probe.probe_multilabel(few, held_out, features, "y_true", n_classes, cut, passes)
-        rows = predicted.select(F.lit(mode).alias("mode"), "y_true", "y_pred")
-        results = rows if results is None else results.unionByName(rows)
+    modes = probe.modalities(image, text)
+    results = probe.probe_modes(few, held_out, modes, "y_true", [], "sigmoid", n_classes, cut, passes)
     return metrics.mode_comparison(results, "mode", scoring.MODES)

@@ -10,9 +10,8 @@ from loomset.operators.splits import shuffle_batches
 from registry import query
 from registry.fixtures import epochs, label_predictions, nearest_prototype, prototype_scores, r6, table
 from registry.scoring import zero_shot
-from registry.sql import CELLS, COMPARISON, EPOCHS, NEAREST, SCORES, hash_order
+from registry.sql import CELLS, COMPARISON, EPOCHS, NEAREST, SCORES, SCORES4, hash_order
 
-SCORES4 = ["micro_f1", "macro_f1", "subset_acc", "hamming_acc"]
 
 
 def rounded(df, *names):

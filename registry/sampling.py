@@ -36,6 +36,11 @@ def split_90_10(spark, sf_dir):
     return sp.split_train_val(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id")
 
 
+@query("split_80_20", f"WITH {ORDERED} SELECT o_orderkey, CASE WHEN r <= train THEN 'train' ELSE 'val' END AS split FROM sized")
+def split_80_20(spark, sf_dir):
+    return sp.split_held_out(_orders(spark, sf_dir), "o_orderkey")
+
+
 @query(
     "few_shot_sample",
     f"WITH {ORDERED} SELECT o_orderkey FROM sized WHERE r <= round_even(0.05 * train, 0)",

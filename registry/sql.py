@@ -146,8 +146,9 @@ predicted AS (
     SELECT vec_id, label, c, 'image_only' AS mode, pi AS prob FROM probs
     UNION ALL SELECT vec_id, label, c, 'text_only', pt FROM probs
     UNION ALL SELECT vec_id, label, c, 'multimodal', (pi + pt) / 2 FROM probs))"""
-COMPARISON = f"""{ZERO_SHOT},
-mode_class AS (
+# what a mode is compared by
+SCORES4 = ["micro_f1", "macro_f1", "subset_acc", "hamming_acc"]
+MODE_SCORES = """mode_class AS (
   SELECT mode, c, sum(t * p) AS tp, sum((1 - t) * p) AS fp, sum(t * (1 - p)) AS fn FROM predicted GROUP BY mode, c),
 mode_f1 AS (
   SELECT mode, 2.0 * sum(tp) / nullif(2 * sum(tp) + sum(fp) + sum(fn), 0) AS micro_f1,
@@ -158,6 +159,7 @@ mode_hamming AS (SELECT mode, avg(CASE WHEN t = p THEN 1.0 ELSE 0.0 END) AS hamm
 comparison AS (
   SELECT mode, coalesce(micro_f1, 0) AS micro_f1, macro_f1, subset_acc, hamming_acc
   FROM mode_f1 JOIN mode_subset USING (mode) JOIN mode_hamming USING (mode))"""
+COMPARISON = f"{ZERO_SHOT},\n{MODE_SCORES}"
 
 # gray images: (vec_id, label, width, x, y, v)
 GRAY = f"""{ENTRIES},
@@ -187,3 +189,64 @@ EPOCHS = """epochs AS (
          floor(sum(CAST(round(value * 100) AS BIGINT)) / (count(*) * 10)) / 10.0 AS score,
          count(*) AS seconds
   FROM events GROUP BY 1, 2)"""
+
+
+def probe_sql(kind: str, classes: int = 10, passes: int = 5, reg: float = 0.001) -> str:
+    """CTEs of the full-batch steps of three probes, from ``parts(vec_id, part)`` and ``truths(vec_id, c, t)``.
+
+    ``part`` is ``fit``, ``val`` or null. The last is ``scored(mode, vec_id, c, t, z)`` for the val rows. Position 0 is the bias.
+    """
+    rate = {"softmax": 0.5, "sigmoid": 0.25}[kind]
+    share = {
+        "softmax": "e / sum(e) OVER (PARTITION BY mode, vec_id)",
+        "sigmoid": "CASE WHEN z >= 0 THEN 1 / (1 + exp(-z)) ELSE exp(z) / (1 + exp(z)) END",
+    }[kind]
+    odds = "ln(k + 0.5)" if kind == "softmax" else "ln(k + 0.5) - ln(n - k + 0.5)"
+    sql = f"""x AS MATERIALIZED (
+  SELECT mode, vec_id, pos, v, part FROM (
+    SELECT 'image_only' AS mode, vec_id, pos, v FROM entries WHERE pos <= 32
+    UNION ALL SELECT 'text_only', vec_id, pos, v FROM entries WHERE pos > 32
+    UNION ALL SELECT 'multimodal', vec_id, pos, v FROM entries
+    UNION ALL SELECT mode, vec_id, 0, 1.0 FROM embeddings, (SELECT unnest(['image_only', 'text_only', 'multimodal']) AS mode))
+  JOIN parts USING (vec_id) WHERE part IS NOT NULL),
+sizes AS MATERIALIZED (
+  SELECT mode, count(DISTINCT vec_id) AS n, 1 / ({rate} * (sum(v * v) FILTER (pos > 0) / count(DISTINCT vec_id) + 1.0) + {reg}) AS step
+  FROM x WHERE part = 'fit' GROUP BY mode),
+w0 AS MATERIALIZED (
+  SELECT mode, c, pos, CASE WHEN pos = 0 THEN {odds} ELSE 0 END AS w, CASE WHEN pos = 0 THEN {odds} ELSE 0 END AS y
+  FROM (SELECT DISTINCT mode, pos FROM x) JOIN sizes USING (mode),
+    (SELECT c, sum(t) AS k FROM truths JOIN parts USING (vec_id) WHERE part = 'fit' GROUP BY c))"""
+    for k in range(passes):
+        ahead = f"{k + 1} / {k + 4}.0::DOUBLE"
+        sql += f""",
+p{k} AS MATERIALIZED (
+  SELECT mode, vec_id, c, {share} - t AS wrong FROM (
+    SELECT *, exp(z - max(z) OVER (PARTITION BY mode, vec_id)) AS e FROM (
+      SELECT mode, vec_id, c, sum(v * y) AS z FROM x JOIN w{k} USING (mode, pos) WHERE part = 'fit' GROUP BY mode, vec_id, c))
+  JOIN truths USING (vec_id, c)),
+g{k} AS (SELECT mode, c, pos, sum(wrong * v) AS g FROM x JOIN p{k} USING (mode, vec_id) WHERE part = 'fit' GROUP BY mode, c, pos),
+w{k + 1} AS MATERIALIZED (
+  SELECT mode, c, pos, new AS w, new + {ahead} * (new - w) AS y FROM (
+    SELECT mode, c, pos, w, y - step * (g / n + CASE WHEN pos > 0 THEN {reg} * y ELSE 0 END) AS new
+    FROM w{k} JOIN g{k} USING (mode, c, pos) JOIN sizes USING (mode)))"""
+    return sql + f""",
+scored AS (
+  SELECT mode, vec_id, c, t, z FROM (
+    SELECT mode, vec_id, c, sum(v * w) AS z FROM x JOIN w{passes} USING (mode, pos) WHERE part = 'val' GROUP BY mode, vec_id, c)
+  JOIN truths USING (vec_id, c))"""
+
+
+# the 80/20 split of the vectors; few is the order of the training rows
+HELD_OUT = f"""held AS (
+  SELECT vec_id, label, r, n - ceil(0.2 * n) AS train FROM (
+    SELECT vec_id, label, row_number() OVER (ORDER BY {hash_order('vec_id')}) AS r, count(*) OVER () AS n FROM embeddings))"""
+PROBE = f"""{ENTRIES}, {HELD_OUT},
+parts AS (SELECT vec_id, CASE WHEN r <= train THEN 'fit' ELSE 'val' END AS part FROM held),
+truths AS (SELECT vec_id, CAST(c AS INTEGER) AS c, CASE WHEN label = c THEN 1 ELSE 0 END AS t FROM embeddings, range(10) r(c)),
+{probe_sql('softmax')}"""
+FEW_SHOT = f"""{ENTRIES}, {HELD_OUT},
+parts AS (SELECT vec_id, CASE WHEN r <= round_even(0.05 * train, 0) THEN 'fit' WHEN r > train THEN 'val' END AS part FROM held),
+truths AS (
+  SELECT vec_id, CAST(c AS INTEGER) AS c, CASE WHEN label = c OR vec_id % 10 = c THEN 1 ELSE 0 END AS t FROM embeddings, range(10) r(c)),
+{probe_sql('sigmoid')},
+predicted AS (SELECT *, CASE WHEN 1 / (1 + exp(-z)) > 0.3 THEN 1 ELSE 0 END AS p FROM scored)"""

@@ -10,9 +10,9 @@ from loomset.sources import tables as tb
 from loomset.sources.storage import shared_dir
 from loomset.sources.word_vectors import read_word_vectors, write_word_vectors
 from registry import query
-from registry.evaluation import SCORES4, compared
+from registry.evaluation import compared
 from registry.fixtures import SCHEMAS, r6, records, saved_vocab, table
-from registry.sql import COMPARISON, RECORDS, VOCAB
+from registry.sql import COMPARISON, RECORDS, SCORES4, VOCAB
 
 
 @query("scan_table", "SELECT doc_id, text, lang, source, n_chars FROM documents")
