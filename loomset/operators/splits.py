@@ -7,10 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from loomset.plans.ranking import assign_parts, cut_keys, hash_rank, order_key
+from loomset.plans.ranking import assign_parts, cut_keys, global_index, hash_rank, order_key
 from loomset.plans.sizes import broadcast_if, distinct_at_most
+from loomset.sources.storage import stored
+
+#: Ranges of remainders that one search step counts.
+REMAINDER_RANGES = 4096
 
 
 def _share(fraction: float, n: Column) -> Column:
@@ -62,20 +65,45 @@ def fixed_size_sample(df: DataFrame, id_col: str, size: int, seed: int = 42) ->
     return assign_parts(df, id_col, ends, last="rest", seed=seed).where("split = 'sample'").drop("split")
 
 
+def _first_labels(tied: DataFrame, label: str, k: int) -> DataFrame:
+    """The ``k`` smallest labels, one row each, numbered in sorted ranges."""
+    numbered = global_index(tied.select(F.col(label).alias("_label")), ["_label"], "_place")
+    return numbered.where(F.col("_place") < k).select("_label", F.lit(1).alias("_tied"))
+
+
 def _quotas(df: DataFrame, label: str, size: int) -> DataFrame:
     """Rows to take per label, by largest remainder; ties go to the smaller label.
 
-    The windows run over one row per class.
+    Remainders are whole numbers (``n * size`` modulo the number of rows). The least one that
+    still gets a place is searched by counts of labels in ever narrower ranges, and only labels with
+    exactly that remainder are put in order, so no task sees all labels.
     """
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    share = counts.withColumn("exact", F.col("n") * F.lit(float(size)) / F.sum("n").over(Window.partitionBy()))
-    parts = share.withColumn("base", F.floor("exact")).withColumn("left", F.col("exact") - F.floor("exact"))
-    order = F.row_number().over(Window.orderBy(F.desc(F.round("left", 9)), F.asc(label)))
-    open_places = F.lit(size) - F.sum("base").over(Window.partitionBy())
-    return parts.select(
-        label,
-        F.least(F.col("base") + (order <= open_places).cast("int"), F.col("n")).cast("bigint").alias("quota"),
-    )
+    counts = stored(counts.withColumn("wanted", F.col("n").cast("decimal(20,0)") * F.lit(size).cast("decimal(18,0)")), "label-counts")
+    rows = counts.agg(F.sum("n")).first()[0] or 0
+    whole = F.lit(max(rows, 1)).cast("decimal(20,0)")
+    parts = counts.select(
+        label, "n", F.call_function("div", F.col("wanted"), whole).alias("base"),
+        (F.col("wanted") % whole).cast("bigint").alias("left"),
+    )
+    given = parts.agg(F.sum("base")).first()[0] or 0
+    places = min(size, rows) - given
+    low, high = 0, max(rows, 1)  # the last label with a place has a remainder in [low, high)
+    above = 0
+    while high - low > 1:
+        step = -(-(high - low) // REMAINDER_RANGES)
+        inside = parts.where((F.col("left") >= low) & (F.col("left") < high))
+        ranges = inside.groupBy(F.floor((F.col("left") - low) / F.lit(step)).alias("r")).agg(F.count(F.lit(1)).alias("k"))
+        for r, k in sorted(map(tuple, ranges.collect()), reverse=True):
+            if above + k >= places:
+                low, high = low + r * step, min(low + (r + 1) * step, high)
+                break
+            above += k
+        else:
+            break
+    tied = _first_labels(parts.where(F.col("left") == low), label, places - above)
+    more = F.when(F.col("left") > low, 1).otherwise(F.coalesce("_tied", F.lit(0)))
+    return parts.join(tied, F.col(label).eqNullSafe(F.col("_label")), "left").select(label, F.least(F.col("base") + more, F.col("n")).cast("bigint").alias("quota"))
 
 
 def stratified_sample(df: DataFrame, id_col: str, label: str, size: int, seed: int = 42) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from loomset.operators import batches as bt
 from loomset.operators import splits as sp
+from loomset.operators import vocab as vc
 from registry import query
-from registry.fixtures import table
-from registry.sql import hash_order
+from registry.fixtures import documents, saved_vocab, table
+from registry.sql import PUNCT_PATTERN, VOCAB_512, hash_order
 
 ORDERED = f"""ranked AS (
   SELECT o_orderkey, row_number() OVER (ORDER BY {hash_order('o_orderkey')}) AS r,
@@ -87,3 +91,28 @@ def stratified_sample(spark, sf_dir):
 )
 def shuffle_batches(spark, sf_dir):
     return sp.shuffle_batches(_orders(spark, sf_dir), "o_orderkey", 32)
+
+
+@query(
+    "collate_batches",
+    f"""WITH {VOCAB_512},
+    firsts100 AS (SELECT doc_id, list_slice(regexp_extract_all(lower(left(text, 512)), '{PUNCT_PATTERN}'), 1, 100) AS t FROM documents),
+    coded AS (SELECT doc_id, sum(coalesce(v.id, 1)) AS id_sum
+              FROM (SELECT doc_id, unnest(t) AS token FROM firsts100) LEFT JOIN vocab v USING (token) GROUP BY doc_id),
+    dealt AS (SELECT doc_id, len(t) AS n, CAST((row_number() OVER (ORDER BY {hash_order('doc_id')}) - 1) // 32 AS BIGINT) AS batch_id
+              FROM firsts100)
+    SELECT batch_id, count(*) AS n_rows, CAST(max(n) AS BIGINT) AS width, CAST(sum(max_n - n) AS BIGINT) AS n_padding,
+      CAST(coalesce(sum(id_sum), 0) AS BIGINT) AS id_sum, CAST(sum(n) AS BIGINT) AS n_real, min(doc_id) AS first_id
+    FROM (SELECT *, max(n) OVER (PARTITION BY batch_id) AS max_n FROM dealt) LEFT JOIN coded USING (doc_id) GROUP BY batch_id""",
+)
+def collate_batches(spark, sf_dir):
+    """Shuffled batches of encoded documents, each as wide as its longest row."""
+    docs, vocab = documents(spark, sf_dir, "doc_id", "text"), saved_vocab(spark, sf_dir, 512)
+    coded = vc.encode_sequences(docs, "doc_id", "text", vocab, max_chars=512)
+    rows = sp.shuffle_batches(coded.select("doc_id", F.expr("slice(input_ids, 1, n_tokens)").alias("ids")), "doc_id", 32)
+    made = bt.collate_batches(rows, "batch_id", "doc_id", "ids")
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return made.select(
+        "batch_id", "n_rows", "width", "n_padding", total("input_ids").alias("id_sum"),
+        total("attention_mask").alias("n_real"), F.get("row_ids", F.lit(0)).alias("first_id"),
+    )
