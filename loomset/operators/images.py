@@ -88,10 +88,17 @@ def image_quality(images: DataFrame, limit: int | None = None) -> DataFrame:
     )
 
 
-def metadata_align(rows: DataFrame, quality_rows: DataFrame, key: str) -> DataFrame:
-    """Attach the quality columns by key and drop rows without a readable image."""
-    measures = quality_rows.where(F.col("width").isNotNull()).withColumnRenamed("file_name", key).drop("path")
-    return rows.join(measures, key)
+def metadata_align(rows: DataFrame, quality_rows: DataFrame, key: str, by_path: bool = False) -> DataFrame:
+    """Attach the quality columns by key and drop rows without a readable image.
+
+    The key is the file name, or the whole path with ``by_path``. Of readable images with one name in several
+    folders the one with the smallest path counts, so every row stays at most one row.
+    """
+    readable = quality_rows.where(F.col("width").isNotNull())
+    own = F.col("path") if by_path else F.col("file_name")
+    others = [c for c in readable.columns if c not in ("path", "file_name")]
+    first = readable.groupBy(own.alias(key)).agg(F.min_by(F.struct(*others), "path").alias("_first"))
+    return rows.join(first.select(key, "_first.*"), key)
 
 
 def image_size_pairs(images: DataFrame) -> DataFrame:

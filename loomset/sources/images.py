@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomset.plans.ranking import global_index
+from loomset.plans.sizes import broadcast_if
+from loomset.sources.late_fetch import FILE, ROW, fetch, with_places
 
 # Spark's channel counts and the colour mode each one stands for.
 COLOR_MODES = {1: "L", 3: "RGB", 4: "RGBA"}
@@ -60,30 +62,41 @@ def missing_images(source: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     return source.join(stored.select(key), key, "left_anti")
 
 
+def _chosen(images: DataFrame, keys: DataFrame, key: str, data: str, few: bool) -> DataFrame:
+    """``(key, file, row)``: the place of one image for each of the keys.
+
+    Of images that share a key, it is the one with the smallest digest, then the first in the store. Bytes are
+    read only where a key repeats, and digests are what the join carries.
+    """
+    wanted = broadcast_if(few, keys)
+    alone = images.select(key, FILE, ROW).join(wanted.where("_n = 1"), key).select(key, FILE, ROW)
+    digests = images.select(key, F.sha2(data, 256).alias("_digest"), FILE, ROW)
+    first = F.min(F.struct(F.col("_digest").isNull(), "_digest", FILE, ROW)).alias("_first")
+    least = digests.join(wanted.where("_n > 1"), key).groupBy(key).agg(first)
+    return alone.unionByName(least.select(key, f"_first.{FILE}", f"_first.{ROW}"))
+
+
 def materialize_missing(source: DataFrame, store_path: str, key: str, data: str) -> DataFrame:
     """Append the images a Parquet store lacks and return the store.
 
-    Running it again adds nothing. Of images with one key, the one with the smallest
-    bytes is stored. The missing keys are found by a join of keys alone. When they are
-    few, they are broadcast and the image bytes are written straight from the scan, those
-    of repeated keys after a shuffle; otherwise the bytes meet the keys in a shuffle.
+    Running it again adds nothing. Of images with one key, the one with the smallest SHA-256 is
+    stored. The missing keys are found by a join of keys alone, and broadcast when they are
+    few; the bytes of the chosen images are read by their place after that and are never shuffled.
     """
     spark = source.sparkSession
-    images = source.select(key, data)
-    stored = spark.read.schema(images.schema).parquet(store_path)
-    keys = source.groupBy(key).agg((F.count(F.lit(1)) > 1).alias("_repeated"))
+    images = with_places(source.select(key, data))
+    schema = source.select(key, data).schema
+    stored = spark.read.schema(schema).parquet(store_path)
+    keys = images.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     missing = missing_images(keys, stored, key).persist()
     try:
         n = missing.count()
         if n:
-            wanted = F.broadcast(missing) if n <= MAX_BROADCAST_KEYS else missing
-            found = images.join(wanted, key)
-            alone = found.where(~F.col("_repeated")).select(key, data)
-            least = found.where("_repeated").groupBy(key).agg(F.min(data).alias(data))
-            alone.unionByName(least).write.mode("append").parquet(store_path)
+            places = _chosen(images, missing, key, data, n <= MAX_BROADCAST_KEYS)
+            fetch(places, images, [data]).write.mode("append").parquet(store_path)
     finally:
         missing.unpersist()
-    return spark.read.schema(images.schema).parquet(store_path)
+    return spark.read.schema(schema).parquet(store_path)
 
 
 def lookup_with_fallback(
@@ -91,17 +104,27 @@ def lookup_with_fallback(
 ) -> DataFrame:
     """Attach each row's image; a missing one becomes a black RGB image.
 
-    The blank is one constant of the plan, not a column of a joined table.
+    Every row stays one row: of images that share a key, the first in the store counts. The join
+    carries keys and places; each task then reads the bytes of its rows, so that no
+    shuffle holds an image, and a popular one is read once by each task that needs it. The blank is one
+    constant of the plan.
     """
     blank = F.lit(bytearray(width * height * 3))
-    joined = rows.join(images.select(key, F.col(data).alias("_data")), key, "left")
-    return joined.select(
+    placed = with_places(images.select(key, data))
+    first = placed.groupBy(key).agg(F.min(F.struct(FILE, ROW)).alias("_place"))
+    joined = rows.join(first, key, "left").select(*rows.columns, F.col(f"_place.{FILE}"), F.col(f"_place.{ROW}"))
+    found = fetch(joined, placed, [data])
+    return found.select(
         *rows.columns,
-        F.coalesce("_data", blank).alias(data),
-        F.col("_data").isNull().alias("is_fallback"),
+        F.coalesce(data, blank).alias(data),
+        F.col(data).isNull().alias("is_fallback"),
     )
 
 
 def numbered_images(source: DataFrame, order_by: list[str]) -> DataFrame:
-    """Add the file key by position in the given order."""
-    return global_index(source, order_by, "_position").withColumn("image_key", image_key(F.col("_position"))).drop("_position")
+    """Add the file key by position in the given order; only the ordering columns are sorted."""
+    placed = with_places(source)
+    light = global_index(placed.select(*order_by, FILE, ROW), order_by, "_position")
+    others = [c for c in source.columns if c not in order_by]
+    keyed = light.withColumn("image_key", image_key(F.col("_position"))).drop("_position")
+    return fetch(keyed, placed, others).select(*source.columns, "image_key")
