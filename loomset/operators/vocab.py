@@ -18,6 +18,9 @@ from loomset.sources.storage import stored
 PAD, UNK = 0, 1
 SPECIAL_TOKENS = [("<pad>", PAD), ("<unk>", UNK)]
 MAX_LOCAL_ENTRIES = 1_000_000
+#: Bytes of all tokens of a vocabulary that is broadcast, and of one token of the hot ones.
+MAX_LOCAL_BYTES = 64 << 20
+MAX_HOT_TOKEN_BYTES = 512
 
 
 def document_tokens(text: Column, max_chars: int | None) -> Column:
@@ -32,8 +35,12 @@ def build_vocab(df: DataFrame, id_col: str, text_col: str, max_chars: int | None
     token once, and the counts are combined before the shuffle, so a frequent
     token costs one row per task.
     """
-    tokens = F.array_distinct(document_tokens(F.col(text_col), max_chars))
-    seen = df.select(F.col(id_col).alias("doc"), F.posexplode(tokens).alias("pos", "token"))
+    return build_token_vocab(df, id_col, document_tokens(F.col(text_col), max_chars))
+
+
+def build_token_vocab(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
+    """``build_vocab`` of token arrays, for texts that are tokenised already."""
+    seen = df.select(F.col(id_col).alias("doc"), F.posexplode(F.array_distinct(tokens)).alias("pos", "token"))
     first = seen.groupBy("token").agg(
         F.min("doc").alias("doc"), F.min_by("pos", "doc").alias("pos"), F.count(F.lit(1)).alias("n_docs")
     )
@@ -50,6 +57,12 @@ def _entries(vocab: DataFrame) -> DataFrame:
     return vocab.where(~F.col("token").isin([t for t, _ in SPECIAL_TOKENS]))
 
 
+def is_local(entries: DataFrame, token: str, max_entries: int, max_bytes: int = MAX_LOCAL_BYTES) -> bool:
+    """Whether a vocabulary is small enough to be sent to every worker, counted in rows and in bytes."""
+    n, size = entries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(token)), F.lit(0))).first()
+    return n <= max_entries and size <= max_bytes
+
+
 def vocab_lookup(
     tokens: DataFrame,
     vocab: DataFrame,
@@ -57,23 +70,25 @@ def vocab_lookup(
     output: str = "token_id",
     max_entries: int = MAX_LOCAL_ENTRIES,
     hot_tokens: int = 100_000,
+    max_bytes: int = MAX_LOCAL_BYTES,
 ) -> DataFrame:
     """Add the id of every token; tokens outside the vocabulary get 1, null stays null.
 
-    A vocabulary counted to at most ``max_entries`` rows is broadcast. For a larger one
-    the rows are stored once and their tokens counted, those outside the vocabulary too.
-    The ``hot_tokens`` most frequent tokens are broadcast with their ids, which answers
+    A vocabulary counted to at most ``max_entries`` rows and ``max_bytes`` is broadcast. For a larger
+    one the rows are stored once and their tokens counted, those outside the vocabulary too.
+    The ``hot_tokens`` most frequent tokens of ordinary length are broadcast with their ids, which answers
     most rows where they are. Only the remaining rows are shuffled, and each of their
     tokens holds less than ``1 / hot_tokens`` of all rows.
     """
     entries = _entries(vocab).select(F.col("token").alias(token), F.col("id").alias("_id"))
     unknown = F.lit(UNK).cast("bigint")
     value = F.when(F.col(token).isNotNull(), F.coalesce("_id", unknown)).alias(output)
-    if entries.count() <= max_entries:
+    if is_local(entries, token, max_entries, max_bytes):
         return tokens.join(F.broadcast(entries), token, "left").select(*tokens.columns, value)
     tokens = stored(tokens, "lookup")
     counts = tokens.where(F.col(token).isNotNull()).groupBy(token).agg(F.count(F.lit(1)).alias("_n"))
-    hot = stored(counts.orderBy(F.desc("_n"), token).limit(hot_tokens).select(token), "hot-tokens")
+    short = counts.where(F.octet_length(token) <= MAX_HOT_TOKEN_BYTES)
+    hot = stored(short.orderBy(F.desc("_n"), token).limit(hot_tokens).select(token), "hot-tokens")
     hot = hot.join(entries, token, "left").select(token, F.coalesce("_id", unknown).alias("_id"))
     tried = tokens.join(F.broadcast(hot), token, "left").select(*tokens.columns, "_id")
     answered = F.col("_id").isNotNull() | F.col(token).isNull()
@@ -117,13 +132,13 @@ def encode_sequences(
 ) -> DataFrame:
     """``(id, *keep, n_tokens, input_ids, attention_mask)`` of exactly ``length`` entries.
 
-    A vocabulary counted to at most ``max_entries`` rows goes to the tasks as Arrow arrays
+    A vocabulary of at most ``max_entries`` rows and 64 MB goes to the tasks as Arrow arrays
     and every document is encoded where it is, without a shuffle. Beyond that the rows
     are stored with a number each, and their tokens exploded and joined; a row is then a
     group of at most ``length`` tokens. Rows that repeat an id stay rows of their own.
     """
     tokens = F.slice(document_tokens(F.col(text_col), max_chars), F.lit(1), F.lit(length))
-    if vocab.count() <= max_entries:
+    if is_local(_entries(vocab), "token", max_entries):
         coded = df.select(id_col, *keep, _ids_in_place(vocab)(tokens).alias("ids"))
     else:
         cut = stored(df.select(id_col, *keep, tokens.alias("_tokens"), F.monotonically_increasing_id().alias("_row")), "cut")

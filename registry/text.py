@@ -9,6 +9,7 @@ from loomset.operators import corpus as cp
 from loomset.operators import tfidf as ti
 from loomset.operators import vocab as vc
 from loomset.operators.dense import class_similarity
+from loomset.sources.storage import stored
 from registry import query
 from registry.fixtures import corpus, documents, r6, saved_vocab, table, word_counts, word_vectors
 from registry.sql import CLEAN, KEPT, PUNCT_PATTERN, PUNCT_TOKENS, TERMS, TFIDF, VOCAB, VOCAB_512, WORD_COUNT, WORD_VECTORS
@@ -169,9 +170,10 @@ def build_vocab_whole_text(spark, sf_dir):
     FROM tokens LEFT JOIN vocab v USING (token) GROUP BY doc_id""",
 )
 def vocab_lookup(spark, sf_dir):
-    docs, vocab = documents(spark, sf_dir, "doc_id", "text"), saved_vocab(spark, sf_dir)
-    tokens = docs.select("doc_id", F.posexplode(tx.tokenize_words_punct(F.col("text"))).alias("pos", "token"))
-    found = vc.vocab_lookup(tokens, vocab)
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    cut = stored(docs.select("doc_id", tx.tokenize_words_punct(F.col("text")).alias("tokens")), "tokens")
+    vocab = stored(vc.build_token_vocab(cut, "doc_id", F.col("tokens")), "vocab")
+    found = vc.vocab_lookup(cut.select("doc_id", F.posexplode("tokens").alias("pos", "token")), vocab)
     return found.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_tokens"),
         F.count_if(F.col("token_id") == vc.UNK).alias("n_unknown"),

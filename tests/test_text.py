@@ -217,3 +217,13 @@ def test_random_vectors_look_normal(spark):
     draws = spark.range(200).select(F.explode(vc.random_normal_vector(F.col("id").cast("string"), 100, 1)).alias("x"))
     mean, sd, top = draws.agg(F.avg("x"), F.stddev("x"), F.max(F.abs("x"))).first()
     assert abs(mean) < 0.03 and abs(sd - 1) < 0.03 and 3 < top < 7
+
+
+def test_a_vocabulary_of_few_but_long_tokens_is_not_broadcast(spark):
+    long = "x" * 4000
+    vocab = spark.createDataFrame([("<pad>", 0, 0), ("<unk>", 1, 0), (long, 2, 1), ("a", 3, 1)], "token STRING, id BIGINT, n_docs BIGINT")
+    rows = spark.createDataFrame([(1, long), (2, "a"), (3, "b"), (4, None), (5, long)], "id INT, token STRING")
+    assert not vc.is_local(vocab, "token", 100, 1000) and vc.is_local(vocab, "token", 100, 10_000)
+    for size in (1000, 10_000):
+        got = {r["id"]: r["token_id"] for r in vc.vocab_lookup(rows, vocab, max_bytes=size).collect()}
+        assert got == {1: 2, 2: 3, 3: 1, 4: None, 5: 2}
