@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -288,16 +288,18 @@ def links(texts: DataFrame, sketches: DataFrame, weights: Weights, least: float
     return found.union(judged(stored(second, "pairs"), "judged").filter(F.col("similarity") >= least).select("a", "b"))
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(``key``, class_id, n_links), one row per document.
+def text_key(text: Column) -> Column:
+    """A 128-bit key of a text."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit("b")).alias("b"))
 
-    A class is named by the smallest key in it; ``n_links`` counts the verified links of
-    the document's text to other texts. Copies are in one class. Null texts and texts
-    without words are like nothing: each is a class of its own, named by its own key.
-    Repeated rows give a row each, a null key stays null; other columns are not used.
+
+def named_texts(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """((id, key, bands) of every row, (key, class_id, n_links, is_first) of every text that has words).
+
+    Of a class, the text with the smallest id, and then the smallest text key, is its first.
     """
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    keyed = rows.withColumn("key", F.struct(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit("b")).alias("b")))
+    keyed = rows.withColumn("key", text_key(F.col("text")))
     weights = frequent_shingles(rows, "text")
     every = stored(sketch(keyed, "text", weights), "sketches")
     full = every.filter(F.size("bands") > 0)
@@ -308,20 +310,45 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     ends = edges.select(F.explode(F.array("a", "b")).alias("key"))
     degrees = ends.groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     linked = texts.select("key", "first").join(names, "key").join(degrees, "key")
-    least = linked.groupBy("component").agg(F.min("first").alias("class_id"))
-    found = stored(linked.join(least, "component").select("key", "class_id", "n_links"), "linked")
+    least = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key")).alias("least")
+    least = linked.groupBy("component").agg(least).select("component", "least.first", F.col("least.key").alias("own"))
+    found = linked.select("key", "component", "n_links").join(least, "component")
+    found = stored(found.select("key", F.col("first").alias("class_id"), "n_links", (F.col("key") == F.col("own")).alias("is_first")), "linked")
     alone = texts.select("key", "first").join(found, "key", "left")
-    alone = alone.select("key", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = full.select("id", "key").join(alone, "key").select("id", "class_id", "n_links")
+    alone = alone.select(
+        "key", F.when(F.col("is_first").isNull(), F.col("first")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("is_first", F.lit(True)).alias("is_first"),
+    )
+    return every, alone
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(``key``, class_id, n_links), one row per document.
+
+    A class is named by the smallest key in it; ``n_links`` counts the verified links of
+    the document's text to other texts, enough to join the class. Copies are in one class. Null texts and texts
+    without words are like nothing: each is a class of its own, named by its own key.
+    Repeated rows give a row each, a null key stays null; other columns are not used.
+    """
+    every, named = named_texts(docs, key, text)
+    full = every.filter(F.size("bands") > 0)
+    out = full.select("id", "key").join(named, "key").select("id", "class_id", "n_links")
     empty = every.filter(F.size("bands") == 0).select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.union(empty).withColumnRenamed("id", key)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose key names their class; of rows that repeat such a key, one stays.
+    """One document of each class: of its first text, the one with the smallest key.
 
-    Rows with a null key cannot be named and stay.
+    A key may repeat: rows are told apart by key and text, and of rows that share both, the one with the
+    smallest hash of all its columns stays. Rows without words stay, as they are like nothing. Rows
+    with a null key cannot be named and stay.
     """
-    found = classes(docs, key, text).filter(F.col(key) == F.col("class_id")).select(key).distinct()
-    named = docs.filter(F.col(key).isNotNull()).join(found, key, "left_semi").dropDuplicates([key])
-    return named.select(*docs.columns).union(docs.filter(F.col(key).isNull()))
+    _, named = named_texts(docs, key, text)
+    first = named.filter("is_first").select(F.col("key").alias("_key"), F.col("class_id").alias("_id"))
+    has_words = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.filter(F.col(key).isNotNull()).select(F.struct("*").alias("_row"), has_words.alias("_words"), text_key(F.col(text)).alias("_key"))
+    rows = rows.withColumn("_id", F.col("_row")[key])
+    kept = rows.filter("_words").join(first, ["_key", "_id"], "left_semi").unionByName(rows.filter("NOT _words").select("_row", "_words", "_key", "_id"))
+    one = kept.groupBy("_id", "_key").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return one.select("_row.*").select(*docs.columns).union(docs.filter(F.col(key).isNull()))

@@ -85,3 +85,57 @@ software and associated documentation files (the "Software"), to deal
     assert [h.family for h in got[1]] == ["Apache-2.0", "GPL-3.0", "BSD-3-Clause", "MIT"]
     assert [[h.family for h in got[i]] for i in (2, 3, 4)] == [["GPL-3.0"], ["BSD-3-Clause"], []]
     assert whole[got[1][2].start :][: got[1][2].length] in bsd
+
+
+def test_different_texts_of_one_id_stay(spark):
+    a, b, c = words(40, 1), words(40, 2), words(40, 3)
+    near = a.rsplit(" ", 1)[0] + " changed"
+    rows = [(1, a, 0), (1, b, 1), (2, c, 2), (3, near, 3), (1, a, 4), (1, b, 1), (4, "", 5), (4, None, 6), (4, "", 7), (None, c, 8)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, _row int")
+    for some in (docs, docs.repartition(7)):
+        got = sorted(map(str, near_dedup.keep_one(some).collect()))
+        assert len(got) == 6 and got == sorted(map(str, near_dedup.keep_one(some).collect()))
+        kept = [(r.doc_id, r.text) for r in near_dedup.keep_one(some).collect()]
+        assert sorted(kept, key=str) == sorted([(1, a), (1, b), (2, c), (4, ""), (4, None), (None, c)], key=str)
+    named = {(r.doc_id, r.class_id) for r in near_dedup.classes(docs).collect()}
+    assert named == {(1, 1), (2, 2), (3, 1), (4, 4), (None, 2)}
+
+
+def test_licences_and_versions_are_told_apart(spark):
+    fsf = "it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or"
+    cases = {
+        "GPL-2.0": [fsf.format("General Public License", "2"), "SPDX-License-Identifier: GPL-2.0-only", "Released under the GPL v2 license."],
+        "GPL-3.0": [fsf.format("General Public License", "3"), "Released under the GPL v3 license."],
+        "LGPL-2.1": [fsf.format("Lesser General Public\n License", "2.1"), "SPDX-License-Identifier: LGPL-2.1-or-later"],
+        "AGPL-3.0": [fsf.format("Affero General Public License", "3")],
+        "ISC": ["SPDX-License-Identifier: ISC"],
+        "BSD-2-Clause": ["SPDX-License-Identifier: BSD-2-Clause", "Licensed under the 2-clause BSD License."],
+        "BSD-3-Clause": ["SPDX-License-Identifier: BSD-3-Clause", "Licensed under the 3-clause BSD License."],
+        "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+        "Apache-1.1": ["Licensed under the Apache License, Version 1.1."],
+        None: [
+            "This is not released under the MIT License.", "Licensed under the Apache License, Version 1.0.", "Licensed under CC BY 3.0.",
+            "SPDX-License-Identifier: EPL-2.0", "Licensed under CC BY-NC-SA 4.0.", "Licensed under the Eclipse Public License 2.0.",
+        ],
+    }
+    rows = [(i, text, family) for i, (family, text) in enumerate((f, t) for f, texts in cases.items() for t in texts)]
+    model = licences.learn(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    docs = spark.createDataFrame(rows, "doc_id int, text string, licences string")
+    want = {i: [family] if family else [] for i, _, family in rows}
+    assert {r.doc_id: [h.family for h in r.licences] for r in licences.scan(docs, model).collect()} == want
+
+
+def test_licence_query_finds_the_lines_that_plain_python_finds(spark):
+    from loomset.llm import queries
+
+    known = {
+        "Apache-2.0": "Licensed under the Apache License, Version 2.0", "MIT": "Released under the MIT License",
+        "GPL-3.0": "licensed under the GNU General Public License, version 3", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
+    }
+    folder = "/root/testdata/sf0.01"
+    want = {}
+    for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect():
+        hits = [f for line in r.text.split("\n") for f, notice in known.items() if notice in line]
+        want[r.doc_id] = (len(hits), ",".join(sorted(set(hits))))
+    got = {r.doc_id: (r.n_notices, r.families) for r in queries.QUERIES["op5_licences"](spark, folder).collect()}
+    assert got == want and sum(n for n, _ in want.values()) > 10
