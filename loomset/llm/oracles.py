@@ -19,12 +19,8 @@ WITH d AS (
 ), covered AS (
   SELECT r, sum(least(8, coalesce(nx - i, 8))) AS n
   FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nx FROM twice) GROUP BY r
-), sizes AS (
-  SELECT host, count(DISTINCT t) AS n_texts FROM w GROUP BY host
 ), frequent AS (
-  SELECT host, line FROM (
-    SELECT host, line, count(DISTINCT t) AS n FROM (SELECT host, t, unnest(ns) AS line FROM w) GROUP BY host, line
-  ) JOIN sizes USING (host) WHERE n > 20 AND n > 0.01 * n_texts
+  SELECT host, line FROM (SELECT host, t, unnest(ns) AS line FROM w) GROUP BY host, line HAVING count(DISTINCT t) > 20
 ), lost AS (
   SELECT r, sum(len(string_split(line, ' '))) AS n
   FROM (SELECT r, host, unnest(ns) AS line FROM w) JOIN frequent USING (host, line) GROUP BY r
@@ -62,10 +58,10 @@ WITH u AS (
     regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages WHERE url IS NOT NULL
 ), c AS (
   SELECT page_id, size,
-    regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), ':(80|443)$', ''), '^(www[0-9]*|m)\.', '')
+    regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), ':(80|443)$', ''), '^www[0-9]*\.', '')
       || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS page,
     array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
-      lambda x: x <> '' AND NOT regexp_matches(x, '^(?i:utm_[a-z]+|ref|fbclid|gclid)(=|$)'))), '&') AS query FROM u
+      lambda x: x <> '' AND NOT regexp_matches(x, '^(?i:utm_[a-z]+|fbclid|gclid)(=|$)'))), '&') AS query FROM u
 ), k AS (
   SELECT page_id, size, page || CASE WHEN query = '' THEN '' ELSE '?' || query END AS page,
     '"v' || (page_id % 2) || '"' AS tag, 'day ' || (page_id % 5) AS day FROM c

@@ -18,9 +18,8 @@ SYMBOLS_ONLY = r"[^#*$%&|<>]+"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: A line is removed when it stands in more distinct texts of a host than both limits.
-MIN_LINE_DOCS = 20
-MAX_LINE_SHARE = 0.01
+#: A line is removed when it stands in more distinct texts of a host, whatever the size of the host.
+MAX_LINE_DOCS = 20
 #: A document that loses more than this share of its words is depleted.
 MAX_REMOVED_SHARE = 0.75
 #: Where near copies are folded, texts with this share of their words in frequent lines are compared.
@@ -115,10 +114,8 @@ def base_statistics(docs: DataFrame, text: str = "text", host: str = "source") -
     return done.withColumn("stats", F.col("stats").withField("base_failed", failed))
 
 
-def frequent_lines(
-    base: DataFrame, host: str, min_docs: int = MIN_LINE_DOCS, max_share: float = MAX_LINE_SHARE
-) -> DataFrame:
-    """(host, line, n_texts) of lines that stand in too many of the ``n_texts`` distinct texts of a host.
+def frequent_lines(base: DataFrame, host: str, max_docs: int = MAX_LINE_DOCS) -> DataFrame:
+    """(host, line) of lines that stand in more than ``max_docs`` distinct texts of a host.
 
     Exact copies of a text count once per host, so that a group of copies does not
     make its own lines frequent. The first shuffle goes by host, line and text: a line
@@ -126,17 +123,14 @@ def frequent_lines(
     """
     where = F.coalesce(F.col(f"row.{host}"), F.lit("")).alias("host")
     texts = base.select(where, F.col("stats.key").alias("key"), F.array_distinct(F.col("stats.lines.line")).alias("at"))
-    sizes = texts.groupBy("host", "key").agg(F.lit(1)).groupBy("host").agg(F.count(F.lit(1)).alias("n_texts"))
     seen = texts.select("host", "key", F.explode("at").alias("line")).distinct()
-    counted = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > min_docs)
-    counted = counted.join(sizes, "host").filter(F.col("n_docs") > max_share * F.col("n_texts"))
-    return counted.select("host", "line", "n_texts")
+    counted = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
+    return counted.filter(F.col("n_docs") > max_docs).select("host", "line")
 
 
 def without_copied_lines(
-    frequent: DataFrame, base: DataFrame, docs: DataFrame, text: str, host: str,
-    min_docs: int = MIN_LINE_DOCS, max_share: float = MAX_LINE_SHARE,
-) -> DataFrame:
+    frequent: DataFrame, base: DataFrame, docs: DataFrame, text: str, host: str, max_docs: int = MAX_LINE_DOCS
+) -> DataFrame:
     """The ``frequent`` lines that are so too when near copies of a text count once in a host.
 
     Only texts with a LEAST_FOLDED_SHARE of their words in frequent lines are compared:
@@ -154,10 +148,9 @@ def without_copied_lines(
     sketches = bodies.select("host", of.alias("text"), near_copies.sketch(split_words(F.col("body"))).alias("sketch"))
     names = near_copies.groups(stored(sketches.dropDuplicates(["text"]), "sketches"))
     named = hits.withColumn("node", of).join(names, "node", "left")
-    named = named.select("host", "line", "n_texts", F.coalesce("component", "node").alias("copies")).distinct()
-    counted = named.groupBy("host", "line", "n_texts").agg(F.count(F.lit(1)).alias("n_docs"))
-    passed = (F.col("n_docs") > min_docs) & (F.col("n_docs") > max_share * F.col("n_texts"))
-    return counted.filter(passed).select("host", "line", "n_texts")
+    named = named.select("host", "line", F.coalesce("component", "node").alias("copies")).distinct()
+    counted = named.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
+    return counted.filter(F.col("n_docs") > max_docs).select("host", "line")
 
 
 def removed_lines(base: DataFrame, host: str, frequent: DataFrame) -> DataFrame:

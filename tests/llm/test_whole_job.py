@@ -139,3 +139,44 @@ def test_licence_query_finds_the_lines_that_plain_python_finds(spark):
         want[r.doc_id] = (len(hits), ",".join(sorted(set(hits))))
     got = {r.doc_id: (r.n_notices, r.families) for r in queries.QUERIES["op5_licences"](spark, folder).collect()}
     assert got == want and sum(n for n, _ in want.values()) > 10
+
+
+def test_a_line_goes_at_one_limit_in_small_and_large_hosts(spark):
+    passage = words(60, 77)
+    rows = [(i, f"{words(90, i)}\n{passage}" if i < 25 else words(90, i), "small") for i in range(60)]
+    rows += [(100 + i, f"{words(90, 100 + i)}\n{passage}" if i < 25 else words(90, 100 + i), "large") for i in range(4000)]
+    rows += [(9000 + i, f"{words(90, 9000 + i)}\n{passage}" if i < 20 else words(90, 9000 + i), "few") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    got = {r.doc_id: r.quality for r in quality_rules.judge(docs).collect()}
+    for i, text, host in rows:
+        assert got[i].kept and got[i].removed_words == (60 if "\n" in text and host != "few" else 0)
+
+
+def test_revisits_without_a_validator_are_unchecked(spark):
+    from loomset.llm import revisits
+
+    day = {"last-modified": "d1"}
+    rows = [
+        (1, "http://a.com/x", 1, "response", 200, {"etag": '"1"'}), (2, "a.com/x", 2, "revisit", 304, {}), (3, "a.com/x", 2, "revisit", 304, None),
+        (4, "a.com/x", 3, "revisit", 304, day), (None, "www.a.com/x", 4, "revisit", 304, {"etag": 'W/"1"'}), (None, "a.com/x", 4, "revisit", 304, {"etag": '"1"'}),
+        (5, "m.a.com/x", 5, "revisit", 304, {"etag": '"1"'}), (6, "a.com/x?ref=main", 5, "revisit", 304, {"etag": '"1"'}),
+        (7, "b.com", 1, "response", 200, None), (8, "b.com/", 2, "revisit", 304, {"etag": '"1"'}), (9, None, 2, "revisit", 304, {}),
+    ]
+    df = spark.createDataFrame(rows, "record_id int, url string, time int, kind string, status int, headers map<string,string>")
+    got = sorted(((r.record_id, r.refers_to, r.outcome) for r in revisits.resolve(df).collect()), key=str)
+    assert got == sorted([
+        (2, 1, "unchecked"), (3, 1, "unchecked"), (4, 1, "unchecked"), (None, 1, "resolved"), (None, 1, "resolved"),
+        (5, None, "missing"), (6, None, "missing"), (8, 7, "unchecked"),
+    ], key=str)
+    mobile = revisits.resolve(df, host_prefixes=r"^(www\d*|m)\.").filter("record_id = 5").first()
+    assert (mobile.refers_to, mobile.outcome) == (1, "resolved")
+
+
+def test_one_hot_page_is_ordered_in_many_ranges(spark, monkeypatch):
+    from loomset.llm import revisits
+
+    rows = [(i, "a.com", i, "response" if i % 50 == 0 else "revisit", 200, {"etag": '"1"'}) for i in range(2000)]
+    df = spark.createDataFrame(rows, "record_id int, url string, time int, kind string, status int, headers map<string,string>")
+    monkeypatch.setattr(revisits, "SLICE_ROWS", 60)
+    got = {r.record_id: (r.refers_to, r.outcome) for r in revisits.resolve(df).collect()}
+    assert got == {i: (i - i % 50, "resolved") for i in range(2000) if i % 50}
