@@ -36,11 +36,19 @@ IMPLIED = {
     "option": (("option",), ("select", "datalist")),
     "optgroup": (("option", "optgroup"), ("select",)),
 }
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
-#: Deeper nesting is flattened into the deepest element, so no page exhausts the stack.
+#: Comments, declarations, and tags with their attributes. Nothing is read twice: what is never closed ends with the page.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))|=)*+)(>|\Z)",
+    re.DOTALL,
+)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(\"[^\"]*+\"?|'[^']*+'?|[^\s>]++))?")
+UNSEEN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+VISIBILITY = re.compile(r"visibility\s*:\s*(\w+)", re.IGNORECASE)
+#: Deeper nesting is flattened into the deepest element, so no page exhausts the stack; hidden elements stay hidden there.
 MAX_DEPTH = 200
+#: Columns that one cell can span, and rows.
+MAX_SPAN = 100
 
 
 @dataclass
@@ -57,6 +65,15 @@ class Element:
             return True
         return self.name == "input" or bool(UNSEEN.search(a.get("style", "")))
 
+    def seen(self, inherited: bool) -> bool:
+        """Whether its own text shows; unlike a hidden element's, its children can differ."""
+        said = VISIBILITY.findall(self.attributes.get("style", ""))
+        return said[-1].lower() not in ("hidden", "collapse") if said else inherited
+
+    def number(self, name: str, default: int) -> int:
+        value = self.attributes.get(name, "").strip()
+        return int(value) if re.fullmatch(r"[+-]?[0-9]{1,9}", value) else default
+
 
 def attributes(text: str) -> dict[str, str]:
     found: dict[str, str] = {}
@@ -65,55 +82,76 @@ def attributes(text: str) -> dict[str, str]:
     return found
 
 
-def parse(page: str) -> Element:
-    """The tree of a page. Missing end tags are implied and stray ones are dropped."""
-    root = Element("html")
-    path = [root]
+class OpenElements:
+    """The elements that are open, and where those of each name are."""
+
+    def __init__(self, root: Element) -> None:
+        self.path = [root]
+        self.places: dict[str, list[int]] = {}
+
+    def last(self, names: tuple[str, ...]) -> int:
+        """The place of the innermost open element of these names, 0 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def push(self, element: Element) -> None:
+        self.places.setdefault(element.name, []).append(len(self.path))
+        self.path.append(element)
+
+    def cut(self, place: int) -> None:
+        """Close the element at a place and all within it."""
+        for element in self.path[place:]:
+            self.places[element.name].pop()
+        del self.path[place:]
 
-    def close(names: tuple[str, ...], bounds: tuple[str, ...]) -> None:
-        for at in range(len(path) - 1, 0, -1):
-            if path[at].name in bounds:
-                return
-            if path[at].name in names:
-                del path[at:]
-                close(names, bounds)
-                return
+    def close(self, names: tuple[str, ...], bounds: tuple[str, ...]) -> None:
+        """Close the elements of these names that lie within the innermost bound."""
+        bound = self.last(bounds)
+        while (place := self.last(names)) > bound:
+            self.cut(place)
 
+
+def parse(page: str) -> Element:
+    """The tree of a page. Missing end tags are implied, stray ones dropped, and so is a tag that the page cuts off."""
+    root = Element("html")
+    opened = OpenElements(root)
     at = 0
     while at < len(page):
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text:
-            path[-1].children.append(html.unescape(text))
-        if not m:
+            opened.path[-1].children.append(html.unescape(text))
+        if not m or m[2] and not m[4]:
             break
         at, name = m.end(), (m[2] or "").lower()
         if not name:
             continue
         if m[1]:
-            if any(e.name == name for e in path[1:]):
-                while path.pop().name != name:
-                    pass
+            if place := opened.last((name,)):
+                opened.cut(place)
             elif name == "p":
-                path[-1].children.append(Element("p"))
+                opened.path[-1].children.append(Element("p"))
             continue
         if name == "html":
             continue
         if name in CLOSES_P:
-            close(("p",), ("td", "th", "button", "table", "caption"))
+            opened.close(("p",), ("td", "th", "button", "table", "caption"))
         if name in IMPLIED:
-            close(*IMPLIED[name])
+            opened.close(*IMPLIED[name])
         if name == "body":
-            close(("head",), ())
-        element = Element(name, attributes(m[3]) if m[3] else {})
-        path[-1].children.append(element)
+            opened.close(("head",), ())
+        element, parent = Element(name, attributes(m[3]) if m[3] else {}), opened.path[-1]
+        deep = len(opened.path) >= MAX_DEPTH and name not in RAW and name not in VOID
+        if deep and not element.hidden() and element.seen(True):
+            element.children = parent.children  # what it holds goes to the deepest element
+        elif not deep:
+            parent.children.append(element)
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
+            end = re.compile(rf"</{name}\s*+>", re.IGNORECASE).search(page, at)
             stop = end.start() if end else len(page)
             element.children.append(page[at:stop] if name in ("script", "style") else html.unescape(page[at:stop]))
             at = end.end() if end else len(page)
-        elif name not in VOID and not m[3].endswith("/") and len(path) < MAX_DEPTH:
-            path.append(element)
+        elif name not in VOID and not m[3].endswith("/"):
+            opened.push(element)
     return root
 
 
@@ -122,101 +160,183 @@ class Writer:
 
     def __init__(self) -> None:
         self.lines: list[str] = []
-        self.line, self.gap, self.prefix, self.first = "", 0, "", ""
+        self.parts: list[str] = []
+        self.blank, self.gap, self.prefix, self.first = True, 0, "", ""
+
+    def add(self, text: str) -> None:
+        if text:
+            self.parts.append(text)
+            self.blank = text[-1] == " "
 
     def text(self, text: str, keep: bool) -> None:
         if keep:
             head, *more = text.split("\n")
-            self.line += head
+            self.add(head)
             for part in more:
                 self.end(keep=True)
-                self.line = part
+                self.add(part)
             return
         text = re.sub(r"[ \t\n\r\f]+", " ", text)
-        self.line += text[1:] if text.startswith(" ") and (not self.line or self.line[-1] == " ") else text
+        self.add(text[1:] if text.startswith(" ") and self.blank else text)
 
     def end(self, keep: bool = False) -> None:
-        line = self.line.rstrip() if not keep else self.line
+        line = "".join(self.parts)
+        line = line.rstrip() if not keep else line
         if line.strip() or keep and self.lines:
             if self.lines and self.gap:
                 self.lines.extend([""] * self.gap)
             self.lines.append((self.first or self.prefix) + line)
             self.gap, self.first = 0, ""
-        self.line = ""
+        self.parts, self.blank = [], True
 
     def space(self, blank: int) -> None:
         self.end()
         self.gap = max(self.gap, blank)
 
 
-def cells(row: Element) -> list[str]:
-    out = []
-    for c in row.children:
-        if isinstance(c, Element) and c.name in ("td", "th") and not c.hidden():
-            out.append(" ".join(render(c).split()))
-            width = c.attributes.get("colspan", "1")
-            out.extend([""] * (min(int(width), 100) - 1 if width.isdecimal() else 0))
-    return out
-
-
-def table_rows(table: Element) -> Iterator[Element]:
-    for c in table.children:
-        if isinstance(c, Element) and not c.hidden():
-            if c.name == "tr":
-                yield c
-            elif c.name in ("thead", "tbody", "tfoot"):
-                yield from table_rows(c)
-
-
-def write(node: Element, out: Writer, keep: bool = False) -> None:
+class Table:
+    """The rows of cells of a table, through any elements between, and what else stands in it."""
+
+    def __init__(self, table: Element, seen: bool) -> None:
+        self.rows: list[list[list[str]]] = []
+        self.captions: list[tuple[Element, bool]] = []
+        self.stray: list[tuple[Element | str, bool]] = []
+        self.below: dict[int, int] = {}
+        self.collect(table, seen)
+
+    def collect(self, node: Element, seen: bool) -> None:
+        loose: list[Element] = []
+
+        def row_of_loose() -> None:
+            if loose:
+                self.row(Element("tr", {}, list(loose)), seen)
+                loose.clear()
+
+        for c in node.children:
+            if isinstance(c, str):
+                if c.strip():
+                    self.stray.append((c, seen))
+            elif c.hidden():
+                continue
+            elif c.name == "caption":
+                self.captions.append((c, c.seen(seen)))
+            elif c.name in ("td", "th"):
+                loose.append(c)
+            elif c.name == "tr":
+                row_of_loose()
+                self.row(c, c.seen(seen))
+            elif c.name in ("thead", "tbody", "tfoot") or any(isinstance(x, Element) and x.name in ROW_PARTS for x in c.children):
+                row_of_loose()
+                self.collect(c, c.seen(seen))
+            else:
+                self.stray.append((c, seen))
+        row_of_loose()
+
+    def row(self, row: Element, seen: bool) -> None:
+        """Add a row; cells of earlier rows that reach down keep their columns."""
+        made: list[list[str]] = []
+
+        def skip() -> None:
+            while self.below.get(len(made), 0):
+                self.below[len(made)] -= 1
+                made.append([])
+
+        def place(node: Element, seen: bool) -> None:
+            for c in node.children:
+                if isinstance(c, str):
+                    if c.strip():
+                        self.stray.append((c, seen))
+                elif c.hidden():
+                    continue
+                elif c.name in ("td", "th"):
+                    skip()
+                    columns, rows = (max(1, min(c.number(n, 1), MAX_SPAN)) for n in ("colspan", "rowspan"))
+                    lines = render(c, c.seen(seen)).split("\n")
+                    for k in range(columns):
+                        if rows > 1:
+                            self.below[len(made)] = rows - 1
+                        made.append([] if k else lines)
+                elif any(isinstance(x, Element) and x.name in ("td", "th") for x in c.children):
+                    place(c, c.seen(seen))
+                else:
+                    self.stray.append((c, seen))
+
+        place(row, seen)
+        skip()
+        self.rows.append(made)
+
+    def lines(self) -> Iterator[str]:
+        """The rows as text, columns aligned; a cell of several lines makes its row as many."""
+        columns = max(map(len, self.rows), default=0)
+        wide = [max((len(x) for r in self.rows if i < len(r) for x in r[i]), default=0) for i in range(columns)]
+        for row in self.rows:
+            for k in range(max([1, *map(len, row)])):
+                yield " | ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(row, wide, strict=False))
+
+
+ROW_PARTS = frozenset("tr td th thead tbody tfoot".split())
+
+
+def write_table(table: Element, out: Writer, seen: bool) -> None:
+    """Append a table: what stands in it outside of cells first, then its caption and its rows."""
+    found = Table(table, seen)
+    for stray, shown in found.stray:
+        write(Element("span", {}, [stray]), out, seen=shown)
+    out.space(1)
+    for caption, shown in found.captions:
+        write(caption, out, seen=shown)
+        out.end()
+    for line in found.lines():
+        out.add(line)
+        out.end()
+    out.space(1)
+
+
+def write(node: Element, out: Writer, keep: bool = False, seen: bool = True) -> None:
     """Append a node's visible text."""
-    number = int(start) if (start := node.attributes.get("start", "1")).isdecimal() else 1
+    step = -1 if "reversed" in node.attributes else 1
+    items = sum(isinstance(c, Element) and c.name == "li" for c in node.children) if step < 0 else 1
+    number = node.number("start", items)
     for child in node.children:
         if isinstance(child, str):
-            out.text(child, keep)
+            if seen:
+                out.text(child, keep)
             continue
         if child.hidden():
             continue
-        name = child.name
+        name, shown = child.name, child.seen(seen)
         if name == "br":
             out.end(keep=True)
         elif name == "img":
-            out.text(child.attributes.get("alt", ""), keep)
-        elif name == "table" and (rows := [cells(r) for r in table_rows(child)]):
-            out.space(1)
-            for caption in (c for c in child.children if isinstance(c, Element) and c.name == "caption"):
-                write(caption, out)
-                out.end()
-            wide = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows)))]
-            for row in rows:
-                out.line = " | ".join(c.ljust(w) for c, w in zip(row, wide, strict=False))
-                out.end()
-            out.space(1)
+            out.text(child.attributes.get("alt", "") if shown else "", keep)
+        elif name == "table":
+            write_table(child, out, shown)
         elif name == "li":
             out.space(0)
+            number = child.number("value", number)
             before, mark = out.prefix, f"{number}. " if node.name == "ol" else "- "
-            number += 1
+            number += step
             out.first, out.prefix = before + mark, before + " " * len(mark)
-            write(child, out, keep)
+            write(child, out, keep, shown)
             out.space(0)
             out.first, out.prefix = "", before
         elif name in BLOCK:
             blank = 1 if name in SPACED and not (name in ("ul", "ol") and node.name == "li") else 0
             out.space(blank)
-            if name == "hr":
-                out.line = "---"
+            if name == "hr" and shown:
+                out.add("---")
             before = out.prefix
             out.prefix += {"blockquote": "> ", "dd": "  "}.get(name, "")
-            write(child, out, keep or name == "pre")
+            write(child, out, keep or name == "pre", shown)
             out.space(blank)
             out.prefix = before
         else:
-            write(child, out, keep)
+            write(child, out, keep, shown)
 
 
-def render(node: Element) -> str:
+def render(node: Element, seen: bool = True) -> str:
     out = Writer()
-    write(node, out)
+    write(node, out, seen=seen)
     out.end()
     return "\n".join(out.lines).strip("\n")
 
@@ -224,8 +344,9 @@ def render(node: Element) -> str:
 def extract(pages: DataFrame, html_column: str = "html", text: str = "rendered") -> DataFrame:
     """``pages`` with the visible text of their HTML in place of it.
 
-    Narrow. A null page gives a null text, a page without visible text an empty one;
-    what is no markup is text. Rows keep their order and repeats. A column named
+    Narrow, and linear in the length of a page. A null page gives a null text, a page without visible
+    text an empty one; what is no markup is text. Text of a table outside its cells stands before it, and cells
+    keep the lines of their blocks. Rows keep their order and repeats. A column named
     ``text`` is replaced.
     """
     kept = [c for c in pages.columns if c not in (html_column, text)]
