@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomset.functions import parsing as ps
 from loomset.functions.vectors import sigmoid, threshold_all
+from loomset.operators import label_bitmaps as bm
 from loomset.operators import labels as lb
 from loomset.operators.stats import decode
 from loomset.sources.tables import drop_nulls
@@ -153,16 +154,22 @@ def multi_hot(spark, sf_dir):
     return hot.select("o_orderkey", F.array_join(F.col("labels_binary").cast("array<string>"), "").alias("labels_binary"))
 
 
-@query(
-    "label_cooccurrence",
-    f"""WITH {MEMBERS}
+COOCCURRENCE = f"""WITH {MEMBERS}
     SELECT x.brand AS a, y.brand AS b, count(*) AS n_ab
-    FROM member x JOIN member y ON x.o_orderkey = y.o_orderkey GROUP BY x.brand, y.brand""",
-)
+    FROM member x JOIN member y ON x.o_orderkey = y.o_orderkey GROUP BY x.brand, y.brand"""
+
+
+@query("label_cooccurrence", COOCCURRENCE)
 def label_cooccurrence(spark, sf_dir):
     return lb.label_cooccurrence(label_table(spark, sf_dir), "genres")
 
 
+@query("label_cooccurrence_bitmaps", COOCCURRENCE)
+def label_cooccurrence_bitmaps(spark, sf_dir):
+    """The same rows by intersections of bitmaps, for rows of many labels."""
+    return bm.cooccurrence_by_bitmaps(label_table(spark, sf_dir), "genres")
+
+
 @query(
     "label_correlation",
     f"""WITH {CELLS}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomset.functions import text as tx
 from loomset.operators import corpus as cp
+from loomset.operators import heavy_hitters as hh
 from loomset.operators import tfidf as ti
 from loomset.operators import vocab as vc
 from loomset.operators.dense import class_similarity
@@ -84,18 +85,24 @@ def vocabulary_richness(spark, sf_dir):
     return cp.vocabulary_richness(corpus(spark, sf_dir), "lang", "tokens")
 
 
-@query(
-    "top_bigrams",
-    f"""WITH {TERMS},
+TOP_BIGRAMS = f"""WITH {TERMS},
     pairs AS (SELECT lang, term || ' ' || lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS bigram FROM terms),
     counts AS (SELECT lang, bigram, count(*) AS n FROM pairs WHERE bigram IS NOT NULL GROUP BY lang, bigram)
     SELECT lang, bigram, n, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, bigram) AS INTEGER) AS rank
-    FROM counts QUALIFY rank <= 5""",
-)
+    FROM counts QUALIFY rank <= 5"""
+
+
+@query("top_bigrams", TOP_BIGRAMS)
 def top_bigrams(spark, sf_dir):
     return cp.top_bigrams(corpus(spark, sf_dir), "lang", "tokens")
 
 
+@query("top_bigrams_bounded", TOP_BIGRAMS)
+def top_bigrams_bounded(spark, sf_dir):
+    """The same rows from summaries of bounded size and an exact count of the candidates."""
+    return hh.top_counts(corpus(spark, sf_dir), "lang", tx.bigrams(F.col("tokens")), "bigram")
+
+
 @query("tfidf", f"WITH {TFIDF} SELECT doc_id, term, round(weight, 6) AS weight FROM weights")
 def tfidf(spark, sf_dir):
     docs = corpus(spark, sf_dir)
