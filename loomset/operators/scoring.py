@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -122,15 +122,22 @@ def zero_shot_predict(
     class_vector: str,
     scale: float,
     cut: float = 0.1,
+    blank_image: Sequence[float] | None = None,
+    blank_text: Sequence[float] | None = None,
 ) -> DataFrame:
     """Probabilities and 0/1 predictions of all three modes in one pass over the rows.
 
-    Adds ``probs_<mode>`` and ``pred_<mode>``. A row without one of its vectors is scored
-    by the other one; a mode that it cannot have is null. To score such rows in every mode,
-    fill in the vectors of a blank image or an empty text beforehand.
+    Adds ``probs_<mode>`` and ``pred_<mode>``. A row without one of its vectors is scored with that of
+    a blank image or an empty text, where ``blank_image`` or ``blank_text`` gives it, and else by
+    the other vector alone; a mode that it cannot have is null.
     """
-    scored = class_scores(items, id_col, image_vector, image_classes, class_col, class_vector, scale, output="_i")
-    scored = class_scores(scored, id_col, text_vector, text_classes, class_col, class_vector, scale, output="_t")
+    scored = items
+    sides = ((image_vector, blank_image, image_classes, "_i"), (text_vector, blank_text, text_classes, "_t"))
+    for vector, blank, classes, output in sides:
+        given = F.col(vector).cast("array<double>")
+        filled = given if blank is None else F.coalesce(given, F.lit([float(x) for x in blank]))
+        scored = scored.withColumn("_given", filled)
+        scored = class_scores(scored, id_col, "_given", classes, class_col, class_vector, scale, output=output).drop("_given")
     probs = (
         scored.withColumn("probs_image_only", softmax(F.col("_i")))
         .withColumn("probs_text_only", softmax(F.col("_t")))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +32,9 @@ class TfidfModel:
         return spark.createDataFrame(rows, "term_id INT, term STRING, idf DOUBLE")
 
     def transform(self, df: DataFrame, tokens: str, output: str = "tfidf") -> DataFrame:
-        """Add the length-normalised weight vector of each document."""
+        """Add the length-normalised weight vector of each document; without terms it is empty."""
+        if not self.terms:
+            return df.withColumn(output, array_to_vector(F.array().cast("array<double>")))
         counts = CountVectorizerModel.from_vocabulary(self.terms, inputCol=tokens, outputCol="_tf")
         weigh = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_w")
         scale = Normalizer(p=2.0, inputCol="_w", outputCol=output)
@@ -44,7 +46,7 @@ def fit_tfidf(df: DataFrame, tokens: str, max_features: int = 5000) -> TfidfMode
 
     ``idf = ln((1 + n) / (1 + df)) + 1`` over all ``n`` documents, empty ones too.
     Ties at the cut go to the smaller term. At most ``max_features`` rows are
-    brought to the driver.
+    brought to the driver. A table without terms gives a model without terms.
     """
     occurrences = F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
     documents = F.transform(
@@ -60,8 +62,6 @@ def fit_tfidf(df: DataFrame, tokens: str, max_features: int = 5000) -> TfidfMode
     n = df.select(F.count(F.lit(1)).cast("double")).scalar()
     idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0
     rows = sorted((r["term"], r["idf"]) for r in top.select("term", idf.alias("idf")).collect())
-    if not rows:
-        raise ValueError("no terms: every document is empty")
     return TfidfModel([t for t, _ in rows], [w for _, w in rows])
 
 
@@ -85,6 +85,8 @@ def class_mean_vectors(df: DataFrame, model: TfidfModel, category: str, tokens:
     Sums are built inside each task, so one class holding most documents costs
     one partial vector per task like any other.
     """
+    if not model.terms:
+        return df.select(category).distinct().withColumn("vector", F.array().cast("array<double>"))
     weighted = model.transform(df.select(category, tokens), tokens)
     return weighted.groupBy(category).agg(vector_to_array(Summarizer.mean(F.col("tfidf"))).alias("vector"))
 

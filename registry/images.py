@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomset.operators import images as im
 from loomset.operators import pixels as px
+from loomset.operators import stats as st
 from loomset.sources import images as src
 from loomset.sources.storage import shared_dir, stored
 from registry import query
@@ -175,3 +176,29 @@ def class_mean_image(spark, sf_dir):
     rows = scanned(spark, sf_dir).join(labels, "file_name")
     means = px.class_mean_image(rows, F.col("label"))
     return means.select("label", "n", F.posexplode("vector").alias("pos", "value")).withColumn("value", r6("value"))
+
+
+# the value of both measures of a file, and its bins
+MEASURES = f"""measures AS (
+  SELECT 'aspect_ratio' AS measure, width * width / 64.0::DOUBLE AS x FROM (SELECT label, 4 << (label % 3) AS width FROM embeddings) WHERE label <> 8
+  UNION ALL SELECT 'file_size_kb', ({KB})::DOUBLE FROM (SELECT label, 4 << (label % 3) AS width FROM embeddings) WHERE label <> 8)"""
+
+
+@query(
+    "image_measure_histograms",
+    f"""WITH {MEASURES},
+    ends AS (SELECT measure, min(x) AS lo, max(x) AS hi FROM measures GROUP BY measure),
+    guess AS (SELECT measure, x, lo, (hi - lo) / 50 AS step, least(floor((x - lo) * (50.0::DOUBLE / (hi - lo))), 49) AS g
+              FROM measures JOIN ends USING (measure)),
+    placed AS (SELECT measure, CAST(g - CASE WHEN x < lo + g * step THEN 1 ELSE 0 END
+      + CASE WHEN x >= lo + (g + 1) * step AND g < 49 THEN 1 ELSE 0 END AS INTEGER) AS bin FROM guess),
+    hist AS (SELECT measure, bin, count(*) AS n FROM placed GROUP BY measure, bin)
+    SELECT ends.measure, CAST(i AS INTEGER) AS bin, round(lo + i * ((hi - lo) / 50), 6) AS bin_start, coalesce(n, 0) AS n
+    FROM ends CROSS JOIN range(50) r(i) LEFT JOIN hist ON hist.measure = ends.measure AND hist.bin = i""",
+)
+def image_measure_histograms(spark, sf_dir):
+    """Histograms of aspect ratio and file size; unreadable files have nulls, which are left out."""
+    files = stored(src.scan_images(spark, png_store(spark, sf_dir)).drop("data"), "files")
+    rows = files.select((F.col("width") / F.col("height")).alias("aspect_ratio"), "file_size_kb")
+    parts = [st.auto_histogram(rows, m).select(F.lit(m).alias("measure"), "bin", r6("bin_start").alias("bin_start"), "n") for m in rows.columns]
+    return parts[0].unionByName(parts[1])

@@ -10,6 +10,7 @@ from loomset.operators import heavy_hitters as hh
 from loomset.operators import tfidf as ti
 from loomset.operators import vocab as vc
 from loomset.operators.dense import class_similarity
+from loomset.operators.sparse_product import sparse_class_similarity
 from loomset.sources.storage import stored
 from registry import query
 from registry.fixtures import corpus, documents, r6, saved_vocab, table, word_counts, word_vectors
@@ -149,6 +150,21 @@ def class_similarity_text(spark, sf_dir):
     return class_similarity(means, "lang").withColumn("similarity", r6("similarity"))
 
 
+@query(
+    "class_similarity_sparse",
+    f"""WITH {TFIDF},
+    norms AS (SELECT lang, sqrt(sum(mean_weight * mean_weight)) AS n FROM means GROUP BY lang)
+    SELECT x.lang AS a, y.lang AS b, round(sum(x.mean_weight * y.mean_weight) / (max(na.n) * max(nb.n)), 6) AS similarity
+    FROM means x JOIN means y ON x.term = y.term JOIN norms na ON na.lang = x.lang JOIN norms nb ON nb.lang = y.lang
+    GROUP BY x.lang, y.lang""",
+)
+def class_similarity_sparse(spark, sf_dir):
+    """Class pairs that share a term, from sparse weights through inverted lists."""
+    means, model = _class_means(spark, sf_dir)
+    weights = stored(ti.class_mean_weights(means, model, "lang"), "class-weights")
+    return sparse_class_similarity(weights, "lang", "term", "mean_weight").withColumn("similarity", r6("similarity"))
+
+
 @query("build_vocab", f"WITH {VOCAB_512} SELECT token, CAST(id AS BIGINT) AS id FROM vocab")
 def build_vocab(spark, sf_dir):
     return vc.build_vocab(documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text", 512).select("token", "id")

@@ -74,3 +74,40 @@ def test_what_is_shuffled_is_bounded_by_the_capacity():
     assert summary.missed > 0
     for item, n in true.items():
         assert summary.counts[item] <= n <= summary.counts[item] + summary.missed
+
+
+def test_sparse_similarity_of_many_classes(spark):
+    import numpy as np
+
+    from loomset.operators.sparse_product import sparse_class_similarity
+
+    rng = np.random.default_rng(6)
+    dense = rng.random((60, 30)) * (rng.random((60, 30)) < 0.15)
+    dense[7] = 0
+    rows = [(f"c{i:02d}", f"t{j}", float(dense[i, j])) for i in range(60) for j in range(30) if dense[i, j] or j == 3]
+    df = spark.createDataFrame([*rows, ("c01", "t29x", None)], "c STRING, t STRING, w DOUBLE").repartition(5)
+    want = {}
+    for a in range(60):
+        for b in range(60):
+            if (dense[a] * dense[b]).any():
+                want[f"c{a:02d}", f"c{b:02d}"] = dense[a] @ dense[b] / np.linalg.norm(dense[a]) / np.linalg.norm(dense[b])
+    for block in (1024, 4):
+        got = {(r["a"], r["b"]): r["similarity"] for r in sparse_class_similarity(df, "c", "t", "w", block).collect()}
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    many = spark.range(150_000).select(F.floor(F.col("id") / 3).alias("c"), F.pmod(F.xxhash64("id"), F.lit(100_000)).alias("t"), F.lit(1.0).alias("w"))
+    many = many.distinct()
+    own = sparse_class_similarity(many, "c", "t", "w").where("a = b")
+    assert own.where("abs(similarity - 1) < 1e-9").count() == 50_000
+
+
+def test_empty_tables_give_empty_results(spark):
+    from loomset.operators import tfidf as ti
+
+    docs = spark.createDataFrame([], "id INT, k STRING, tokens ARRAY<STRING>")
+    model = ti.fit_tfidf(docs, "tokens")
+    assert model.terms == [] and not ti.tfidf_weights(docs, model, "id", "tokens").collect()
+    blank = spark.createDataFrame([(1, "x", [])], docs.schema)
+    model = ti.fit_tfidf(blank, "tokens")
+    assert not ti.tfidf_weights(blank, model, "id", "tokens").collect()
+    means = ti.class_mean_vectors(blank, model, "k", "tokens")
+    assert [tuple(r) for r in means.collect()] == [("x", [])] and not ti.class_mean_weights(means, model, "k").collect()

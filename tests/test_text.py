@@ -133,8 +133,8 @@ def test_class_means_count_empty_documents(spark):
 
 def test_tfidf_without_terms(spark):
     df = spark.createDataFrame([(1, [])], "id INT, t ARRAY<STRING>")
-    with pytest.raises(ValueError):
-        ti.fit_tfidf(df, "t")
+    model = ti.fit_tfidf(df, "t")
+    assert model.terms == [] and not ti.tfidf_weights(df, model, "id", "t").collect()
 
 
 # --- vocabulary -------------------------------------------------------------------
