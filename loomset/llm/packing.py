@@ -20,9 +20,9 @@ TIERS = (1024, 512, 256)
 END_ID = 0
 #: A gap of a long window that is left as padding rather than filled by cutting a document.
 LEAST_CUT = 8
-#: Tokens of a training step, and encoded bytes that are packed at a time.
+#: Tokens of a training step; bytes that are packed at a time, and those that a document takes besides its ids.
 STEP_TOKENS = 8192
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES, ROW_BYTES = 8 << 20, 300
 
 
 @dataclass(order=True)
@@ -41,40 +41,40 @@ class Piece:
         return Piece(self.length - n, self.order, self.start + n, self.row)
 
 
-def take(pools: list[list[Piece]], gap: int, exact: bool) -> Piece | None:
-    """The longest piece that fits a gap, from the longest tier that has one.
+def take(pools: list[list[Piece]], order: list[int], gap: int, exact: bool) -> Piece | None:
+    """The longest piece that fits a gap, from the first of the ``order``ed tiers that has one.
 
-    If none fits, or only an exact filling will do, the longest piece left is cut.
+    If none fits, or only an exact filling will do, the longest piece of the first tier that has any is cut.
     """
-    for pool in pools:
-        at = bisect_right(pool, gap, key=lambda p: p.length)
+    for i in order:
+        at = bisect_right(pools[i], gap, key=lambda p: p.length)
         if at:
-            return pool.pop(at - 1)
+            return pools[i].pop(at - 1)
     if not exact and gap < LEAST_CUT:
         return None
-    for i, pool in enumerate(pools):
-        if pool:
-            piece = pool.pop()
+    for i in order:
+        if pools[i]:
+            piece = pools[i].pop()
             rest = piece.rest(gap)
-            insort(pools[tier_of(rest.length, len(pools)) if rest.length else i], rest)
+            insort(pools[tier_of(rest.length)], rest)
             return piece.head(gap)
     return None
 
 
-def tier_of(length: int, n: int = len(TIERS)) -> int:
-    """The place, among the ``n`` shortest tiers, of the shortest window that holds ``length``."""
-    own = TIERS[len(TIERS) - n :]
-    return max(i for i, window in enumerate(own) if length <= window)
+def tier_of(length: int) -> int:
+    """The place of the shortest window that holds ``length``."""
+    return max(i for i, window in enumerate(TIERS) if length <= window)
 
 
 def pack(pieces: list[Piece], last: bool) -> tuple[list[tuple[int, list[Piece]]], list[Piece]]:
     """(tier, pieces) of each sequence, and the pieces left for the next call.
 
     Full long windows are cut off first and what remains of a document is routed to the
-    shortest window that holds it. Long windows are opened by their own pieces, and their
-    gaps filled from the tiers below; a shorter window is closed only when it is full, as
-    it carries no padding. ``last`` packs everything: the end of a partition goes into
-    sequences whose lengths are powers of two.
+    shortest window that holds it. Windows are opened by pieces of their own tier, and their
+    gaps filled from the tiers below, and from their own where those are used up. A window is opened only
+    if what is left fills it, so less than one long window of tokens is left, whatever the
+    lengths; shorter windows are always full, as they carry no padding. ``last`` packs the rest, too: it
+    goes into sequences whose lengths are powers of two.
     """
     done: list[tuple[int, list[Piece]]] = []
     pools: list[list[Piece]] = [[] for _ in TIERS]
@@ -87,20 +87,16 @@ def pack(pieces: list[Piece], last: bool) -> tuple[list[tuple[int, list[Piece]]]
     for pool in pools:
         pool.sort()
     for i, window in enumerate(TIERS):
-        below = pools[i:]
-        while pools[i]:
-            if not last and sum(p.length for pool in below for p in pool[-8:]) < window:
-                break
-            held, gap = [pools[i].pop()], window
-            gap -= held[0].length
-            while gap and (piece := take(pools[i + 1 :] or below, gap, window < TIERS[0])) is not None:
+        order = [*range(i + 1, len(TIERS)), i]
+        room = sum(p.length for pool in pools[i:] for p in pool)
+        while pools[i] and room >= window:
+            held = [pools[i].pop()]
+            gap = window - held[0].length
+            while gap and (piece := take(pools, order, gap, window < TIERS[0])) is not None:
                 held.append(piece)
                 gap -= piece.length
-            if not gap or window == TIERS[0] and any(below):
-                done.append((window, held))
-            else:  # the shorter tiers are used up
-                pools[i] = sorted(pools[i] + held)
-                break
+            done.append((window, held))
+            room -= window - gap
     left = [p for pool in pools for p in pool]
     if last:
         total = sum(p.length for p in left)
@@ -142,7 +138,8 @@ def pack_documents(docs: DataFrame, ranks_path: str, key: str = "doc_id", text:
 
     ``ids`` are little-endian 32-bit token ids; a document's ids end with the id 0, which
     ``doc_tokens`` counts. Documents are encoded and packed where they are read, in chunks
-    of bounded size, without a shuffle; what a chunk leaves open goes to the next one.
+    of bounded size, without a shuffle; what a chunk leaves open, fewer tokens than one long
+    window, goes to the next one.
     Sequence and step numbers hold the partition's number in their upper bits. Null texts
     are empty, and an empty document is its end id. Repeated rows are packed each on
     their own; a null key stays null; an empty table gives an empty one.
@@ -186,7 +183,7 @@ def pack_documents(docs: DataFrame, ranks_path: str, key: str = "doc_id", text:
             for k, t in zip(batch.column("key"), batch.column("text"), strict=True):
                 ids = encode(t.as_py() or "") + end
                 pending.append(Piece(len(ids) // 4, seen, 0, (k.as_py(), ids)))
-                seen, size = seen + 1, size + len(ids)
+                seen, size = seen + 1, size + len(ids) + ROW_BYTES
                 if size > CHUNK_BYTES:
                     yield from flush(False)
                     size = 0

@@ -180,3 +180,52 @@ def test_one_hot_page_is_ordered_in_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(revisits, "SLICE_ROWS", 60)
     got = {r.record_id: (r.refers_to, r.outcome) for r in revisits.resolve(df).collect()}
     assert got == {i: (i - i % 50, "resolved") for i in range(2000) if i % 50}
+
+
+def test_packing_leaves_less_than_a_window_for_any_lengths():
+    rng = random.Random(9)
+    draws = {
+        "ones": lambda: 1, "mid": lambda: rng.randint(300, 449), "short": lambda: rng.randint(200, 256), "long": lambda: rng.randint(600, 3000),
+        "mixed": lambda: rng.choice((1, 40, 300, 700, 1024, 5000)),
+    }
+    for name, draw in draws.items():
+        pending, placed, total, tiers = [], [], 0, set()
+        for flush in range(6):
+            for k in range(2000):
+                n = draw()
+                pending.append(packing.Piece(n, total, 0, (total, b"\0" * (4 * n))))
+                total += 1
+            done, pending = packing.pack(pending, flush == 5)
+            assert sum(p.length for p in pending) < 1024
+            for size, held in done:
+                length = sum(p.length for p in held)
+                assert length == size or size == 1024 and length > 1016
+                tiers.add(size)
+                placed += [(p.order, p.start, p.length, len(p.row[1]) // 4) for p in held]
+        placed.sort()
+        ends = {}
+        for order, start, length, whole in placed:
+            assert ends.get(order, 0) == start
+            ends[order] = start + length
+            assert ends[order] <= whole
+        assert len(ends) == total and sum(p[2] for p in placed) == sum(w for w in {p[0]: p[3] for p in placed}.values())
+        assert not pending and (name not in ("mid", "short", "ones") or {"mid": 512, "short": 256, "ones": 256}[name] in tiers)
+
+
+def test_packing_query_holds_the_ids_of_tokenizers(spark):
+    import zlib
+
+    from loomset.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = queries.QUERIES["op2_packing"](spark, folder).toPandas().sort_values(["doc_id", "start"])
+    assert set(got.doc_id) == set(texts)
+    for doc_id, own in got.groupby("doc_id"):
+        ids = np.array([*known.encode(texts[doc_id] or "", add_special_tokens=False).ids, 0], "<u4")
+        assert (own.doc_tokens == len(ids)).all() and own.length.sum() == len(ids)
+        for r in own.itertuples():
+            assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+    sizes = got.groupby("sequence_id").length.sum()
+    assert 1 - sizes.sum() / sum(s if s & (s - 1) == 0 else 1024 for s in sizes) < 0.02
