@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 from loomset.llm.workers import share
 from loomset.sources.storage import stored
 
-#: The pivots and first bounds come from so many vectors, the first by the hash of their id.
+#: The pivots and first bounds come from so many vectors at most, the first by the hash of their id.
 SAMPLE = 2048
 PIVOTS = 64
 #: Vectors of an index block, rows of an annulus within it, and queries of a block.
 BLOCK = 16_384
 ANNULUS = 512
 QUERY_BLOCK = 1024
+#: Ranges of the index that all workers know; larger indexes have several blocks a range.
+MAX_SPANS = 500_000
 #: Above this bound on a sum of products, doubles are not exact and integers are used.
 EXACT = 2.0**52
 #: Below every score, and its negative is a number too.
@@ -98,6 +100,14 @@ class Searcher:
             return np.full(len(queries), LOWEST)
         return np.partition(scores, -self.k, axis=1)[:, -self.k]
 
+    def reach(self, ids: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distances to the pivots, the distance within which each query's best can be)."""
+        q2 = (queries.astype(float) ** 2).sum(1)
+        lifted = np.column_stack([queries.astype(float), np.zeros(len(queries))])
+        bound = self.first_bounds(ids, queries).astype(float)
+        radius = np.sqrt(np.maximum(self.radius2 + q2 - 2.0 * bound + self.slack, 0.0)) + self.slack
+        return _distances(lifted, self.pivots), radius
+
     def search(self, ids: np.ndarray, vectors: np.ndarray, pivot: np.ndarray, dist: np.ndarray,
                query_ids: np.ndarray, queries: np.ndarray) -> pd.DataFrame:
         """The best of one index block for each query: sorted annuli, nearest bound first."""
@@ -108,9 +118,14 @@ class Searcher:
         ends = np.append(cuts[1:], len(ids))
         q2 = (queries.astype(float) ** 2).sum(1)
         lifted = np.column_stack([queries.astype(float), np.zeros(len(queries))])
-        to_pivot = _distances(lifted, self.pivots)[:, pivot[cuts]]
-        # no point of an annulus is nearer to a query than this
-        low = np.maximum(np.maximum(dist[cuts][None] - to_pivot, to_pivot - dist[ends - 1][None]), 0) - self.slack
+        # no point of an annulus is nearer to a query than this, by any of the pivots
+        to_pivot, far = _distances(lifted, self.pivots), _distances(_lift(vectors, self.radius2), self.pivots)
+        near, far = np.minimum.reduceat(far, cuts), np.maximum.reduceat(far, cuts)
+        low = np.zeros((len(queries), len(cuts)))
+        for p in range(len(self.pivots)):
+            d = to_pivot[:, p : p + 1]
+            low = np.maximum(low, np.maximum(near[None, :, p] - d, d - far[None, :, p]))
+        low -= self.slack
         bound = self.first_bounds(query_ids, queries)
         best_score = np.full((len(queries), self.k), LOWEST)
         best_id = np.full((len(queries), self.k), np.iinfo(np.int64).max)
@@ -134,6 +149,53 @@ class Searcher:
         return pd.DataFrame({"query_id": query_ids[rows], "vec_id": best_id[found], "score": best_score[found]})
 
 
+class Spans:
+    """Ranges of the index: for each pivot its ranges of distances, in order. They are disjoint."""
+
+    def __init__(self, rows: pd.DataFrame, pivots: int):
+        self.of = []
+        for p in range(pivots):
+            own = rows[rows["pivot"] == p].sort_values(["low", "high"])
+            self.of.append((own["low"].to_numpy(float), np.maximum.accumulate(own["high"].to_numpy(float)), own["span"].to_numpy(np.int64)))
+
+    def within(self, to_pivot: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, span) of all ranges that a query's ball can meet, each once."""
+        found = [np.zeros((0, 2), np.int64)]
+        for p, (low, high, span) in enumerate(self.of):
+            first = np.searchsorted(high, to_pivot[:, p] - radius, side="left")
+            last = np.searchsorted(low, to_pivot[:, p] + radius, side="right")
+            n = np.maximum(last - first, 0)
+            query = np.repeat(np.arange(len(radius)), n)
+            at = np.arange(len(query)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+            found.append(np.column_stack([query, span[at]]) if len(span) else found[0])
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pairs[:, 0], pairs[:, 1]
+
+
+def reached_blocks(index: DataFrame, asked: DataFrame, get, width: int) -> DataFrame:
+    """(block, id, x): each query with every block of the index that may hold one of its best."""
+    blocks = index.agg(F.max("block")).first()[0] + 1
+    size = -(-blocks // MAX_SPANS)
+    span = F.floor(F.col("block") / F.lit(size)).alias("span")
+    spans = index.groupBy(span, "pivot").agg(F.min("dist").alias("low"), F.max("dist").alias("high")).toPandas()
+    known = share(index.sparkSession, spans)
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ranges = Spans(known(), len(get().pivots))
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at : at + 256]
+                query, found = ranges.within(*get().reach(part["id"].to_numpy(np.int64), _matrix(part["x"], width)))
+                for i in range(0, len(query), 4096):
+                    some = part.iloc[query[i : i + 4096]]
+                    yield some.assign(span=found[i : i + 4096])
+
+    routed = asked.mapInPandas(route, "id long, x array<long>, span long")
+    first = F.col("span") * F.lit(size)
+    last = F.least(first + F.lit(size - 1), F.lit(blocks - 1).cast("long"))
+    return routed.select(F.explode(F.sequence(first, last).cast("array<int>")).alias("block"), "id", "x")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's ``k`` largest integer inner products.
 
@@ -143,9 +205,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     Repeated rows are candidates each; a repeated query is answered once. Fewer than ``k``
     candidates are all returned.
 
-    Blocks of the index meet blocks of queries, both of bounded size: no task sees more,
-    and each returns at most ``k`` rows a query. Only the pivots and a sample of fixed size
-    are shared.
+    A query goes only to the blocks of the index that the triangle inequality leaves open for the bound
+    that the sample gives. A block is copied once for every 1,024 queries that reach it, and one that none reaches
+    not at all: no task sees more, and each returns at most ``k`` rows a query. Only the pivots, a
+    sample of fixed size and at most MAX_SPANS ranges of the index are shared.
     """
     rows = vectors.filter(is_query.isNotNull()).select(
         F.col(key).alias("id"), whole_numbers(F.col(vector)).alias("x"), is_query.alias("is_query")
@@ -159,8 +222,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     if not n or not queries:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width = max(width, 1)
-    drawn = rows.select("id", "x").orderBy(F.xxhash64("id"), "id", "x").limit(SAMPLE).toPandas()
-    drawn = drawn.drop_duplicates("id")
+    # by a bound of the hash that the number of rows gives, so that tasks send no more than is drawn
+    bound = int(min(1.0, 1.5 * SAMPLE / n) * (1 << 52))
+    some = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 52)) < bound).groupBy("id").agg(F.min("x").alias("x"))
+    drawn = some.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
     made = Searcher(drawn["id"].to_numpy(np.int64), _matrix(drawn["x"], width), float(radius2), k)
     get = share(vectors.sparkSession, made)
 
@@ -173,14 +238,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
 
     index = rows.select("id", "x").mapInPandas(keyed, "id long, x array<long>, pivot long, dist double")
     # ranges of pivot and distance; equal vectors are told apart by their ids
-    blocks, query_blocks = math.ceil(n / BLOCK), math.ceil(queries / QUERY_BLOCK)
-    index = index.repartitionByRange(blocks, "pivot", "dist", "id").withColumn("block", F.spark_partition_id())
+    index = index.repartitionByRange(math.ceil(n / BLOCK), "pivot", "dist", "id").withColumn("block", F.spark_partition_id())
     index = stored(index, "pivot-index")
-    asked = rows.filter("is_query").dropDuplicates(["id"]).select(
-        "id", "x", (F.pmod(F.xxhash64("id"), F.lit(query_blocks))).alias("query_block"))
-    every = lambda m, kind: F.explode(F.sequence(F.lit(0).cast(kind), F.lit(m - 1).cast(kind)))
-    left = index.select("*", every(query_blocks, "long").alias("query_block"))
-    right = asked.select("*", every(index.agg(F.max("block")).first()[0] + 1, "int").alias("block"))
+    asked = rows.filter("is_query").dropDuplicates(["id"]).select("id", "x")
+    routed = stored(reached_blocks(index, asked, get, width), "routed-queries")
+    parts = routed.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("parts"))
+    parts = stored(parts, "block-parts")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    left = index.join(parts, "block").select("block", copies, "id", "x", "pivot", "dist")
+    own = F.pmod(F.xxhash64("id"), F.col("own_parts")).alias("part")
+    right = routed.join(parts.withColumnRenamed("parts", "own_parts"), "block").select("block", own, "id", "x")
 
     def meet(part: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(part) or not len(queries):
@@ -190,7 +257,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
             queries["id"].to_numpy(np.int64), _matrix(queries["x"], width),
         )
 
-    by = ["block", "query_block"]
+    by = ["block", "part"]
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(meet, schema)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

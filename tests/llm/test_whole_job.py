@@ -229,3 +229,52 @@ def test_packing_query_holds_the_ids_of_tokenizers(spark):
             assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
     sizes = got.groupby("sequence_id").length.sum()
     assert 1 - sizes.sum() / sum(s if s & (s - 1) == 0 else 1024 for s in sizes) < 0.02
+
+
+def clustered(spark, n, clusters=40):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(clusters, 16)) * 4
+    x = centres[np.arange(n) % clusters] + rng.normal(size=(n, 16)) * 0.05
+    return x, spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+def test_few_blocks_and_products_are_visited_in_clusters(spark, monkeypatch):
+    from loomset.llm import vector_search
+
+    monkeypatch.setattr(vector_search, "BLOCK", 200)
+    x, df = clustered(spark, 8000)
+    whole = np.floor(256 * x).astype(np.int64)
+    asked = np.arange(0, 8000, 50)
+    calls, made = [], vector_search.reached_blocks
+    monkeypatch.setattr(vector_search, "reached_blocks", lambda *a: calls.append((a[0], made(*a))) or calls[-1][1])
+    got = vector_search.top_k(df, F.col("vec_id") % 50 == 0).collect()
+    blocks, routed = calls[0][0].select("block").distinct().count(), calls[0][1].count()
+    assert blocks >= 40 and routed < 0.2 * blocks * len(asked)
+    scores = whole[asked] @ whole.T
+    for q, row in zip(asked, scores):
+        best = sorted((-s, i) for i, s in enumerate(row.tolist()) if i != q)[:5]
+        assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q) == [(k, i, -s) for k, (s, i) in enumerate(best, 1)]
+    # the products that one search does within the blocks it gets
+    ids = np.arange(len(whole))
+    drawn = np.random.default_rng(3).permutation(8000)[:1000]
+    searcher = vector_search.Searcher(drawn, whole[drawn], float((whole.astype(float) ** 2).sum(1).max()), 5)
+    pivot, dist = searcher.key(whole)
+    done, product = [], vector_search._product
+    monkeypatch.setattr(vector_search, "_product", lambda a, b: done.append(len(a) * len(b)) or product(a, b))
+    monkeypatch.setattr(vector_search, "ANNULUS", 64)
+    searcher.search(ids, whole, pivot, dist, asked, whole[asked])
+    assert sum(done[1:]) < 0.1 * len(ids) * len(asked)
+
+
+def test_blocks_that_share_a_span_are_all_reached(spark, monkeypatch):
+    from loomset.llm import vector_search
+
+    x, df = clustered(spark, 900, 9)
+    whole = np.floor(256 * x).astype(np.int64)
+    monkeypatch.setattr(vector_search, "BLOCK", 30)
+    monkeypatch.setattr(vector_search, "MAX_SPANS", 4)
+    monkeypatch.setattr(vector_search, "QUERY_BLOCK", 3)
+    got = vector_search.top_k(df, F.col("vec_id") % 20 == 0).collect()
+    for q in range(0, 900, 20):
+        best = sorted((-s, i) for i, s in enumerate((whole @ whole[q]).tolist()) if i != q)[:5]
+        assert sorted((r.rank, r.vec_id) for r in got if r.query_id == q) == [(k, i) for k, (_, i) in enumerate(best, 1)]
