@@ -278,3 +278,25 @@ def test_blocks_that_share_a_span_are_all_reached(spark, monkeypatch):
     for q in range(0, 900, 20):
         best = sorted((-s, i) for i, s in enumerate((whole @ whole[q]).tolist()) if i != q)[:5]
         assert sorted((r.rank, r.vec_id) for r in got if r.query_id == q) == [(k, i) for k, (_, i) in enumerate(best, 1)]
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    texts = [None, "", " \n ", "a b", words(300, 1), words(300, 1), words(20_000, 2), "é 漢字 😀 \x00 x", words(300, 4)]
+    rows = [(i if i != 4 else None, t, None if i % 3 else "h", "en", 1, 1, "s", "k", i, 0) for i, t in enumerate(texts)]
+    columns = "doc_id long, text string, source string, lang string, n_chars long, quality int, stats string, key string, _row int, score int"
+    docs = spark.createDataFrame([*rows, rows[5], rows[5], rows[0]], columns)
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    want = {
+        "quality_rules": [None, 5, 5, 5, 6, 8], "quality_classifier": [None, 0, 0, 1, 2, 3, 5, 5, 5, 6, 7, 8],
+        "near_dedup": [None, 0, 1, 2, 3, 5, 6, 7, 8],
+    }
+    order = lambda ids: sorted(ids, key=lambda i: (i is not None, i or 0))
+    for name, stage in corpus_pipeline.STAGES:
+        done = stage(spark, docs, str(tmp_path))
+        assert not stage(spark, docs.limit(0), str(tmp_path)).collect()
+        if name == "packing":
+            pieces = done.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("whole")).collect()
+            assert {r.doc_id: r.n / r.whole for r in pieces} == {None: 1, 0: 2, 1: 1, 2: 1, 3: 1, 5: 3, 6: 1, 7: 1, 8: 1}
+        else:
+            assert done.columns == docs.columns
+            assert order(r.doc_id for r in done.collect()) == want[name]
