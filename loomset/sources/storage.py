@@ -21,7 +21,28 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="loomset-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _named.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+#: Folders that this process has named, per application.
+_named: dict[str, list[str]] = {}
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete what this application has written under ``shared_dir`` so far; returns the number of folders.
+
+    For the end of a job, when its results are written elsewhere or collected: tables that are
+    read from those folders cannot be computed any more.
+    """
+    paths = _named.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    dropped = 0
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        dropped += bool(path.getFileSystem(conf).delete(path, True))
+    return dropped
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
