@@ -16,20 +16,19 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomset.llm.shingles import ODD, mix
 from loomset.llm.workers import share
 from loomset.plans.sizes import MAX_BROADCAST_ROWS, broadcast_if
+from loomset.sources.late_fetch import FILE, ROW, with_places
 from loomset.sources.storage import stored
 
 SHARDS = 24
 #: Groups of files; their counts are the only ones that the driver sees.
 BLOCKS = 1024
 ROUNDS = 96
-FILE, ROW = "_loomset_file", "_loomset_row"
 
 
 def hypergeometric(u: float, good: int, bad: int, n: int) -> int:
@@ -82,29 +81,6 @@ def shard_sizes(n: int, shards: int) -> list[int]:
     return [n // shards + (j < n % shards) for j in range(shards)]
 
 
-def is_plain_scan(df: DataFrame) -> bool:
-    """Whether the rows are those of files, each once: nothing but columns are chosen above a scan."""
-    plan = df._jdf.queryExecution().analyzed()
-    while plan.nodeName() in ("Project", "SubqueryAlias", "View"):
-        plan = plan.children().head()
-    return plan.nodeName() == "LogicalRelation"
-
-
-def with_numbers(rows: DataFrame) -> DataFrame:
-    place = rows.metadataColumn("_metadata")
-    return rows.select("*", place["file_path"].alias(FILE), place["row_index"].alias(ROW))
-
-
-def numbered(docs: DataFrame) -> DataFrame:
-    """The rows with their file and their number in it; rows that do not stand so in files are written first."""
-    if is_plain_scan(docs):
-        try:
-            return with_numbers(docs)
-        except AnalysisException:  # a format without row numbers
-            pass
-    return with_numbers(stored(docs, "unsharded"))
-
-
 def block(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(BLOCKS)).cast("int")
 
@@ -157,12 +133,12 @@ def places(shards: int, rows: int, seed: int):
 
 def assign(docs: DataFrame, shards: int = SHARDS, seed: int = 42) -> tuple[DataFrame, int]:
     """(the rows of ``docs`` with ``shard`` and ``slot``, their number); no row moves. See ``shuffle``."""
-    rows = numbered(docs)
+    rows = with_places(docs)
     matrix, n = file_matrix(rows.groupBy(FILE).agg(F.count(F.lit(1)).alias("n")), shards, seed)
     counted = [F.col(c).alias(f"_loomset_{c}") for c in ("n", "key", "counts", "before")]
     few = matrix.count() <= MAX_BROADCAST_ROWS  # two counts a shard and a path each
     joined = rows.join(broadcast_if(few, matrix.select(FILE, *counted)), FILE)
-    found = places(shards, n, seed)(*[F.col(f"_loomset_{c}") for c in ("row", "n", "key", "counts", "before")])
+    found = places(shards, n, seed)(*[F.col(c) for c in (ROW, "_loomset_n", "_loomset_key", "_loomset_counts", "_loomset_before")])
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]
     placed = joined.select(*kept, found.alias("_loomset_place"))
     return placed.select(*kept, "_loomset_place.shard", "_loomset_place.slot"), n
