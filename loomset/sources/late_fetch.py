@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 
 from loomset.sources.storage import stored
 
-FILE, ROW = "_file", "_row"
+FILE, ROW = "_loomset_file", "_loomset_row"
 #: Bytes of fetched columns that a task gives away at a time.
 BATCH_BYTES = 32 << 20
 
@@ -86,8 +86,8 @@ def fetch(rows: DataFrame, source: DataFrame, columns: Sequence[str]) -> DataFra
     the rows of one popular place may lie in several ranges. No shuffle holds a fetched column.
     """
     kept = [c for c in rows.columns if c not in (FILE, ROW)]
-    narrow = stored(rows.select(*kept, FILE, ROW, F.monotonically_increasing_id().alias("_spread")), "narrow")
-    ordered = narrow.repartitionByRange(FILE, ROW, "_spread").sortWithinPartitions(FILE, ROW).drop("_spread")
+    narrow = stored(rows.select(*kept, FILE, ROW, F.monotonically_increasing_id().alias("_loomset_spread")), "narrow")
+    ordered = narrow.repartitionByRange(FILE, ROW, "_loomset_spread").sortWithinPartitions(FILE, ROW).drop("_loomset_spread")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Files(columns)
