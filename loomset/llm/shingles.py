@@ -10,7 +10,7 @@ import pyarrow as pa
 WIDTH = 5
 #: Bits of a shingle's id; the bits above hold the row within a slice.
 ID_BITS = np.uint64(44)
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
