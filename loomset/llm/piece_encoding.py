@@ -28,6 +28,8 @@ from loomset.llm.workers import per_worker, share
 SPACE = "▁"
 #: Words and pairs kept at a time; all are dropped when there are more.
 MAX_WORDS = 800_000
+#: Longer words are not kept.
+MAX_WORD_CHARS = 64
 MAX_PAIRS = 1_000_000
 
 
@@ -100,6 +102,15 @@ class MergeTable:
     halves: list[tuple[int, int]]
     joined: dict[tuple[int, int], int]
     ids: list[int]
+    spines: dict[tuple[int, int], list[int]] = field(default_factory=dict)
+
+    def spine(self, token: int, side: int) -> list[int]:
+        """A token and its halves on one side, down to a character; each is taken away by the merge of the one before."""
+        found = self.spines.get((token, side))
+        if found is None:
+            half = self.halves[token][side]
+            found = self.spines[token, side] = [token] if half == token else [token, *self.spine(half, side)]
+        return found
 
     @classmethod
     def build(cls, pieces: Pieces) -> MergeTable:
@@ -121,25 +132,29 @@ class MergeTable:
 def compatible(table: MergeTable, left: int, right: int) -> bool:
     """Whether two tokens can stand side by side: no merge across their border comes first.
 
-    Undo the later of the two merges at the border, again and again; a token across the
-    border that is made before the one just undone would have been merged instead.
+    At the border stand, one after the other as merging goes on, the tokens of the left one's right spine
+    and of the right one's left spine. Two that stand there together are merged if their
+    joint token has an earlier number than the merges that take either of them away; among equal
+    numbers the leftmost merge is first. The pairs are gone through from the last one back.
     """
-    bound = len(table.names)
+    lefts, rights, joined = table.spine(left, 1), table.spine(right, 0), table.joined.get
+    i = j = 0
+    a, b = left, right
+    a_taken = b_taken = never = len(table.names)
     while True:
-        if table.joined.get((left, right), bound) < bound:
+        made = joined((a, b), never)
+        if made < a_taken and made <= b_taken:
             return False
-        if left > right:
-            bound, left = left, table.halves[left][1]
-            if left == bound:
-                bound, right = right + 1, table.halves[right][0]
-                if right + 1 == bound:
-                    return True
+        if a > b:  # the left one was made later, so its half stood there before
+            i += 1
+            if i == len(lefts):
+                return True
+            a, a_taken = lefts[i], a
         else:
-            bound, right = right + 1, table.halves[right][0]
-            if right + 1 == bound:
-                bound, left = left, table.halves[left][1]
-                if left == bound:
-                    return True
+            j += 1
+            if j == len(rights):
+                return True
+            b, b_taken = rights[j], b
 
 
 @dataclass
@@ -218,7 +233,9 @@ class PieceEncoder:
             spaces = 1
             ids = known.get(unit)
             if ids is None:
-                ids = known[unit] = self.word(unit)
+                ids = self.word(unit)
+                if len(unit) <= MAX_WORD_CHARS:
+                    known[unit] = ids
             out.append(ids)
         out.append(self.end)
         return b"".join(out)
