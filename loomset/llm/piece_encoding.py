@@ -164,7 +164,7 @@ class PieceEncoder:
     pieces: Pieces
     table: MergeTable
     words: dict[str, bytes] = field(default_factory=dict)
-    pairs: dict[tuple[int, int], bool] = field(default_factory=dict)
+    pairs: dict[int, bool] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.automaton = ahocorasick.Automaton()
@@ -177,7 +177,7 @@ class PieceEncoder:
 
     def run(self, text: str) -> list[int]:
         """Ids of characters that are all in the vocabulary, recovered backwards from the table."""
-        pairs = self.pairs
+        pairs, size = self.pairs, len(self.table.names)
         if len(pairs) > MAX_PAIRS:
             pairs.clear()
         numbers, lengths = [-1] * len(text), [0] * len(text)
@@ -188,9 +188,10 @@ class PieceEncoder:
                     before = numbers[start]
                     if before < 0:
                         continue
-                    fits = pairs.get((before, number))
+                    pair = before * size + number
+                    fits = pairs.get(pair)
                     if fits is None:
-                        fits = pairs[before, number] = compatible(self.table, before, number)
+                        fits = pairs[pair] = compatible(self.table, before, number)
                     if not fits:
                         continue
                 numbers[stop], lengths[stop] = number, length
