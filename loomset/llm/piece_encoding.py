@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 from loomset.llm.workers import per_worker, share
 
 SPACE = "▁"
-#: Words and pairs kept at a time; all are dropped when there are more.
+#: Segments and pairs kept at a time; all are dropped when there are more.
 MAX_WORDS = 800_000
-#: Longer words are not kept.
+#: Longer segments are not kept.
 MAX_WORD_CHARS = 64
 MAX_PAIRS = 1_000_000
 
@@ -157,9 +157,37 @@ def compatible(table: MergeTable, left: int, right: int) -> bool:
             b, b_taken = rights[j], b
 
 
+def segment_pattern(pieces: Pieces) -> str:
+    """A pattern of the segments of a text, each with the spaces before it, that no piece spans.
+
+    Characters that follow each other in a piece are of one group, so two neighbours of different groups
+    never merge. A character that follows none, nor itself, is a segment, as is an unknown one.
+    """
+    group = {c: c for c in pieces.ids if len(c) == 1 and c != SPACE}
+    joined = set()
+
+    def first(c: str) -> str:
+        while group[c] != c:
+            group[c] = c = group[group[c]]
+        return c
+
+    for name in pieces.ids:
+        chars = name.lstrip(SPACE)
+        for a, b in zip(chars, chars[1:]):
+            if a in group and b in group:
+                group[first(a)] = first(b)
+                joined |= {a, b}
+    groups: dict[str, list[str]] = {}
+    for c in sorted(group):
+        groups.setdefault(first(c) if c in joined else "", []).append(re.escape(c))
+    lone = groups.pop("", [])
+    kinds = [f"[{''.join(x)}]+" for x in sorted(groups.values(), key=len, reverse=True)] + ([f"[{''.join(lone)}]"] if lone else [])
+    return f"{SPACE}*+(?:{'|'.join(kinds)})|{SPACE}+|."
+
+
 @dataclass
 class PieceEncoder:
-    """Encodes and decodes whole texts; frequent words are kept with their ids."""
+    """Encodes and decodes whole texts; frequent segments are kept with their ids."""
 
     pieces: Pieces
     table: MergeTable
@@ -171,73 +199,69 @@ class PieceEncoder:
         for number, name in enumerate(self.table.names):
             self.automaton.add_word(name, (number, len(name)))
         self.automaton.make_automaton()
-        single = "".join(re.escape(n) for n in self.table.names if len(n) == 1)
-        self.runs = re.compile(f"[{single}]+|[^{single}]", re.DOTALL)
+        self.segments = re.compile(segment_pattern(self.pieces), re.DOTALL)
         self.end = array("i", [self.pieces.end]).tobytes()
+        self.surface = pa.array(self.pieces.surface, pa.large_binary())
+        self.octets = frozenset(self.pieces.byte_ids)
+        self.lengths = [len(name) for name in self.table.names]
 
     def run(self, text: str) -> list[int]:
         """Ids of characters that are all in the vocabulary, recovered backwards from the table."""
-        pairs, size = self.pairs, len(self.table.names)
+        pairs, get, size = self.pairs, self.pairs.get, len(self.table.names)
         if len(pairs) > MAX_PAIRS:
             pairs.clear()
-        numbers, lengths = [-1] * len(text), [0] * len(text)
+        numbers, done = [-1] * len(text), -1
         for stop, (number, length) in self.automaton.iter(text):
-            if numbers[stop] < 0:
-                start = stop - length
-                if start >= 0:
-                    before = numbers[start]
+            if stop != done:  # the tokens that end at one place come one after the other
+                if stop >= length:
+                    before = numbers[stop - length]
                     if before < 0:
                         continue
                     pair = before * size + number
-                    fits = pairs.get(pair)
+                    fits = get(pair)
                     if fits is None:
                         fits = pairs[pair] = compatible(self.table, before, number)
                     if not fits:
                         continue
-                numbers[stop], lengths[stop] = number, length
-        out, at, ids = [], len(text) - 1, self.table.ids
+                numbers[stop] = number
+                done = stop
+        out, at, ids, lengths = [], len(text) - 1, self.table.ids, self.lengths
         while at >= 0:
-            out.append(ids[numbers[at]])
-            at -= lengths[at]
+            number = numbers[at]
+            out.append(ids[number])
+            at -= lengths[number]
         out.reverse()
         return out
 
-    def word(self, text: str) -> bytes:
-        """Ids of a word with the spaces before it; unknown characters become their bytes."""
+    def segment(self, text: str) -> bytes:
+        """Ids of a segment with the spaces before it; an unknown character becomes its bytes."""
         if text.startswith(SPACE * 2):
             ids = []
             for part in merged(text, self.pieces):
                 own = self.pieces.ids.get(part)
                 ids.extend([own] if own is not None else [self.pieces.byte_ids[b] for b in part.encode()])
-            return array("i", ids).tobytes()
-        ids = []
-        for part in self.runs.findall(text):
-            if len(part) > 1 or part in self.pieces.ids:
-                ids.extend(self.run(part))
-            else:
-                ids.extend(self.pieces.byte_ids[b] for b in part.encode())
+        elif len(text) > 1 or text in self.pieces.ids:
+            ids = self.run(text)
+        else:
+            ids = [self.pieces.byte_ids[b] for b in text.encode()]
         return array("i", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids of a text and the end id. No piece spans the start of a word."""
+        """Little-endian 32-bit ids of a text and the end id. No piece spans two segments."""
         if not text:
             return self.end
         if len(self.words) > MAX_WORDS:
             self.words.clear()
-        known, out, spaces = self.words, [], 1
-        parts = text.replace(SPACE, " ").split(" ")
-        for i, part in enumerate(parts):
-            if not part and i + 1 < len(parts):
-                spaces += 1
-                continue
-            unit = SPACE * spaces + part
-            spaces = 1
-            ids = known.get(unit)
-            if ids is None:
-                ids = self.word(unit)
-                if len(unit) <= MAX_WORD_CHARS:
-                    known[unit] = ids
-            out.append(ids)
+        known = self.words
+        parts = self.segments.findall(SPACE + text.replace(" ", SPACE))
+        out = list(map(known.get, parts))
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    part = parts[i]
+                    ids = out[i] = known.get(part) or self.segment(part)
+                    if len(part) <= MAX_WORD_CHARS:
+                        known[part] = ids
         out.append(self.end)
         return b"".join(out)
 
@@ -246,15 +270,32 @@ class PieceEncoder:
 
         Bytes that form no character become a replacement character each.
         """
-        whole = b"".join(map(self.pieces.surface.__getitem__, ids))
-        if whole.startswith(b" "):
-            first = next(i for i in ids if i not in self.pieces.silent)
-            if first not in self.pieces.byte_ids:
-                whole = whole[1:]
-        try:
-            return whole.decode()
-        except UnicodeDecodeError:
-            return one_by_one(whole)
+        return self.decode_lists(pa.array([ids], pa.list_(pa.int32())))[0]
+
+    def decode_lists(self, lists: pa.ListArray) -> list[str | None]:
+        """The text of each list of ids; of a null list, null."""
+        ends = lists.offsets.to_numpy()
+        ids = lists.values.slice(ends[0], ends[-1] - ends[0])
+        if ids.null_count:
+            raise ValueError("a list of ids holds a null")
+        found = self.surface.take(ids)
+        places = np.frombuffer(found.buffers()[1], np.int64, len(ids) + 1)[ends - ends[0]].tolist()
+        data, ends, out = memoryview(found.buffers()[2] or b""), ends.tolist(), []
+        silent, octets = self.pieces.silent, self.octets
+        for i, valid in enumerate(lists.is_valid().to_pylist()):
+            if not valid:
+                out.append(None)
+                continue
+            whole = data[places[i] : places[i + 1]]
+            if len(whole) and whole[0] == 32:
+                own = (ids[k].as_py() for k in range(ends[i] - ends[0], ends[i + 1] - ends[0]))
+                if next(k for k in own if k not in silent) not in octets:
+                    whole = whole[1:]
+            try:
+                out.append(str(whole, "utf-8"))
+            except UnicodeDecodeError:
+                out.append(one_by_one(bytes(whole)))
+        return out
 
 
 def one_by_one(data: bytes) -> str:
@@ -311,7 +352,7 @@ def decode(encoded: DataFrame, model_path: str, ids: str = "ids", text: str = "d
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 piece = batch.slice(at, 1000)
-                texts = [None if not x.is_valid else encoder.decode(x.values.to_pylist()) for x in piece.column(ids)]
+                texts = encoder.decode_lists(piece.column(ids))
                 yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in kept], pa.array(texts, pa.string())], names=[*kept, text])
 
     return encoded.mapInArrow(run, encoded.select(*kept).schema.add(text, T.StringType()))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import public_tokenizers
+import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from loomset.llm import licences, near_dedup, packing, quality_rules, token_lengths
+from loomset.llm import licences, near_dedup, packing, piece_encoding, quality_rules, token_lengths
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -300,3 +302,20 @@ def test_stages_take_odd_rows(spark, tmp_path):
         else:
             assert done.columns == docs.columns
             assert order(r.doc_id for r in done.collect()) == want[name]
+
+
+def test_piece_segments_are_kept_once_for_all_words():
+    """Words that differ only in their marks share a segment; no piece spans two, and ids are the library's."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    known = sentencepiece.SentencePieceProcessor(model_file=path)
+    pieces = piece_encoding.Pieces.load(path)
+    table = piece_encoding.MergeTable.build(pieces)
+    encoder = piece_encoding.PieceEncoder(pieces, table)
+    text = "stone, stone. (stone) stone; stone\nstone"
+    assert np.frombuffer(encoder.encode(text), np.int32).tolist() == known.encode(text, add_eos=True)
+    assert [w for w in encoder.words if "stone" in w] == ["▁stone", "stone"]
+    pattern = re.compile(piece_encoding.segment_pattern(pieces), re.DOTALL)
+    assert all(pattern.findall(name) == [name] for name in table.names)
+    for odd in ("  Ждё一个x.", "a  😀 ", "   ", "12 a1b\t\n\n c", "▁▁«é», 据数据", "\x00 \x00"):
+        ids = known.encode(odd, add_eos=True)
+        assert np.frombuffer(encoder.encode(odd), np.int32).tolist() == ids and encoder.decode(ids) == known.decode(ids)
