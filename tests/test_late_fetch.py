@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -98,3 +99,22 @@ def test_align_keeps_rows_single(spark):
     assert sorted(map(tuple, im.metadata_align(rows, quality, "key").select("id", "width").collect())) == [(1, 2), (2, 2)]
     paths = spark.createDataFrame([(1, "f1/x.png"), (2, "f0/y.png")], "id INT, key STRING")
     assert [tuple(r) for r in im.metadata_align(paths, quality, "key", by_path=True).select("id", "width").collect()] == [(1, 3)]
+
+
+def test_a_row_group_is_read_in_runs(tmp_path):
+    """A group of 64 MB is held a few MB at a time, and a popular row is copied in pieces."""
+    pq.write_table(pa.table({"data": [bytes([i % 251]) * 10_000 + str(i).encode() for i in range(6_400)]}), tmp_path / "a.parquet", row_group_size=10_000)
+    files, path = lf._Files(["data"]), f"file://{tmp_path}/a.parquet"
+    before, most = pa.total_allocated_bytes(), 0
+    for numbers in (np.arange(0, 5_000), np.arange(5_000, 6_400, 7), np.array([3, 3, 6_399])):
+        got = []
+        for a, b, found in files.rows(path, numbers):
+            most = max(most, pa.total_allocated_bytes() - before)
+            got += [int(x[10_000:]) for x in found.column(0).to_pylist()]
+            assert len(found) == b - a
+            del found
+        assert got == numbers.tolist()
+    assert most < 32 << 20
+    pieces = [len(found) for _, _, found in files.rows(path, np.zeros(10_000, np.int64))]
+    assert sum(pieces) == 10_000 and max(pieces) * 10_000 <= lf.BATCH_BYTES
+    assert [(a, b) for a, b, _ in lf._Files([]).rows(path, np.array([0, 6_399]))]
