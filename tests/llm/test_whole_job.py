@@ -319,3 +319,14 @@ def test_piece_segments_are_kept_once_for_all_words():
     for odd in ("  Ждё一个x.", "a  😀 ", "   ", "12 a1b\t\n\n c", "▁▁«é», 据数据", "\x00 \x00"):
         ids = known.encode(odd, add_eos=True)
         assert np.frombuffer(encoder.encode(odd), np.int32).tolist() == ids and encoder.decode(ids) == known.decode(ids)
+
+
+def test_shingle_weights_do_not_depend_on_the_partitions(spark):
+    """A shingle of every text, and one of every fifth, are counted in texts that lie one in a partition, too."""
+    rows = [(f"one two three four five {'six ' * 5 if i % 5 == 0 else ''}{words(8, seed=i)}",) for i in range(60)]
+    found = []
+    for n in (1, 60):
+        weights = near_dedup.frequent_shingles(spark.createDataFrame(rows, "text string").repartition(n), "text")
+        found.append((weights.n, dict(zip(weights.ids.tolist(), weights.values.tolist(), strict=True))))
+    assert found[0] == found[1]
+    assert min(found[0][1].values()) == np.log1p(60 / (60 + near_dedup.PRIOR * 60))
