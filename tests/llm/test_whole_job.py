@@ -330,3 +330,21 @@ def test_shingle_weights_do_not_depend_on_the_partitions(spark):
         found.append((weights.n, dict(zip(weights.ids.tolist(), weights.values.tolist(), strict=True))))
     assert found[0] == found[1]
     assert min(found[0][1].values()) == np.log1p(60 / (60 + near_dedup.PRIOR * 60))
+
+
+def test_copies_that_lie_together_do_not_fill_the_counting_of_shingles(spark, monkeypatch):
+    """Twelve copies in a partition are no frequent text; the counting passes on rows a task, not a copied shingle."""
+    rows = [(i // 12, f"one two three four five {words(16, seed=i // 12)}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "part int, text string").repartitionByRange(2, "part").select("text")
+    kind, made = type(docs), []
+    plain = kind.mapInArrow
+
+    def watched(self, *args, **kwargs):
+        out = plain(self, *args, **kwargs)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(kind, "mapInArrow", watched)
+    weights = near_dedup.frequent_shingles(docs, "text")
+    assert weights.n == 4000 and weights.values.tolist() == [np.log1p(4000 / (4000 + near_dedup.PRIOR * 4000))]
+    assert sum(made) <= 20
